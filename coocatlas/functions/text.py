@@ -28,8 +28,12 @@ def normalize_title(title: Column) -> Column:
 
 
 def fold_key(text: Column) -> Column:
-    """Case-folded, stripped comparison key; upper before lower makes sharp s equal ss."""
-    return F.lower(F.upper(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")))
+    """Case-folded, stripped comparison key.
+
+    Upper before lower makes sharp s equal ss; stripping in between keeps the two
+    conversions from being merged into one.
+    """
+    return F.lower(F.regexp_replace(F.upper(text), r"(?U)^\s+|\s+$", ""))
 
 
 def is_blank(column: Column) -> Column:
@@ -38,11 +42,16 @@ def is_blank(column: Column) -> Column:
 
 
 def human_count(n: Column) -> Column:
-    """7436313 -> 7.4M, one decimal at most, whole numbers below a thousand unchanged."""
+    """7436313 -> 7.4M, one decimal at most, whole numbers below a thousand unchanged.
+
+    The quotient is rounded on its exact binary value, ties upwards; a tie at one
+    decimal is exact only for fractions .25 and .75, and half-even covers .75.
+    """
 
     def scaled(unit: float, suffix: str) -> Column:
-        digits = F.regexp_replace(F.format_string("%.1f", n.cast("double") / unit), r"\.0$", "")
-        return F.concat(digits, F.lit(suffix))
+        x = n.cast("double") / unit
+        up = F.when(x - F.floor(x) == 0.25, x + 0.05).otherwise(x)
+        return F.concat(F.call_function("format_number", up, F.lit("0.#")), F.lit(suffix))
 
     return (
         F.when(n >= 1e9, scaled(1e9, "B"))

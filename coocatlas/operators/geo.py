@@ -155,7 +155,7 @@ def feature_json(table: DataFrame, name: str) -> DataFrame:
             F.lit("Point").alias("type"),
             F.array(F.col("lon").cast("double"), F.col("lat").cast("double")).alias("coordinates"),
         ).alias("geometry"),
-        F.struct(F.col(key), F.col("logcount").cast("double")).alias("properties"),
+        F.struct(F.col(key).alias(key), F.col("logcount").cast("double").alias("logcount")).alias("properties"),
     )
     return table.select(F.col(key).cast("bigint").alias("rowid"), F.to_json(feature).alias("line"))
 

@@ -155,7 +155,9 @@ def train_centroids(vectors: DataFrame, key: str, n: int, nlist: int, seed: int,
     sample = exact_sample(vectors, key, min(n, 64 * nlist), seed).select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
-    model = KMeans(k=min(nlist, n), distanceMeasure="cosine", seed=seed, maxIter=iterations).fit(sample)
+    model = KMeans(
+        k=min(nlist, n), distanceMeasure="cosine", initMode="random", seed=seed, maxIter=iterations
+    ).fit(sample)
     centers = np.array(model.clusterCenters(), dtype=np.float64)
     return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
 
