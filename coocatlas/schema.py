@@ -47,8 +47,16 @@ def entity(name: str) -> Entity:
         raise ValueError(f"unknown entity {name!r}, expected one of {', '.join(BY_NAME)}") from None
 
 
+_TYPES = {
+    "BIGINT": T.LongType(), "INT": T.IntegerType(), "SMALLINT": T.ShortType(), "FLOAT": T.FloatType(),
+    "STRING": T.StringType(), "BOOLEAN": T.BooleanType(),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Schema of "name TYPE, ..." without needing a session."""
+    fields = [part.split() for part in spec.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 INTERACTIONS = _struct(
