@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coocatlas.functions.let import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -19,11 +21,11 @@ def norm(vector: Column) -> Column:
 
 def l2_normalize(df: DataFrame, column: str = "embedding") -> DataFrame:
     """Divide each vector by its length (at least 1e-12); float result."""
-    return (
-        df.withColumn("_norm", F.greatest(norm(F.col(column)), F.lit(1e-12)))
-        .withColumn(column, F.transform(column, lambda x: (x.cast("double") / F.col("_norm")).cast("float")))
-        .drop("_norm")
-    )
+
+    def scaled(length: Column) -> Column:
+        return F.transform(column, lambda x: (x.cast("double") / length).cast("float"))
+
+    return df.withColumn(column, let(F.greatest(norm(F.col(column)), F.lit(1e-12)), scaled))
 
 
 def to_wide(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame:

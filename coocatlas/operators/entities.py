@@ -70,7 +70,16 @@ def track_metadata(
     track_ids: DataFrame, tracks: DataFrame, albums: DataFrame, artists: DataFrame, track_artists: DataFrame,
     artist_genres: DataFrame,
 ) -> DataFrame:
-    """Names, primary artist and genre, album and release of the given tracks."""
+    """Names, primary artist and genre, album and release of the given tracks.
+
+    Primary artists already attached to ``track_ids`` are used as they are; otherwise
+    they are found among the links of those tracks.
+    """
+    if "artist_rowid" in track_ids.columns:
+        primary = track_ids.select("track_rowid", "artist_rowid")
+    else:
+        own = track_artists.join(track_ids.select("track_rowid"), "track_rowid", "left_semi")
+        primary = track_ids.select("track_rowid").join(primary_artists(own), "track_rowid")
     album = albums.select(
         "album_rowid", F.col("name").alias("album_name"), "label", "total_tracks", "album_type", "release_date",
         "release_date_precision",
@@ -81,9 +90,7 @@ def track_metadata(
         F.col("external_id_isrc").alias("id_isrc"), "album_rowid",
     )
     return (
-        track_ids.select("track_rowid")
-        .join(track, "track_rowid")
-        .join(primary_artists(track_artists), "track_rowid")
+        primary.join(track, "track_rowid")
         .join(album, "album_rowid")
         .join(artists.select("artist_rowid", F.col("name").alias("artist_name")), "artist_rowid")
         .join(primary_genres(artist_genres), "artist_rowid", "left")

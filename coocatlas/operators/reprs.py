@@ -15,13 +15,15 @@ from coocatlas.schema import ALBUM, ARTIST, LABEL, Entity
 SCORE_DIGITS = 9
 
 
-def _ranked(df: DataFrame, group: str, child: str, limit: int, *order: Column) -> DataFrame:
+def _ranked(
+    df: DataFrame, group: str, child: str, limit: int, *order: Column, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Best ``limit`` rows per group; Spark keeps only that many per task before the shuffle."""
     position = F.row_number().over(W.partitionBy(group).orderBy(*order))
     return (
         df.withColumn("_rn", position)
         .where(F.col("_rn") <= limit)
-        .select(group, (F.col("_rn") - 1).alias("rank"), child, F.col("score").cast("double").alias("score"))
+        .select(group, (F.col("_rn") - 1).alias("rank"), child, F.col("score").cast("double").alias("score"), *keep)
     )
 
 
@@ -50,11 +52,14 @@ def rank_artist_albums(scores: DataFrame, albums: DataFrame, limit: int) -> Data
         .join(scores.withColumnRenamed("album_canonical_rowid", "album_rowid"), "album_rowid")
         .select("artist_rowid", "album_rowid", "logcount", "score", type_priority(F.col("album_type")).alias("priority"))
     )
-    best = candidates.groupBy("artist_rowid").agg(F.min("priority").alias("priority"))
-    preferred = candidates.join(best, ["artist_rowid", "priority"])
-    return _ranked(
-        preferred, "artist_rowid", "album_rowid", limit, F.desc("score"), F.desc("logcount"), F.asc("album_rowid")
+    # Ordered by release type first, the best type fills the top places; lesser types that
+    # follow it there are dropped. Both windows share one shuffle.
+    top = _ranked(
+        candidates, "artist_rowid", "album_rowid", limit,
+        F.asc("priority"), F.desc("score"), F.desc("logcount"), F.asc("album_rowid"), keep=("priority",),
     )
+    best = F.min("priority").over(W.partitionBy("artist_rowid"))
+    return top.withColumn("_best", best).where(F.col("priority") == F.col("_best")).drop("priority", "_best")
 
 
 def artist_albums(tracks: DataFrame, albums: DataFrame, limit: int) -> DataFrame:

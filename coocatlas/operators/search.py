@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from coocatlas.functions.let import let
 from coocatlas.functions.text import fold_key, parse_search_id, search_id, words
 from coocatlas.schema import ENTITIES
+from coocatlas.sources.staging import Staging
 
 # Searched fields in order of weight, and word lengths from which one and two typos are allowed.
 FIELDS = ("label", "artist_name", "album_name_norm", "track_name_norm")
@@ -78,28 +81,58 @@ def _shortened(word: Column, depth: Column) -> Column:
     )
 
 
-def expand_terms(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
+def spellings(dictionary: DataFrame) -> DataFrame:
+    """(variant, word): the shortened forms under which a dictionary word is found."""
+    # a word can be as many letters shorter than the shortest term that may reach it as that term has typos
+    depth = F.when(F.length("word") >= TWO_TYPOS - 2, 2).when(F.length("word") >= ONE_TYPO - 1, 1).otherwise(0)
+    return dictionary.select(F.explode(_shortened(F.col("word"), depth)).alias("variant"), "word")
+
+
+def prefixes(dictionary: DataFrame) -> DataFrame:
+    """(term, word): every beginning of a dictionary word."""
+    starts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    return dictionary.select(F.explode(starts).alias("term"), "word")
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """What a search reads: the documents, their postings, and two ways into the dictionary."""
+
+    documents: DataFrame
+    postings: DataFrame
+    spellings: DataFrame
+    prefixes: DataFrame
+
+
+def search_index(documents: DataFrame, staging: Staging | None = None) -> SearchIndex:
+    """Index of the given documents, written to ``staging`` if there is one."""
+    keep = (lambda name, build: build()) if staging is None else staging.table
+    kept = keep("search_documents", lambda: documents)
+    occurrences = keep("search_postings", lambda: postings(kept))
+    dictionary = occurrences.select("word").distinct()
+    return SearchIndex(
+        kept, occurrences, keep("search_spellings", lambda: spellings(dictionary)),
+        keep("search_prefixes", lambda: prefixes(dictionary)),
+    )
+
+
+def expand_terms(terms: DataFrame, known: DataFrame, starts: DataFrame) -> DataFrame:
     """(term, is_last, word, typos, exact): dictionary words each query term stands for.
 
     Terms match with up to two typos by length; the last term of a query also matches
-    as a prefix. ``terms`` has distinct (term, is_last), ``dictionary`` distinct words.
+    as a prefix. ``terms`` has distinct (term, is_last), ``known`` the spellings and
+    ``starts`` the prefixes of the dictionary.
     """
     asked = terms.withColumn("budget", _typo_budget(F.col("term")))
     spelled = asked.withColumn("variant", F.explode(_shortened(F.col("term"), F.col("budget"))))
-    # a dictionary word may be up to its own depth shorter than the shortest term that reaches it
-    depth = F.when(F.length("word") >= TWO_TYPOS - 2, 2).when(F.length("word") >= ONE_TYPO - 1, 1).otherwise(0)
-    known = dictionary.withColumn("variant", F.explode(_shortened(F.col("word"), depth)))
     distance = F.levenshtein("term", "word")
     fuzzy = (
         spelled.join(known, "variant")
         .where(distance <= F.col("budget"))
         .select("term", "is_last", "word", distance.alias("typos"))
     )
-    starts = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n)))
-    prefixed = (
-        dictionary.withColumn("term", starts)
-        .join(asked.where("is_last").select("term", "is_last"), "term")
-        .select("term", "is_last", "word", F.lit(0).alias("typos"))
+    prefixed = starts.join(asked.where("is_last").select("term", "is_last"), "term").select(
+        "term", "is_last", "word", F.lit(0).alias("typos")
     )
     return (
         fuzzy.unionByName(prefixed)
@@ -109,60 +142,55 @@ def expand_terms(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
 
 
-def score_matches(requests: DataFrame, documents: DataFrame) -> DataFrame:
+def score_matches(requests: DataFrame, index: SearchIndex) -> DataFrame:
     """(request_id, id, matched, typos, span, field, exact) for documents matching at least the first word.
 
     ``matched`` counts leading query words found; ``typos`` adds the best per word;
     ``span`` adds the distance between neighbouring query words, 8 at most and across
     fields; ``field`` is the weightiest field hit; ``exact`` counts words found as typed.
     """
-    occurrences = postings(documents)
     asked = _query_words(requests)
-    dictionary = occurrences.select("word").distinct()
-    expansion = expand_terms(asked.select("term", "is_last").distinct(), dictionary)
+    expansion = expand_terms(asked.select("term", "is_last").distinct(), index.spellings, index.prefixes)
     hits = (
         asked.join(expansion, ["term", "is_last"])
-        .join(occurrences, "word")
+        .join(index.postings, "word")
         .groupBy("request_id", "id")
         .agg(F.collect_list(F.struct("slot", "field", "at", "typos", "exact")).alias("hits"))
     )
     slots = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["slot"])))
     leading = F.aggregate(slots, F.lit(0), lambda m, slot: F.when(slot == m, m + 1).otherwise(m))
 
-    def of(slot: Column) -> Column:
-        return F.filter("hits", lambda h: h["slot"] == slot)
-
     def apart(left: Column, right: Column) -> Column:
         step = right["at"] - left["at"]
         near = F.least(F.abs(step) + F.when(step < 0, 1).otherwise(0), F.lit(FAR))
         return F.when(left["field"] == right["field"], near).otherwise(FAR)
 
-    def nearest(slot: Column) -> Column:
-        return F.array_min(
-            F.flatten(F.transform(of(slot), lambda left: F.transform(of(slot + 1), lambda right: apart(left, right))))
-        )
-
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0), lambda acc, v: acc + v)
 
-    used = F.sequence(F.lit(0), F.col("matched") - 1)
-    gaps = F.when(F.col("matched") > 1, F.transform(F.sequence(F.lit(0), F.col("matched") - 2), nearest)).otherwise(
-        F.expr("CAST(array() AS ARRAY<INT>)")
-    )
-    return (
-        hits.withColumn("matched", leading)
-        .where("matched > 0")
-        .withColumn("hits", F.filter("hits", lambda h: h["slot"] < F.col("matched")))
-        .select(
-            "request_id",
-            "id",
-            "matched",
-            total(F.transform(used, lambda s: F.array_min(F.transform(of(s), lambda h: h["typos"])))).alias("typos"),
-            total(gaps).alias("span"),
-            F.array_min(F.transform("hits", lambda h: h["field"])).alias("field"),
-            total(F.transform(used, lambda s: F.exists(of(s), lambda h: h["exact"]).cast("int"))).alias("exact"),
+    def figures(matched: Column) -> Column:
+        """All figures from the hits of the leading words, grouped by word once."""
+        used = F.transform(
+            F.sequence(F.lit(0), matched - 1), lambda slot: F.filter("hits", lambda h: h["slot"] == slot)
         )
-    )
+        return let(used, lambda groups: F.struct(
+            matched.alias("matched"),
+            total(F.transform(groups, lambda g: F.array_min(F.transform(g, lambda h: h["typos"])))).alias("typos"),
+            total(gaps(groups, matched)).alias("span"),
+            F.array_min(F.transform(F.flatten(groups), lambda h: h["field"])).alias("field"),
+            total(F.transform(groups, lambda g: F.exists(g, lambda h: h["exact"]).cast("int"))).alias("exact"),
+        ))
+
+    def gaps(groups: Column, matched: Column) -> Column:
+        """Least distance between each two neighbouring words."""
+
+        def nearest(g: Column, h: Column) -> Column:
+            return F.array_min(F.flatten(F.transform(g, lambda left: F.transform(h, lambda right: apart(left, right)))))
+
+        return F.zip_with(F.slice(groups, F.lit(1), matched - 1), F.slice(groups, F.lit(2), matched - 1), nearest)
+
+    scored = let(leading, lambda m: F.when(m > 0, figures(m)))
+    return hits.select("request_id", "id", scored.alias("s")).where(F.col("s").isNotNull()).select("request_id", "id", "s.*")
 
 
 def rank_hits(scored: DataFrame, documents: DataFrame, limit: int = 10) -> DataFrame:
@@ -199,7 +227,7 @@ def dedup_hits(hits: DataFrame) -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n", "_name", "_artist")
 
 
-def search(requests: DataFrame, documents: DataFrame, limit: int = 10) -> DataFrame:
+def search(requests: DataFrame, index: SearchIndex, limit: int = 10) -> DataFrame:
     """Hit records per text request, best first; duplicates are removed after the limit is applied."""
-    ranked = rank_hits(score_matches(requests, documents), documents, limit)
+    ranked = rank_hits(score_matches(requests, index), index.documents, limit)
     return dedup_hits(map_hits(ranked))

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from coocatlas.functions.let import let
 from coocatlas.functions.vectors import l2_normalize
 from coocatlas.operators.similarity import Index, exact_neighbours, search
 from coocatlas.schema import entity
+from coocatlas.sources.staging import checkpoint
 
 INFO_COLUMNS = {
     "track": (
@@ -171,12 +173,12 @@ def match_names(names: DataFrame, pattern: str, artist: str | None = None) -> Da
 def _grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
     """Distinct substrings of the given lengths."""
 
-    def of(n: int) -> Column:
-        last = F.length(text) - n + 1
+    def of(t: Column, n: int) -> Column:
+        last = F.length(t) - n + 1
         spans = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
-        return F.transform(spans, lambda i: F.substring(text, i, F.lit(n)))
+        return F.transform(spans, lambda i: F.substring(t, i, F.lit(n)))
 
-    return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes])))
+    return let(text, lambda t: F.array_distinct(F.flatten(F.array(*[of(t, n) for n in sizes]))))
 
 
 def contains_matches(requests: DataFrame, names: DataFrame) -> DataFrame:
@@ -217,7 +219,8 @@ def find_neighbours(
     known = names.join(vectors.select("track_rowid"), "track_rowid", "left_semi")
     matches = contains_matches(requests, known)
     order = F.struct(-F.coalesce("track_popularity", F.lit(-1)), F.col("track_rowid"))
-    seeds = matches.groupBy("request_id").agg(F.min_by("track_rowid", order).alias("seed_rowid"))
+    # one row per request, read several times below
+    seeds = checkpoint(matches.groupBy("request_id").agg(F.min_by("track_rowid", order).alias("seed_rowid")))
     unit = l2_normalize(vectors)
     asked = unit.join(seeds.select(F.col("seed_rowid").alias("track_rowid")), "track_rowid", "left_semi")
     near = exact_neighbours(asked, unit, 50 * k + 1, "track_rowid", "track_rowid")

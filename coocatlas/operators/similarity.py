@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from coocatlas.functions.vectors import l2_normalize
 from coocatlas.operators.ids import exact_sample, split_off
+from coocatlas.sources.staging import checkpoint
 
 SCORE_DIGITS = 9
 NEIGHBOURS = "query_id BIGINT, neighbor_id BIGINT, score DOUBLE"
@@ -86,8 +88,9 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
 
 def _small_side(df: DataFrame, limit_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
     """The whole side as arrays if its counted size fits the limit, otherwise None."""
-    size = df.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
-    if 8 * size["n"] * size["d"] > limit_bytes:
+    first = df.select(F.size("v").alias("d")).first()
+    # the count alone needs no vectors; all vectors of a table have one length
+    if first is not None and 8 * first["d"] * df.count() > limit_bytes:
         return None
     table = df.toArrow()
     return _ids(table["id"]), _matrix(table["v"])
@@ -189,8 +192,6 @@ def train_index(
     The lists are written (to ``path``, or as a checkpoint) because every search reads
     them; per-list statistics are the only part that reaches the driver.
     """
-    from coocatlas.sources.staging import checkpoint
-
     n = vectors.count()
     if n == 0:
         raise ValueError("cannot index an empty table")
@@ -287,8 +288,6 @@ def search_exact(index: Index, queries: DataFrame, k: int, query_key: str, nprob
     angle to its centroid less its radius is small enough; all such lists are visited.
     Base vectors have unit length; the query's own length scales the bound.
     """
-    from coocatlas.sources.staging import checkpoint
-
     asked = _keyed(queries, query_key)
     first = checkpoint(merge_best(_visit(index, probe(index, asked, nprobe), k), k))
     floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("found"))
@@ -349,10 +348,6 @@ def recall_by_nprobe(
     nlist: int | None = None,
 ) -> DataFrame:
     """Recall of the inverted lists against exact search, one row per nprobe."""
-    from functools import reduce
-
-    from coocatlas.sources.staging import checkpoint
-
     unit = l2_normalize(vectors)
     queries, base = split_off(unit, key, n_query, seed)
     truth = checkpoint(exact_neighbours(queries, base, k, key, key))

@@ -95,7 +95,9 @@ def enrich_vocab(vocab: DataFrame, tracks: DataFrame, albums: DataFrame, track_a
     with a null or empty label keep a null id.
     """
     joined = vocab_metadata(vocab, tracks, albums, track_artists)
-    labels = dictionary(joined, "label", "label_rowid")
+    # the labels in use need no artists, which would put the whole link table in front of the dictionary
+    used = tracks.join(vocab.select("track_rowid"), "track_rowid", "left_semi").select("album_rowid")
+    labels = dictionary(albums.join(used, "album_rowid", "left_semi"), "label", "label_rowid")
     return conform(joined.join(labels, "label", "left"), schema.ENRICHED_VOCAB)
 
 

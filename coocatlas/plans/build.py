@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from coocatlas.functions.vectors import l2_normalize
 from coocatlas.operators import catalog, entities, geo, reprs, vocab
 from coocatlas.operators.catalog import Thresholds
-from coocatlas.operators.quality import require_columns
+from coocatlas.operators.quality import require_columns, require_coverage
+from coocatlas.operators.search import SearchIndex, search_documents, search_index
 from coocatlas.schema import ALBUM, ARTIST, ENTITIES, LABEL, TRACK
 from coocatlas.sources.binding import Sources
 from coocatlas.sources.staging import Staging
@@ -82,13 +83,14 @@ class Atlas:
     def vectors(self) -> dict[str, DataFrame]:
         """Track vectors and the mean vectors of the other entities."""
         valid, trained = self.valid, self.sources.checkpoint
-        found = {"track": entities.track_vectors(valid, trained)}
-        for e in (ALBUM, ARTIST, LABEL):
-            found[e.name] = self._stage(
-                f"vectors_{e.name}",
-                lambda e=e: entities.pool_vectors(valid, trained, e.key, self.settings.min_tracks),
-            )
-        return found
+        pooled = self.staging.together({
+            f"vectors_{e.name}": lambda e=e: entities.pool_vectors(valid, trained, e.key, self.settings.min_tracks)
+            for e in (ALBUM, ARTIST, LABEL)
+        })
+        return {
+            "track": entities.track_vectors(valid, trained),
+            **{e.name: pooled[f"vectors_{e.name}"] for e in (ALBUM, ARTIST, LABEL)},
+        }
 
     @cached_property
     def embeddings(self) -> dict[str, DataFrame]:
@@ -113,25 +115,24 @@ class Atlas:
             lambda: geo.to_lonlat(geo.union_projections(self.projections), -half, half, self.settings.padding),
         )
 
-    def _geo(self, name: str) -> DataFrame:
-        return geo.entity_geo(self.lonlat, name)
-
     @cached_property
     def flagged(self) -> dict[str, DataFrame]:
         """Entity tables with canonical keys and flags, before representatives are counted."""
         look, limits = self.lookups, self.settings.thresholds
-        labels = self._stage(
-            "flagged_labels",
-            lambda: catalog.with_flags(catalog.build_labels(look["label"], self._geo("label")), LABEL, limits),
-        )
-        artists = self._stage(
-            "flagged_artists",
-            lambda: catalog.with_flags(catalog.build_artists(look["artist"], self._geo("artist")), ARTIST, limits),
-        )
+        placed = {e.name: geo.entity_geo(self.lonlat, e.name) for e in ENTITIES}
+        parents = self.staging.together({
+            "flagged_labels": lambda: catalog.with_flags(
+                catalog.build_labels(look["label"], placed["label"]), LABEL, limits
+            ),
+            "flagged_artists": lambda: catalog.with_flags(
+                catalog.build_artists(look["artist"], placed["artist"]), ARTIST, limits
+            ),
+        })
+        labels, artists = parents["flagged_labels"], parents["flagged_artists"]
         albums = self._stage(
             "flagged_albums",
             lambda: catalog.with_flags(
-                catalog.canonical_albums(catalog.build_albums(look["album"], self._geo("album"), artists, labels)),
+                catalog.canonical_albums(catalog.build_albums(look["album"], placed["album"], artists, labels)),
                 ALBUM, limits,
             ),
         )
@@ -139,7 +140,7 @@ class Atlas:
             "flagged_tracks",
             lambda: catalog.with_flags(
                 catalog.canonical_tracks(
-                    catalog.build_tracks(look["track"], self._geo("track"), artists, albums, labels), albums
+                    catalog.build_tracks(look["track"], placed["track"], artists, albums, labels), albums
                 ),
                 TRACK, limits,
             ),
@@ -150,29 +151,31 @@ class Atlas:
     def links(self) -> dict[str, DataFrame]:
         """The three tables of ranked representatives."""
         t, n = self.flagged, self.settings.repr_limit
-        return {
-            "album_repr_tracks": self._stage("album_repr_tracks", lambda: reprs.album_tracks(t["tracks"], n)),
-            "artist_repr_albums": self._stage(
-                "artist_repr_albums", lambda: reprs.artist_albums(t["tracks"], t["albums"], n)
-            ),
-            "label_repr_artists": self._stage(
-                "label_repr_artists", lambda: reprs.label_artists(t["tracks"], t["artists"], n)
-            ),
-        }
+        return self.staging.together({
+            "album_repr_tracks": lambda: reprs.album_tracks(t["tracks"], n),
+            "artist_repr_albums": lambda: reprs.artist_albums(t["tracks"], t["albums"], n),
+            "label_repr_artists": lambda: reprs.label_artists(t["tracks"], t["artists"], n),
+        })
 
     @cached_property
     def tables(self) -> dict[str, DataFrame]:
         """All serving tables by name: four entities, four embedding tables, three link tables."""
-        done = dict(self.links)
-        for e in (ALBUM, ARTIST, LABEL):
-            flagged, links = self.flagged[e.table], self.links[e.repr_table]
-            done[e.table] = self._stage(e.table, lambda f=flagged, k=links, e=e: reprs.with_nrepr(f, k, e))
+        flagged, links = self.flagged, self.links
+        done = dict(links)
+        done |= self.staging.together({
+            e.table: lambda e=e: reprs.with_nrepr(flagged[e.table], links[e.repr_table], e) for e in (ALBUM, ARTIST, LABEL)
+        })
         done["tracks"] = self.flagged["tracks"]
         for e in ENTITIES:
             done[e.embedding] = self.embeddings[e.name]
         return done
 
+    @cached_property
+    def search_index(self) -> SearchIndex:
+        return search_index(search_documents(self.tables), self.staging)
+
     def validate(self) -> None:
-        """Fail on null or blank values in the columns the serving tables require."""
+        """Fail if enrichment lost or repeated a track, or if a required column is null or blank."""
+        require_coverage(self.vocab, self.enriched, "track_rowid")
         require_columns(self.flagged["albums"], list(catalog.REQUIRED_ALBUM), "albums")
         require_columns(self.flagged["tracks"], list(catalog.REQUIRED_TRACK), "tracks")

@@ -323,6 +323,19 @@ def fitted_vectors(a: Atlas) -> DataFrame:
     return inward.select("track_id", F.size("embedding").alias("dim"))
 
 
+@query
+def trained_recommendations(a: Atlas) -> DataFrame:
+    """From playlists to recommendations: fitted vectors, pooled by artist, indexed, searched."""
+    inward, _ = pairs.fit_vectors(skipgram_pairs(a), dim=16, iterations=4)
+    trained = a.vocab.join(inward, "track_id").select("track_rowid", "embedding")
+    pooled = entities.pool_vectors(entities.valid_tracks(a.enriched, trained), trained, "artist_rowid", 1)
+    artists = a.tables["artists"]
+    listed = pooled.join(catalog.recable_ids(artists, ARTIST), "artist_rowid", "left_semi")
+    index = similarity.train_index(listed, "artist_rowid", nlist=8)
+    found = serve.recommend(artists, pooled, "artist", _every(a, "artist"), limit=5, index=index, nprobe=4)
+    return found.select("seed_rowid", "position", "rowid")
+
+
 # Serving tables
 
 
@@ -518,12 +531,12 @@ def _search_requests(a: Atlas) -> DataFrame:
 
 @query
 def search_scores(a: Atlas) -> DataFrame:
-    return search.score_matches(_search_requests(a), search.search_documents(a.tables))
+    return search.score_matches(_search_requests(a), a.search_index)
 
 
 @query
 def search_hits(a: Atlas) -> DataFrame:
-    return _rounded(search.search(_search_requests(a), search.search_documents(a.tables), 10))
+    return _rounded(search.search(_search_requests(a), a.search_index, 10))
 
 
 # Similarity

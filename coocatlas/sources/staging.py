@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,9 @@ class Staging:
             frame.write.mode("overwrite").parquet(self.path(name))
             return self.spark.read.schema(frame.schema).parquet(self.path(name))
         return self.spark.read.parquet(self.path(name))
+
+    def together(self, builds: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+        """Stage several tables that do not depend on each other, their jobs running side by side."""
+        with ThreadPoolExecutor(max_workers=max(1, len(builds))) as pool:
+            started = {name: pool.submit(self.table, name, build) for name, build in builds.items()}
+            return {name: future.result() for name, future in started.items()}

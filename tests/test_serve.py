@@ -196,16 +196,16 @@ def test_search_ranking(spark):
         ("label_5", "Blue Note", None, None, None, 2.0, 0.0, 0.0),
     ])
     asked = spark.createDataFrame([(1, "blue green"), (2, "Miles Davs"), (3, "note"), (4, "not")], "request_id INT, text STRING")
-    got = search.search(asked, docs, 20)
+    got = search.search(asked, search.search_index(docs), 20)
     order = {q: [r.rowid for r in got.where(F.col("request_id") == q).orderBy("rank").collect()] for q in range(1, 5)}
     # both words beat one; adjacent beats apart beats reversed; then popularity
     assert order[1] == [4, 1, 2, 3, 5]
     assert order[2] == [1, 4] and order[3] == [5] and order[4] == [5]
     for limit in (0, 21):
         with pytest.raises(ValueError):
-            search.search(asked, docs, limit)
+            search.search(asked, search.search_index(docs), limit)
     with pytest.raises(Exception, match="must not be empty"):
-        search.search(spark.createDataFrame([(1, "")], "request_id INT, text STRING"), docs).collect()
+        search.search(spark.createDataFrame([(1, "")], "request_id INT, text STRING"), search.search_index(docs)).collect()
 
 
 def test_term_expansion_matches_brute_force(spark):
@@ -220,7 +220,9 @@ def test_term_expansion_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     make = lambda n: ["".join(rng.choice(list("abc"), rng.integers(1, 12))) for _ in range(n)]
     words, terms = sorted(set(make(150))), sorted({(t, bool(i % 2)) for i, t in enumerate(make(80))})
-    got = search.expand_terms(spark.createDataFrame(terms, "term STRING, is_last BOOLEAN"), spark.createDataFrame([(w,) for w in words], "word STRING"))
+    known = spark.createDataFrame([(w,) for w in words], "word STRING")
+    asked = spark.createDataFrame(terms, "term STRING, is_last BOOLEAN")
+    got = search.expand_terms(asked, search.spellings(known), search.prefixes(known))
     expected = []
     for term, last in terms:
         budget = 2 if len(term) >= 9 else 1 if len(term) >= 5 else 0
