@@ -34,6 +34,8 @@ BROADCAST_BYTES = 64 << 20
 # Rows per side in one scored block, and scores held at a time while scoring it.
 BLOCK_ROWS = 20_000
 BLOCK_CELLS = 8 << 20
+# Rows per batch when a query is copied to the lists it visits.
+COPY_ROWS = 10_000
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -76,6 +78,24 @@ def _best(qid: np.ndarray, q: np.ndarray, bid: np.ndarray, b: np.ndarray, k: int
     )
 
 
+def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a score matrix of ``width`` columns stays small."""
+    step = max(1, BLOCK_CELLS // max(width, 1))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
+def _copies(batch: pa.RecordBatch, rows: np.ndarray, lists: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(list_id, id, v) for the given rows of a batch, a row once per list, in small batches."""
+    for start in range(0, len(rows), COPY_ROWS):
+        part = pa.array(rows[start : start + COPY_ROWS])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(lists[start : start + COPY_ROWS], pa.int32()), batch["id"].take(part), batch["v"].take(part)],
+            names=["list_id", "id", "v"],
+        )
+
+
 def merge_best(candidates: DataFrame, k: int) -> DataFrame:
     """k best of the per-block results, ranked from 1."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("neighbor_id"))
@@ -170,9 +190,7 @@ def assign_lists(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     held = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, len(held.value)):
             scores = _matrix(batch["v"]) @ held.value.T
             best = scores.argmax(axis=1)
             angle = np.arccos(np.clip(scores[np.arange(len(best)), best], -1.0, 1.0))
@@ -261,16 +279,10 @@ def probe(index: Index, queries: DataFrame, nprobe: int) -> DataFrame:
     count = min(nprobe, len(index.centroids))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, len(held.value)):
             scores = _matrix(batch["v"]) @ held.value.T
             lists = np.argsort(-scores, axis=1, kind="stable")[:, :count]
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), count))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lists.ravel(), pa.int32()), batch["id"].take(rows), batch["v"].take(rows)],
-                names=["list_id", "id", "v"],
-            )
+            yield from _copies(batch, np.repeat(np.arange(batch.num_rows), count), lists.ravel())
 
     return queries.mapInArrow(nearest, "list_id INT, id BIGINT, v ARRAY<DOUBLE>")
 
@@ -299,9 +311,7 @@ def search_exact(index: Index, queries: DataFrame, k: int, query_key: str, nprob
 
     def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, radii, sizes = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, len(centroids)):
             q = _matrix(batch["v"])
             length = np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
             scores = q @ centroids.T
@@ -312,11 +322,7 @@ def search_exact(index: Index, queries: DataFrame, k: int, query_key: str, nprob
             open_ = (bound >= floor - 1e-6 * np.maximum(length, 1.0)) & (sizes > 0)[None, :]
             seen = np.argsort(-scores, axis=1, kind="stable")[:, :count]
             np.put_along_axis(open_, seen, False, axis=1)
-            rows, lists = np.nonzero(open_)
-            rows = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lists, pa.int32()), batch["id"].take(rows), batch["v"].take(rows)], names=["list_id", "id", "v"]
-            )
+            yield from _copies(batch, *np.nonzero(open_))
 
     more = known.mapInArrow(remaining, "list_id INT, id BIGINT, v ARRAY<DOUBLE>")
     return merge_best(first.drop("rank").unionByName(_visit(index, more, k)), k)
