@@ -39,3 +39,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failure_bits & 3) <> 0 AS base_failed, failure_bits = 0 AS kept, failure_bits
 FROM bits
 """
+
+ORACLES["op10_host_reputation"] = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+placed AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+outcomes AS (
+  SELECT host, quality AS good FROM (
+    SELECT host, regexp_extract(path, '^/[^/]*/([0-9]{1,18})', 1) AS number FROM placed)
+  JOIN labels ON number <> '' AND doc_id = try_cast(number AS BIGINT) WHERE quality IS NOT NULL),
+counted AS (SELECT host, sum(good) AS k, count(*) AS n FROM outcomes GROUP BY host),
+hosts AS (
+  SELECT host, coalesce(k, 0)::DOUBLE AS k, coalesce(n, 0)::DOUBLE AS n, string_split(host, '.') AS p
+  FROM (SELECT DISTINCT host FROM placed) LEFT JOIN counted USING (host)),
+levels AS (
+  SELECT host, k, n, len(p) AS parts, p,
+    length(p[-1]) = 2 AND len(p) > 1 AND p[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') AS country FROM hosts),
+named AS (
+  SELECT host, k, n,
+    array_to_string(p[greatest(1, parts - country::INT):parts], '.') AS suffix,
+    array_to_string(p[greatest(1, parts - 1 - country::INT):parts], '.') AS domain FROM levels),
+root AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM named),
+s0 AS (SELECT suffix, sum(k) AS k, sum(n) AS n, any_value(mean) AS mean FROM named, root GROUP BY suffix),
+s_fit AS (SELECT 1 / greatest(1 / 1001.0, least(0.5, coalesce(sum(pow(k - n * mean, 2) / n - mean * (1 - mean)) FILTER (n > 0)
+  / nullif(greatest(sum(mean * (1 - mean) * (n - 1)) FILTER (n > 0), 0), 0), 0))) - 1 AS s FROM s0),
+s1 AS (SELECT suffix, (k + s * mean) / (n + s) AS mean FROM s0, s_fit),
+d0 AS (SELECT domain, sum(k) AS k, sum(n) AS n, any_value(mean) AS mean FROM named JOIN s1 USING (suffix) GROUP BY domain),
+d_fit AS (SELECT 1 / greatest(1 / 1001.0, least(0.5, coalesce(sum(pow(k - n * mean, 2) / n - mean * (1 - mean)) FILTER (n > 0)
+  / nullif(greatest(sum(mean * (1 - mean) * (n - 1)) FILTER (n > 0), 0), 0), 0))) - 1 AS s FROM d0),
+d1 AS (SELECT domain, (k + s * mean) / (n + s) AS mean FROM d0, d_fit),
+h0 AS (SELECT host, k, n, mean FROM named JOIN d1 USING (domain)),
+h_fit AS (SELECT 1 / greatest(1 / 1001.0, least(0.5, coalesce(sum(pow(k - n * mean, 2) / n - mean * (1 - mean)) FILTER (n > 0)
+  / nullif(greatest(sum(mean * (1 - mean) * (n - 1)) FILTER (n > 0), 0), 0), 0))) - 1 AS s FROM h0),
+h1 AS (SELECT host, (k + s * mean) / (n + s) AS m, n + s AS w FROM h0, h_fit),
+rules(rule, on_host, on_path, verdict) AS (VALUES
+  ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+  ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+ruled AS (
+  SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM placed)
+  JOIN rules ON (host = on_host OR ends_with(host, '.' || on_host)) AND starts_with(path, on_path) GROUP BY host, path)
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN m - 1.645 * sqrt(m * (1 - m) / (w + 1)) >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict
+FROM placed JOIN h1 USING (host) LEFT JOIN ruled USING (host, path)
+"""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coocatlas.llm import quality_rules
+from coocatlas.llm import host_reputation, html_text, packing, quality_rules, sharding
 from coocatlas.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,50 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *quality_rules.MEASURES[:5], (~quality_rules.passes("v1")).alias("base_failed"),
         quality_rules.passes().alias("kept"), F.col("failures").alias("failure_bits"),
     )
+
+
+HOST_RULES = (
+    host_reputation.Rule("org", "/", "allow"),
+    host_reputation.Rule("example.org", "/es/", "block"),
+    host_reputation.Rule("example.org", "/en/1", "block"),
+    host_reputation.Rule("com", "/fr/", "allow"),
+    host_reputation.Rule("com", "/de/", "block"),
+)
+
+
+@query
+def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages; an outcome is the quality label of the document that a path's number names."""
+    pages, labels = read(spark, sf_dir, "pages").select("page_id", "url"), read(spark, sf_dir, "labels")
+    number = F.regexp_extract(host_reputation.path_of(F.col("url")), r"^/[^/]*/([0-9]{1,18})", 1)
+    named = pages.select("url", number.alias("number")).where("number <> ''")
+    named = named.select("url", F.col("number").cast("bigint").alias("doc_id"))
+    outcomes = named.join(labels.select("doc_id", F.col("quality").alias("good")), "doc_id").select("url", "good")
+    return host_reputation.judge(pages, outcomes, HOST_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op7_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes, equal texts together."""
+    rows = sharding.shard_documents(read(spark, sf_dir, "documents"), shards=40)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+
+
+@query
+def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 along the curve; the ids are given by their checksum."""
+    pieces = packing.pack(
+        read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
