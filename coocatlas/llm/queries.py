@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coocatlas.llm import host_reputation, html_text, packing, quality_rules, sharding
+from coocatlas.llm import host_reputation, html_text, packing, quality_rules, sharding, suffix_search
 from coocatlas.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,15 @@ def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query
+def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of all documents, every item searched."""
+    documents, benchmark = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
+    rows = suffix_search.search(documents, benchmark)
+    return rows.select(
+        "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("found.items"), ",").cast("binary"), 256).alias("items_sha256"),
+        suffix_search.contaminated().alias("contaminated"), "found.longest", "found.longest_start", "found.longest_item",
+    )
