@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coocatlas.llm import host_reputation, html_text, packing, quality_rules, sharding, suffix_search
+from coocatlas.llm import host_reputation, html_text, hyperminhash, packing, quality_rules, sharding, suffix_search
 from coocatlas.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,10 @@ def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("found.items"), ",").cast("binary"), 256).alias("items_sha256"),
         suffix_search.contaminated().alias("contaminated"), "found.longest", "found.longest_start", "found.longest_item",
     )
+
+
+@query
+def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    rows = hyperminhash.components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
