@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coocatlas.llm import host_reputation, html_text, hyperminhash, packing, quality_rules, sharding, suffix_search
+from coocatlas.llm import host_reputation, html_text, hyperminhash, maxent_lm, packing, quality_rules, sharding, suffix_search
 from coocatlas.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     rows = hyperminhash.components(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+@query
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the model trained on those outside fold 0."""
+    return maxent_lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -26,7 +26,7 @@ def staged(frame: DataFrame, label: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/coocatlas-llm/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
