@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coocatlas.llm import host_reputation, html_text, hyperminhash, maxent_lm, packing, quality_rules, sharding, suffix_search
+from coocatlas.llm import host_reputation, html_text, hyperminhash, maxent_lm, packing, personal_data, quality_rules, sharding, suffix_search
 from coocatlas.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,17 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under the model trained on those outside fold 0."""
     return maxent_lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base spans by digest, all spans in full."""
+    rows = personal_data.spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in personal_data.KINDS]
+    digest = F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256")
+    return rows.select("doc_id", *counts, digest, _joined("spans").alias("spans"))
