@@ -297,17 +297,19 @@ def _tag(batches: Iterator[pa.RecordBatch], names: tuple[str, str, str], text: s
 def deduplicate(documents: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all its columns; empty texts stay."""
     _, classes = classified(documents)
-    names = []
+    names: list[str] = []
     for stem in ("n", "d1", "d2", "keep_d1", "keep_d2", "keep", "nth"):
         names.append(free_name(f"_{stem}", [*documents.columns, *names]))
     n, d1, d2, keep_d1, keep_d2, keep, nth = names
     schema = T.StructType([*documents.schema.fields, *(T.StructField(x, T.LongType()) for x in (n, d1, d2))])
     tagged = documents.mapInArrow(lambda batches: _tag(batches, (n, d1, d2), "text"), schema)
+    # empty sets share one digest: give each a key of its own, so that they spread
+    tagged = tagged.withColumn(d1, F.when(F.col(n) > 0, F.col(d1)).otherwise(F.monotonically_increasing_id()))
     kept = classes.select(
         F.col("least.d1").alias(keep_d1), F.col("least.d2").alias(keep_d2), F.col("least.rep").alias(keep)).distinct()
-    chosen = tagged.where(F.col(n) > 0).join(
-        kept, (F.col(d1) == F.col(keep_d1)) & (F.col(d2) == F.col(keep_d2)) & F.col("doc_id").eqNullSafe(F.col(keep)))
+    # doc_id is a join key too, so a large group of copies is dealt to many tasks
+    same = (F.col(d1) == F.col(keep_d1)) & (F.col(d2) == F.col(keep_d2)) & F.col("doc_id").eqNullSafe(F.col(keep))
+    chosen = tagged.join(kept, same, "left").where((F.col(n) == 0) | F.col(keep_d1).isNotNull())
     first = Window.partitionBy(d1, d2).orderBy("text")
-    chosen = chosen.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    return chosen.select(*columns).unionByName(tagged.where(F.col(n) == 0).select(*columns))
+    chosen = chosen.withColumn(nth, F.row_number().over(first)).where((F.col(nth) == 1) | (F.col(n) == 0))
+    return chosen.select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -86,3 +86,34 @@ SELECT page_id, host, path, rule,
   coalesce(verdict, CASE WHEN m - 1.645 * sqrt(m * (1 - m) / (w + 1)) >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict
 FROM placed JOIN h1 USING (host) LEFT JOIN ruled USING (host, path)
 """
+
+ORACLES["op3_preference_pairs"] = r"""
+WITH turns AS (
+  SELECT conv_id, role, coalesce(text, '') AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS nth FROM conversations),
+marked AS (
+  SELECT *, max(nth) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS final,
+    last_value(CASE WHEN role = 'assistant' THEN t END IGNORE NULLS)
+      OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM turns),
+sides AS (
+  SELECT conv_id, nth, coalesce(role, 'user') AS role, t AS c,
+    CASE WHEN nth = final THEN coalesce(earlier, '') ELSE t END AS r FROM marked WHERE nth <= final),
+common AS (
+  SELECT *, bool_and(c = r) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS shared FROM sides),
+rendered AS (
+  SELECT *, '<|' || role || '|>' || chr(10) || c || '<|end|>' || chr(10) AS ct,
+    '<|' || role || '|>' || chr(10) || r || '<|end|>' || chr(10) AS rt FROM common),
+placed AS (
+  SELECT *,
+    sum(CASE WHEN shared THEN 0 ELSE length(ct) END) OVER (PARTITION BY conv_id ORDER BY nth) AS ce,
+    sum(CASE WHEN shared THEN 0 ELSE length(rt) END) OVER (PARTITION BY conv_id ORDER BY nth) AS re FROM rendered)
+SELECT conv_id, count(*) FILTER (shared) AS n_common,
+  coalesce(string_agg(ct, '' ORDER BY nth) FILTER (shared), '') AS prompt,
+  coalesce(string_agg(ct, '' ORDER BY nth) FILTER (NOT shared), '') AS chosen,
+  coalesce(string_agg((ce - length(ct) + 14)::VARCHAR || ':' || (ce - 1)::VARCHAR, ',' ORDER BY nth)
+    FILTER (NOT shared AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(rt, '' ORDER BY nth) FILTER (NOT shared), '') AS rejected,
+  coalesce(string_agg((re - length(rt) + 14)::VARCHAR || ':' || (re - 1)::VARCHAR, ',' ORDER BY nth)
+    FILTER (NOT shared AND role = 'assistant'), '') AS rejected_mask
+FROM placed GROUP BY conv_id
+"""

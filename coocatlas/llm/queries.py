@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coocatlas.llm import host_reputation, html_text, hyperminhash, maxent_lm, packing, personal_data, quality_rules, sharding, suffix_search
+from coocatlas.llm import host_reputation, html_text, hyperminhash, maxent_lm, packing, personal_data, preference, quality_rules, sharding, suffix_search
 from coocatlas.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,15 @@ def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in personal_data.KINDS]
     digest = F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256")
     return rows.select("doc_id", *counts, digest, _joined("spans").alias("spans"))
+
+
+@query
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of every conversation that has an assistant turn."""
+    pairs = preference.format_pairs(preference.replies_as_pairs(read(spark, sf_dir, "conversations")))
+
+    def shown(mask: str) -> Column:
+        return F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(mask)
+
+    return pairs.select(
+        F.col("pair_id").alias("conv_id"), "n_common", "prompt", "chosen", shown("chosen_mask"), "rejected", shown("rejected_mask"))
