@@ -158,8 +158,13 @@ def passes(policy: str = CURRENT, bits: Column | str = "failures") -> Column:
 def apply_policy(documents: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """The documents, with all their columns, that the policy keeps."""
     name = free_name("m", documents.columns)
-    kept = measured(documents, text, name).where(passes(policy, failures(lambda m: F.col(f"`{name}`")[m])))
-    return kept.drop(name)
+    bits = free_name("failures", [*documents.columns, name])
+    rows = measured(documents, text, name)
+    found = failures(lambda m: F.col(f"`{name}`")[m])
+    # a column the optimizer holds to be nondeterministic keeps the filter above the
+    # projections; pushed below them it would repeat every measurement per rule
+    rows = rows.withColumn(bits, F.when(F.spark_partition_id() >= 0, found))
+    return rows.where(passes(policy, F.col(f"`{bits}`"))).drop(name, bits)
 
 
 def ablations(ledger_rows: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
