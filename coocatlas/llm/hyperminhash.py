@@ -9,8 +9,9 @@
 4. Shingles held by one candidate class only bound the overlap of any pair from above. The
    bound is exact and removes the pairs that a shared passage alone brings together.
 5. Each bucket's members are first paired with its most central one (a star). A second
-   round pairs only members that are still in different components, so a group of n near
-   copies costs about n pairs and no link between different components is lost.
+   round pairs only members that are still in different components and that exact bounds
+   on their common shingles allow, so a group of n near copies costs about n pairs and no
+   link between different components is lost.
 6. Pairs pass a collision-corrected similarity estimate 5 deviations below the threshold,
    and are then confirmed on their full shingle sets.
 7. Components are found by label propagation with pointer jumping over staged tables.
@@ -42,6 +43,8 @@ LINK = (100, 75)
 BANDS, ROWS = 32, 3
 REGISTERS = BANDS * ROWS
 MANTISSA = 11
+#: A shingle that at most so many open members hold is rare (see _across).
+RARE = 8
 
 _MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64)).astype(np.uint32)
@@ -224,6 +227,38 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _across(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of bucket members in different components that could be linked; members: key, cid, n, label.
+
+    A shingle is rare if at most RARE of the members hold it. A pair that shares no rare
+    shingle has at most its other shingles in common, and only pairs for which these suffice
+    come from the buckets. A pair that shares s rare shingles is met on each of them, by
+    lists of at most RARE members, and at most s more are in common. Both bounds are exact.
+    """
+    nodes = members.select("cid", "n", "label").distinct()
+    held = staged(texts.join(nodes.select("cid"), "cid").mapInArrow(_shingles, "cid long, shingle long"), "held")
+    few = held.groupBy("shingle").agg(F.count("*").alias("k")).where(F.col("k") <= RARE)
+    rare = staged(held.join(few, "shingle"), "rare")
+    own = rare.groupBy("cid").agg(F.count("*").alias("q"))
+    sized = nodes.join(own, "cid", "left").select("cid", "n", F.coalesce("q", F.lit(0)).alias("q"), "label")
+    sized = staged(sized, "sized")
+
+    placed = members.select("key", "cid").join(sized, "cid").where(LINK[0] * (F.col("n") - F.col("q")) >= LINK[1] * F.col("n"))
+    left, right = (placed.toDF(*(f"{c}_{side}" if c != "key" else c for c in placed.columns)) for side in "ab")
+    apart = F.col("label_a") < F.col("label_b")
+    ordered = F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")
+    common = left.join(right, "key").where(
+        apart & _possible(F.col("n_a"), F.col("q_a"), F.col("n_b"), F.col("q_b"))).select(*ordered)
+
+    listed = rare.where("k > 1").select("shingle", "cid").join(sized, "cid")
+    left, right = (listed.toDF(*(f"{c}_{side}" if c != "shingle" else c for c in listed.columns)) for side in "ab")
+    met = left.join(right, "shingle").where(apart).groupBy(
+        *ordered, F.least(F.col("n_a") - F.col("q_a"), F.col("n_b") - F.col("q_b")).alias("rest"),
+        (F.col("n_a") + F.col("n_b")).alias("both")).agg(F.count("*").alias("s"))
+    most = F.col("rest") + F.col("s")
+    return common.union(met.where(LINK[0] * most >= LINK[1] * (F.col("both") - most)).select("a", "b")).distinct()
+
+
 def _class_components(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """cid, label for the classes linked with another class."""
     bands = staged(classes.select("cid", "registers").mapInArrow(_band, "key long, cid long"), "bands")
@@ -253,12 +288,8 @@ def _class_components(classes: DataFrame, documents: DataFrame) -> DataFrame:
     placed = members.join(labels.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     placed = staged(placed, "labelled")
     open_ = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = staged(placed.join(open_, "key"), "open")
-    left = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "r", "label")])
-    right = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "r", "label")])
-    across = left.join(right, "key").where(
-        (F.col("label_a") < F.col("label_b")) & _possible(F.col("n_a"), F.col("r_a"), F.col("n_b"), F.col("r_b")))
-    pairs = across.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
+    rest = staged(placed.join(open_, "key").select("key", "cid", "n", "label"), "open")
+    pairs = _across(rest, texts)
     pairs = staged(pairs.join(stars, ["a", "b"], "left_anti"), "across")
     second = _links(pairs, classes, texts, "across")
     return connected(first.union(second))
