@@ -44,7 +44,7 @@ BANDS, ROWS = 32, 3
 REGISTERS = BANDS * ROWS
 MANTISSA = 11
 #: A shingle that at most so many open members hold is rare (see _across).
-RARE = 8
+RARE = 64
 
 _MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64)).astype(np.uint32)

@@ -109,8 +109,11 @@ def _joined(spans: str) -> Column:
 def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: base spans by digest, all spans in full."""
     rows = personal_data.spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in personal_data.KINDS]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in personal_data.KINDS]
     digest = F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256")
     return rows.select("doc_id", *counts, digest, _joined("spans").alias("spans"))
 

@@ -103,7 +103,10 @@ def _elect(df: DataFrame, key: str, canonical: str, group: dict[str, Column]) ->
     """
     keyed = df.drop(canonical).withColumns(group)
     elected = keyed.groupBy(*group).agg(F.min(key).alias(canonical))
-    return keyed.join(elected, list(group)).drop(*group)
+    # null keys form a group too
+    renamed = elected.toDF(*(f"{name}_of" for name in group), canonical)
+    same = [F.col(name).eqNullSafe(F.col(f"{name}_of")) for name in group]
+    return keyed.join(renamed, same).drop(*group, *(f"{name}_of" for name in group))
 
 
 def _title(column: str) -> Column:

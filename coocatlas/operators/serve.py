@@ -104,15 +104,15 @@ def recommend(
     ``requests`` has rowid and may have its own popfloor column. Neighbours come from
     the recable rows, by exact search or from a prepared index over them. The fetch
     depth applies before the seed itself, unpopular rows and repeated artists are
-    dropped, so a result may be shorter than ``limit``. Seeds without a vector give no
-    rows here; ``recommend_status`` tells them apart from seeds without results.
+    dropped, so a result may be shorter than ``limit``. A repeated request gives its
+    rows once. Seeds without a vector give no rows here; ``recommend_status`` tells them apart from seeds without results.
     """
     _in_range("limit", limit, 1, 50)
     _in_range("popfloor", popfloor, 0)
     e = entity(name)
     diversifiable = diverse and name in DIVERSIFIABLE
     floor = F.col("popfloor").cast("double") if "popfloor" in requests.columns else F.lit(float(popfloor))
-    asked = requests.select(F.col("rowid").cast("bigint").alias("query_id"), floor.alias("popfloor"))
+    asked = requests.select(F.col("rowid").cast("bigint").alias("query_id"), floor.alias("popfloor")).distinct()
     depth = fetch_depth(limit, diversifiable, F.col("popfloor"))
     k = 20 * limit + 1 if diversifiable or popfloor > 0 or "popfloor" in requests.columns else limit + 1
 

@@ -123,8 +123,9 @@ def exact_neighbours(
 
     If one side is small it is sent to the tasks that stream the other. If neither is,
     the base is cut into inverted lists and each query visits the lists that could
-    still hold one of its k best, which is exact without scoring every list. The index
-    holds unit vectors, so large sides must be normalised before.
+    still hold one of its k best, which is exact without scoring every list. Lists need
+    unit vectors in the base; a base of other lengths is scored block by block instead,
+    so that every way ranks by the inner product of the vectors as given.
     """
     q, b = _keyed(queries, query_key), _keyed(base, base_key)
     spark = q.sparkSession
@@ -150,8 +151,17 @@ def exact_neighbours(
                     yield from _best(qid, qv, _ids(batch["id"]), _matrix(batch["v"]), k).to_batches()
 
         return merge_best(b.mapInArrow(over_base, NEIGHBOURS), k)
-    index = train_index(base, base_key)
-    return search_exact(index, queries, k, query_key)
+    if _unit(b):
+        return search_exact(train_index(base, base_key), queries, k, query_key)
+    lists = checkpoint(b.select(F.lit(0).alias("list_id"), "id", "v"))
+    whole = Index(lists, np.zeros((1, 1)), np.array([lists.count()]), np.array([np.pi]))
+    return merge_best(_visit(whole, q.select(F.lit(0).alias("list_id"), "id", "v"), k), k)
+
+
+def _unit(vectors: DataFrame) -> bool:
+    """Whether all vectors have unit length, as float values can have it."""
+    squared = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
+    return vectors.agg(F.max(F.abs(squared - 1))).first()[0] < 1e-5
 
 
 @dataclass(frozen=True)

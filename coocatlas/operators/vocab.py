@@ -154,7 +154,10 @@ def _written_chunks(spark, path: str) -> DataFrame | None:
 def chunk_manifest(playlists: DataFrame, chunk_size: int, offset: int = 0) -> DataFrame:
     """One row describing an export; write it with ``coalesce(1).write.json``."""
     total = F.count("*")
-    selected = total - offset if offset >= 0 else F.least(total, F.lit(-offset).cast("bigint"))
+    kept = total - offset if offset >= 0 else F.lit(-offset).cast("bigint")
+    outside = F.raise_error(F.concat(F.lit(f"offset {offset} out of range for "), total.cast("string"), F.lit(" playlists")))
+    # as in playlist_slice, an offset must leave at least one playlist
+    selected = kept if offset == 0 else F.when(total > abs(offset), kept).otherwise(outside.cast("bigint"))
     return playlists.agg(selected.alias("total_playlists")).select(
         F.ceil(F.col("total_playlists") / chunk_size).cast("bigint").alias("total_chunks"),
         F.lit(chunk_size).alias("playlists_per_chunk"),

@@ -37,7 +37,8 @@ class Atlas:
         projections: dict[str, DataFrame] | None = None, sf_dir: str | None = None,
     ):
         self.sources = sources
-        self.staging = staging
+        given = sorted((name, frame.semanticHash()) for name, frame in (projections or {}).items())
+        self.staging = staging.under(repr(settings), repr(given))
         self.settings = settings
         self.sf_dir = sf_dir
         self._projections = projections

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import tempfile
 import uuid
@@ -39,6 +40,12 @@ class Staging:
         name = hashlib.sha1(label.encode()).hexdigest()[:12] + (f"-{uuid.uuid4().hex[:8]}" if fresh else "")
         self.root = f"{shared_dir(spark).rstrip('/')}/coocatlas/{app}/{name}"
 
+    def under(self, *parts: str) -> Staging:
+        """The same staging, apart for each value of ``parts``, such as the settings of a build."""
+        other = copy.copy(self)
+        other.root = f"{self.root}/{hashlib.sha1(chr(0).join(parts).encode()).hexdigest()[:12]}"
+        return other
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
