@@ -2,7 +2,7 @@
 
 ORACLES: dict[str, str] = {}
 
-ORACLES["op4_quality_rules"] = r"""
+_LEDGER = r"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
 words AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
 windows AS (
@@ -35,11 +35,27 @@ bits AS (
     | ((100 * n_upper > 40 * word_chars)::BIGINT << 5)
     | ((100 * n_shouts > 30 * n_words)::BIGINT << 6) AS failure_bits
   FROM measured)
+"""
+
+ORACLES["op4_quality_rules"] = _LEDGER + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failure_bits & 3) <> 0 AS base_failed, failure_bits = 0 AS kept, failure_bits
 FROM bits
 """
 
+ORACLES["rule_ablations"] = _LEDGER + """,
+rules(rule, bit, since) AS (VALUES
+  ('few_words', 1, 1), ('repeated_windows', 2, 1), ('symbols', 4, 2), ('repeated_lines', 8, 2),
+  ('word_length', 16, 2), ('upper_case', 32, 2), ('shouting', 64, 2)),
+policies(policy, version, mask) AS (VALUES ('v1', 1, 3), ('v2', 2, 127))
+SELECT policy, rule,
+  coalesce(sum(((failure_bits & mask) = 0)::BIGINT), 0)::BIGINT AS n_kept,
+  coalesce(sum(((failure_bits & bit) <> 0)::BIGINT), 0)::BIGINT AS n_failed,
+  coalesce(sum(((failure_bits & mask) = bit)::BIGINT), 0)::BIGINT AS n_failed_alone,
+  coalesce(sum(((failure_bits & mask & ~bit) = 0)::BIGINT), 0)::BIGINT AS n_kept_without
+FROM policies JOIN rules ON since <= version JOIN bits ON true GROUP BY policy, rule
+"""
+
 ORACLES["op10_host_reputation"] = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),

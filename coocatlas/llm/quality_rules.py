@@ -5,7 +5,7 @@ bit per failed rule, so a policy (a named set of rules) is a bit test, and the e
 any rule on any policy is a bitwise aggregate over the distinct failure masks.
 
 No shuffle is needed to build the ledger or to apply a policy, and repeated windows are
-found inside the row by sorting window hashes and comparing the words of equal ones.
+found inside the row by sorting the windows of texts in which a window hash repeats.
 
 Defined results: a null or blank text has no words and fails ``few_words``; nulls in other
 columns pass through; repeated rows give repeated rows; an empty table gives an empty one;
@@ -16,12 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coocatlas.functions.let import let
 from coocatlas.llm.tables import free_name
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -70,25 +68,16 @@ def _left(text: Column, taken: str) -> Column:
     return F.length(F.regexp_replace(text, taken, ""))
 
 
-def _covered_words(words: Column, keys: Column, shift: Column) -> Column:
-    """Words inside windows that occur twice: ``keys`` holds (window hash, start) packed and sorted."""
-    def start(key: Column) -> Column:
-        return (key - F.call_function("shiftleft", F.call_function("shiftright", key, shift), shift)).cast("int")
-
-    def equal(p: Column, q: Column) -> Column:
-        return reduce(Column.__and__, [F.get(words, p + d) == F.get(words, q + d) for d in range(3)])
-
+def _covered_words(windows: Column) -> Column:
+    """Words inside windows that occur twice: ``windows`` holds (window, start), sorted."""
     def as_before(j: Column) -> Column:
-        """The window at sorted place j equals the one before: by hash first, then by its words."""
-        this, last = F.get(keys, j), F.get(keys, j - 1)
-        same_hash = F.call_function("shiftrightunsigned", this.bitwiseXOR(last), shift) == 0
-        return same_hash & equal(start(this), start(last))
+        return F.get(windows, j)["window"] == F.get(windows, j - 1)["window"]
 
     def both(j: Column) -> Column:
-        starts = F.array(start(F.get(keys, j)), start(F.get(keys, j - 1)))
+        starts = F.array(F.get(windows, j)["start"], F.get(windows, j - 1)["start"])
         return F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))
 
-    again = F.filter(F.sequence(F.lit(1), F.size(keys) - 1), as_before)
+    again = F.filter(F.sequence(F.lit(1), F.size(windows) - 1), as_before)
     return F.size(F.array_distinct(F.flatten(F.transform(again, both))))
 
 
@@ -96,42 +85,47 @@ def measured(frame: DataFrame, text: str = "text", into: str = "m") -> DataFrame
     """``frame`` with a struct column ``into`` of all MEASURES, each a long; a null text counts as empty.
 
     The steps are projections and not one expression: an array used twice by a later
-    projection is computed once and by generated code. A window key packs a hash of the
-    window above its start, so sorting plain longs brings equal windows together.
+    projection is computed once and by generated code. The measurements leave through a
+    generator of one row, which no filter can be pushed below: a filter on them would
+    otherwise be evaluated on the texts, all measurements once more for each rule in it.
+    Texts whose window hashes all differ hold no repeat. For the others the windows
+    themselves are sorted, so that a hash collision changes nothing.
     """
     taken = [*frame.columns, into]
     names = {}
-    for stem in ("t", "w", "lines", "hashes", "keys", "shift"):
+    for stem in ("t", "w", "lines", "hashes", "windows"):
         names[stem] = free_name(f"_{stem}", taken)
         taken.append(names[stem])
-    t, w, lines, hashes, keys, shift = (F.col(f"`{name}`") for name in names.values())
+    t, w, lines, hashes, windows = (F.col(f"`{name}`") for name in names.values())
     out = frame.withColumn(names["t"], F.coalesce(F.col(f"`{text}`"), F.lit("")))
     out = out.withColumns({
         names["w"]: F.filter(F.split(t, SEPARATORS), lambda x: x != ""),
         names["lines"]: F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
     })
     places = F.when(F.size(w) > 2, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
-    out = out.withColumns({
-        names["hashes"]: F.transform(places, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))),
-        names["shift"]: F.length(F.bin(F.size(w).cast("bigint"))),
-    })
     out = out.withColumn(
-        names["keys"],
-        F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.array().cast("array<bigint>")).otherwise(
-            F.sort_array(F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, shift) + i))),
+        names["hashes"], F.transform(places, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+
+    def window(i: Column) -> Column:
+        return F.struct(
+            F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("window"), i.cast("int").alias("start"))
+
+    out = out.withColumn(
+        names["windows"],
+        F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(F.transform(places, window))),
     )
     values = {
         "n_words": F.size(w),
         "word_chars": F.length(F.array_join(w, "")),
         "n_symbols": _left(t, r"[^#*$%&|<>]+"),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": F.when(F.size(keys) == 0, 0).otherwise(_covered_words(w, keys, shift)),
+        "n_repeat_words": F.when(windows.isNull(), 0).otherwise(_covered_words(windows)),
         "n_lines": F.size(lines),
         "n_upper": _left(t, r"\P{Lu}+"),
         "n_shouts": F.length(t) - F.length(F.replace(t, F.lit("!"))),
     }
-    out = out.withColumn(into, F.struct(*[values[name].cast("bigint").alias(name) for name in MEASURES]))
-    return out.drop(*names.values())
+    found = F.struct(*[values[name].cast("bigint").alias(name) for name in MEASURES])
+    return out.select(*[F.col(f"`{c}`") for c in frame.columns], F.inline(F.array(F.struct(found.alias(into)))))
 
 
 def failures(measure: Callable[[str], Column]) -> Column:
@@ -160,10 +154,7 @@ def apply_policy(documents: DataFrame, policy: str = CURRENT, text: str = "text"
     name = free_name("m", documents.columns)
     bits = free_name("failures", [*documents.columns, name])
     rows = measured(documents, text, name)
-    found = failures(lambda m: F.col(f"`{name}`")[m])
-    # a column the optimizer holds to be nondeterministic keeps the filter above the
-    # projections; pushed below them it would repeat every measurement per rule
-    rows = rows.withColumn(bits, F.when(F.spark_partition_id() >= 0, found))
+    rows = rows.withColumn(bits, failures(lambda m: F.col(f"`{name}`")[m]))
     return rows.where(passes(policy, F.col(f"`{bits}`"))).drop(name, bits)
 
 

@@ -29,6 +29,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule does to each policy, over all documents."""
+    return quality_rules.ablations(quality_rules.ledger(read(spark, sf_dir, "documents")))
+
+
 HOST_RULES = (
     host_reputation.Rule("org", "/", "allow"),
     host_reputation.Rule("example.org", "/es/", "block"),

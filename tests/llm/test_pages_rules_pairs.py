@@ -1,6 +1,10 @@
 """Main text, host reputation, quality rules and preference pairs on small cases."""
 
-from llm_cases import empty_frame, odd_frame
+import random
+import time
+from collections import defaultdict
+
+from llm_cases import WORD, empty_frame, odd_frame, sentence, vocabulary
 
 from coocatlas.llm import host_reputation, html_text, preference, quality_rules
 
@@ -69,8 +73,35 @@ def test_quality_rules(spark):
     assert quality_rules.ledger(empty_frame(spark)).count() == 0
 
 
+def repeated_words(text):
+    found = WORD.findall(text or "")
+    places = defaultdict(list)
+    for i in range(len(found) - 2):
+        places[tuple(found[i:i + 3])].append(i)
+    return len({p for starts in places.values() if len(starts) > 1 for i in starts for p in (i, i + 1, i + 2)})
+
+
+def test_repeats_and_filters_of_long_texts(spark):
+    draw, few = random.Random(3), vocabulary(size=40)
+    texts = [sentence(draw, few, n) for n in (50, 400, 30_000)] + ["a b c a b c", "x x x x", "a b a b a"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = quality_rules.ledger(frame)
+    assert {r.doc_id: r.n_repeat_words for r in rows.collect()} == {i: repeated_words(t) for i, t in enumerate(texts)}
+    started = time.monotonic()
+    assert rows.where(quality_rules.passes()).count() == sum(r.failures == 0 for r in rows.collect())
+    assert rows.where("n_repeat_words > 3 and n_words < 100").groupBy("failures").count().count() > 0
+    assert time.monotonic() - started < 60
+
+
 def test_rule_ablations(spark):
-    assert quality_rules.ablations(quality_rules.ledger(odd_frame(spark))).count() > 0
+    rows = quality_rules.ledger(odd_frame(spark))
+    masks = [r.failures for r in rows.collect()]
+    for r in quality_rules.ablations(rows).collect():
+        mask, bit = quality_rules.mask_of(quality_rules.POLICIES[r.policy]), quality_rules.mask_of((r.rule,))
+        assert (r.n_kept, r.n_failed, r.n_failed_alone, r.n_kept_without) == (
+            sum(m & mask == 0 for m in masks), sum(m & bit != 0 for m in masks),
+            sum(m & mask == bit for m in masks), sum(m & mask & ~bit == 0 for m in masks))
+    assert quality_rules.ablations(quality_rules.ledger(empty_frame(spark))).count() == 0
 
 
 def test_preference_pairs(spark):
