@@ -133,3 +133,60 @@ SELECT conv_id, count(*) FILTER (shared) AS n_common,
     FILTER (NOT shared AND role = 'assistant'), '') AS rejected_mask
 FROM placed GROUP BY conv_id
 """
+
+
+def _crc32(number: str) -> str:
+    """DuckDB expression: crc32 of the decimal text of an integer, byte by byte, each bit by bit."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(({number})::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, zero: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(v) for v in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('+' || lang, '') AS seq, {_leaf('n_chars')} AS leaf,
+    CASE WHEN {_crc32('doc_id')} % 7 = 0 THEN {_leaf('n_chars::HUGEINT + 1')} ELSE {_leaf('n_chars')} END AS shown FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY seq ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY seq) AS n FROM leaves),
+tree AS (
+  SELECT seq, 0 AS lvl, idx, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT seq, lvl + 1, idx // 2, (max(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM tree
+  WHERE n > 1 GROUP BY seq, lvl, idx // 2),
+subroots AS (
+  SELECT seq, lvl AS height, digest AS subroot, row_number() OVER (ORDER BY seq) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (
+  SELECT 0 AS lvl, idx, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 2, (max(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM crown
+  WHERE n > 1 GROUP BY lvl, idx // 2),
+steps AS (
+  SELECT p.rid, t.lvl AS step, (p.idx >> t.lvl) & 1 AS is_right, s.digest
+  FROM placed p JOIN (SELECT DISTINCT seq, lvl FROM tree WHERE n > 1) t USING (seq)
+  LEFT JOIN tree s ON s.seq = p.seq AND s.lvl = t.lvl AND s.idx = xor(p.idx >> t.lvl, 1)
+  UNION ALL
+  SELECT p.rid, r.height + c.lvl, (r.idx >> c.lvl) & 1, s.digest
+  FROM placed p JOIN subroots r USING (seq) JOIN (SELECT DISTINCT lvl FROM crown WHERE n > 1) c ON true
+  LEFT JOIN crown s ON s.lvl = c.lvl AND s.idx = xor(r.idx >> c.lvl, 1)),
+folded AS (
+  SELECT rid, 0 AS step, shown AS digest FROM placed
+  UNION ALL
+  SELECT f.rid, f.step + 1, CASE WHEN s.is_right = 1 THEN sha256(coalesce(s.digest, '') || f.digest)
+    ELSE sha256(f.digest || coalesce(s.digest, '')) END
+  FROM folded f JOIN steps s ON s.rid = f.rid AND s.step = f.step),
+ends AS (SELECT rid, arg_max(digest, step) AS folded_root FROM folded GROUP BY rid),
+proofs AS (SELECT rid, sha256(coalesce(string_agg(digest, '' ORDER BY step), '')) AS proof_sha256 FROM steps GROUP BY rid)
+SELECT doc_id, leaf, subroot, digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+  folded_root = digest AS verified
+FROM placed JOIN subroots USING (seq) JOIN ends USING (rid) LEFT JOIN proofs USING (rid) JOIN crown ON crown.n = 1
+"""

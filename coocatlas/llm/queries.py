@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coocatlas.llm import host_reputation, html_text, hyperminhash, maxent_lm, packing, personal_data, preference, quality_rules, sharding, suffix_search
+from coocatlas.llm import (
+    host_reputation, html_text, hyperminhash, maxent_lm, merkle, packing, personal_data, preference, quality_rules, sharding, suffix_search,
+)
 from coocatlas.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +136,11 @@ def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return pairs.select(
         F.col("pair_id").alias("conv_id"), "n_common", "prompt", "chosen", shown("chosen_mask"), "rejected", shown("rejected_mask"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves and proofs of all documents; every seventh key is audited with one character too many."""
+    number = F.col("n_chars").cast("decimal(20,0)") + 1
+    return merkle.manifest(
+        read(spark, sf_dir, "documents"), {"n_chars": number}, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
