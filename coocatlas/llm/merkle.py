@@ -17,6 +17,8 @@ gives an empty manifest; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from hashlib import sha256
 
 import pandas as pd
@@ -45,12 +47,16 @@ def _hash(text: str) -> str:
     return sha256(text.encode()).hexdigest()
 
 
-def _levels(digests: list[str], n: int, bits: int) -> list[list[str]]:
-    """The levels of one superblock of a tree of ``n`` nodes, its own nodes first, its single top last."""
-    levels = [digests]
-    while len(levels[-1]) > 1 or (n > 1 << bits and len(levels) <= bits):
-        nodes = levels[-1]
-        levels.append([_hash("".join(nodes[i:i + 2])) for i in range(0, len(nodes), 2)])
+def _levels(nodes: pd.DataFrame, bits: int) -> list[list[str]]:
+    """The levels of one superblock, its own nodes first, its single top last.
+
+    Numbers have no gaps, so the first superblock is short only where it is the only one, and
+    is reduced until one node is left; any other one takes its ``bits`` levels, short or not.
+    """
+    levels, only = [nodes["digest"].tolist()], int(nodes["idx"].iloc[0]) < 1 << bits
+    while len(levels[-1]) > 1 or (not only and len(levels) <= bits):
+        below = levels[-1]
+        levels.append([_hash("".join(below[i:i + 2])) for i in range(0, len(below), 2)])
     return levels
 
 
@@ -71,19 +77,18 @@ def _fold(digest: str, steps: list[str]) -> str:
 
 
 def _top(nodes: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """The one node a superblock is reduced to."""
+    """The one node a superblock is reduced to; none where the superblock is a root and nothing else."""
     nodes = nodes.sort_values("idx")
-    n, first = int(nodes["n"].iloc[0]), int(nodes["idx"].iloc[0])
-    top = _levels(nodes["digest"].tolist(), n, bits)[-1][0]
-    return pd.DataFrame({
-        "seq": [nodes["seq"].iloc[0]], "idx": [first >> bits], "n": [-(-n >> bits)], "digest": [top], "payload": None, "presented": None})
+    block = int(nodes["idx"].iloc[0]) >> bits
+    top = pd.DataFrame({
+        "seq": [nodes["seq"].iloc[0]], "idx": [block], "digest": [_levels(nodes, bits)[-1][0]], "payload": None, "presented": None})
+    return top if block or len(nodes) > 1 else top[:0]
 
 
 def _descend(nodes: pd.DataFrame, above: pd.DataFrame, bits: int) -> pd.DataFrame:
     """Steps of each node of one superblock: its own levels, then what the superblock was handed."""
     nodes = nodes.sort_values("idx")
-    levels = _levels(nodes["digest"].tolist(), int(nodes["n"].iloc[0]), bits)
-    outer = list(above["steps"].iloc[0])
+    levels, outer = _levels(nodes, bits), list(above["steps"].iloc[0])
     return pd.DataFrame({
         "seq": nodes["seq"], "idx": nodes["idx"], "payload": nodes["payload"],
         "steps": [_steps(levels, place) + outer for place in range(len(nodes))],
@@ -102,38 +107,50 @@ def _prove(nodes: pd.DataFrame, above: pd.DataFrame, bits: int) -> pd.DataFrame:
         "proof_sha256": proofs, "folded_root": folded})
 
 
-_NODE = "seq string, idx long, n long, digest string, payload string, presented string"
+_NODE = "seq string, idx long, digest string, payload string, presented string"
 _HANDED = "seq string, idx long, payload string, steps array<string>, subroot string, root string"
 _PROVED = "payload string, leaf string, subroot string, root string, proof_sha256 string, folded_root string"
 
 
-def _climb(nodes: DataFrame, bits: int) -> tuple[list[DataFrame], DataFrame]:
-    """The nodes of every ``bits``-th level, lowest first, and one root per sequence."""
+@dataclass
+class Level:
+    """Nodes of one level, and the roots: the nodes that are their sequence's only one."""
+
+    nodes: DataFrame
+    roots: DataFrame
+
+    @staticmethod
+    def of(nodes: DataFrame) -> tuple[Level, int]:
+        """The level, and the nodes of its longest sequence."""
+        ends = staged(nodes.groupBy("seq").agg(F.max("idx").alias("last"), F.max("digest").alias("digest")), "merkle-ends")
+        last = ends.agg(F.max("last")).head()[0]
+        return Level(nodes, ends.where("last = 0").select("seq", "digest")), 0 if last is None else last + 1
+
+
+def _climb(nodes: DataFrame, bits: int) -> tuple[list[Level], DataFrame]:
+    """Every ``bits``-th level, lowest first, and one root per sequence."""
     def top(rows: pd.DataFrame) -> pd.DataFrame:
         return _top(rows, bits)
 
-    levels = [nodes]
-    most = nodes.agg(F.max("n")).head()[0] or 0
+    level, most = Level.of(nodes)
+    levels = [level]
     while most > 1:
-        blocks = levels[-1].where("n > 1").groupBy("seq", F.shiftright("idx", bits))
-        levels.append(staged(blocks.applyInPandas(top, _NODE), "merkle-level"))
-        most = -(-most >> bits)
-    roots = levels[0].where("n = 1")
-    for level in levels[1:]:
-        roots = roots.unionByName(level.where("n = 1"))
-    return levels, roots.select("seq", "digest")
+        blocks = levels[-1].nodes.groupBy("seq", F.shiftright("idx", bits))
+        level, most = Level.of(staged(blocks.applyInPandas(top, _NODE), "merkle-level"))
+        levels.append(level)
+    return levels, reduce(DataFrame.unionByName, [level.roots for level in levels])
 
 
-def _above(level: DataFrame, handed: DataFrame, upper: DataFrame | None) -> DataFrame:
+def _above(level: Level, handed: DataFrame, upper: DataFrame | None) -> DataFrame:
     """What the superblocks of ``level`` are handed: by the level above, or where a tree ends, from outside."""
-    ends = handed.join(level.where("n = 1").select("seq"), "seq")
+    ends = handed.join(level.roots.select("seq"), "seq")
     rows = ends.select("seq", F.lit(0).cast("long").alias("block"), "steps", "subroot", "root")
     if upper is not None:
         rows = rows.unionByName(upper.select("seq", F.col("idx").alias("block"), "steps", "subroot", "root"))
     return rows
 
 
-def _hand_down(levels: list[DataFrame], handed: DataFrame, bits: int) -> DataFrame:
+def _hand_down(levels: list[Level], handed: DataFrame, bits: int) -> DataFrame:
     """What the superblocks of the lowest level are handed."""
     upper = None
     for level in reversed(levels[1:]):
@@ -141,7 +158,7 @@ def _hand_down(levels: list[DataFrame], handed: DataFrame, bits: int) -> DataFra
     return _above(levels[0], handed, upper)
 
 
-def _exchange(level: DataFrame, above: DataFrame, finish: Callable, schema: str, bits: int) -> DataFrame:
+def _exchange(level: Level, above: DataFrame, finish: Callable, schema: str, bits: int) -> DataFrame:
     """Nodes and their required outer nodes meet by superblock."""
     def together(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
         return finish(nodes, outer, bits)
@@ -149,14 +166,7 @@ def _exchange(level: DataFrame, above: DataFrame, finish: Callable, schema: str,
     # new names: both sides come from the same rows, and a cogroup of equal columns is ambiguous
     outer = above.select(
         F.col("seq").alias("of"), F.col("block").alias("part"), *[F.col(c).alias(c) for c in ("steps", "subroot", "root")])
-    return level.groupBy("seq", F.shiftright("idx", bits)).cogroup(outer.groupBy("of", "part")).applyInPandas(together, schema)
-
-
-def _nodes(frame: DataFrame, *order: str) -> DataFrame:
-    """(seq, payload, digest, presented) numbered inside ``seq``, with the count of its rows."""
-    rows = numbered(frame, ["seq"], *order, name="idx")
-    counts = rows.groupBy("seq").agg(F.max("idx").alias("_last"))
-    return rows.join(counts, "seq").withColumn("n", F.col("_last") + 1).select("seq", "idx", "n", "digest", "payload", "presented")
+    return level.nodes.groupBy("seq", F.shiftright("idx", bits)).cogroup(outer.groupBy("of", "part")).applyInPandas(together, schema)
 
 
 def manifest(
@@ -177,10 +187,10 @@ def manifest(
         leaf(stored).alias("digest"),
         (F.lit(None) if where is None else F.when(where, leaf(shown))).cast("string").alias("presented"),
     ), "merkle-leaves")
-    levels, subroots = _climb(_nodes(leaves, "order", "digest"), bits)
+    levels, subroots = _climb(numbered(leaves, ["seq"], "order", "digest", name="idx"), bits)
     groups = subroots.select(
         F.lit("").alias("seq"), F.col("seq").alias("payload"), "digest", F.lit(None).cast("string").alias("presented"))
-    group_levels, root = _climb(_nodes(groups, "payload"), bits)
+    group_levels, root = _climb(numbered(groups, ["seq"], "payload", name="idx"), bits)
     start = root.select(
         "seq", F.array().cast("array<string>").alias("steps"), F.col("digest").alias("subroot"), F.col("digest").alias("root"))
     placed = _exchange(group_levels[0], _hand_down(group_levels, start, bits), _descend, _HANDED, bits)
