@@ -48,7 +48,7 @@ CELLS = 2_000_000
 EVIDENCE = 8.0
 
 _NOT_LETTERS = r"[^\pL\pM]+"
-_SEED = np.uint64(0x9E3779B97F4A7C15)
+_SEED = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -65,7 +65,7 @@ def grams(found: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     size = len(points) - n + 1
     if size <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.full(size, _SEED * np.uint64(n))
+    total = np.full(size, _SEED * n & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for k in range(n):
         total = (total ^ mix(points[k:k + size] + np.uint64(1))) * _STEP
     inside = owner[:size] == owner[n - 1:]
@@ -123,19 +123,16 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _floor(counts: DataFrame, most: int) -> int:
-    """The smallest count such that at most ``most`` rows reach it; steps are exact up to 64, then by sixteenths."""
-    step = F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / 64)))
-    level = (F.floor(F.col("n") / F.pow(F.lit(2.0), step + F.when(F.col("n") > 64, 2).otherwise(0)))
-             * F.pow(F.lit(2.0), step + F.when(F.col("n") > 64, 2).otherwise(0))).cast("bigint")
-    seen, least = 0, 1
+    """The smallest count that at most ``most`` rows reach; counts above 64 are told apart by their six leading bits."""
+    shift = F.greatest(F.lit(0), F.length(F.bin("n")) - 6)
+    level = F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), shift), shift)
+    seen, least = 0, 1 << 62
     for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
         seen += row["count"]
         if seen > most:
             break
         least = row["level"]
-    else:
-        return 1
-    return max(least, 1) if seen > most and least > 1 else 1 if seen <= most else (1 << 62)
+    return least
 
 
 @dataclass

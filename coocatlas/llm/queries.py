@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coocatlas.llm import (
-    host_reputation, html_text, hyperminhash, maxent_lm, merkle, packing, personal_data, preference, quality_rules, sharding, suffix_search,
+    host_reputation, html_text, hyperminhash, language_id, maxent_lm, merkle, packing, personal_data, preference, quality_rules, sharding, suffix_search,
 )
 from coocatlas.llm.tables import read
 
@@ -144,3 +144,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("n_chars").cast("decimal(20,0)") + 1
     return merkle.manifest(
         read(spark, sf_dir, "documents"), {"n_chars": number}, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from the labelled ones outside fold 2."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    return language_id.identify(read(spark, sf_dir, "documents"), F.coalesce(fold == 2, F.lit(False)))
