@@ -190,3 +190,43 @@ SELECT doc_id, leaf, subroot, digest AS root, coalesce(proof_sha256, sha256(''))
   folded_root = digest AS verified
 FROM placed JOIN subroots USING (seq) JOIN ends USING (rid) LEFT JOIN proofs USING (rid) JOIN crown ON crown.n = 1
 """
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS own
+  FROM turns GROUP BY conv_id),
+heads AS (SELECT *, {_crc32('conv_id')} % 6 AS h FROM lists),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) AS seq
+  FROM heads c LEFT JOIN lists b ON b.conv_id = c.conv_id - c.conv_id % 100),
+prefixes AS (
+  SELECT conv_id, len(seq) AS n, depth, seq[1:depth] AS prefix
+  FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS depth FROM rebuilt)),
+nodes AS (
+  SELECT min(conv_id) AS conv_id, depth, prefix, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE length(prefix[-1].text) END AS saved
+  FROM prefixes GROUP BY depth, prefix),
+members AS (
+  SELECT p.conv_id AS member, p.depth, n.conv_id FROM prefixes p JOIN nodes n ON n.depth = p.depth AND n.prefix = p.prefix),
+linked AS (
+  SELECT n.*, m.conv_id AS parent_conv_id FROM nodes n LEFT JOIN members m ON m.member = n.conv_id AND m.depth = n.depth - 1),
+children AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+counted AS (
+  SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children c ON c.conv_id = l.conv_id AND c.depth = l.depth),
+subtrees AS (
+  SELECT m.conv_id, m.depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM counted n JOIN members m ON m.member = n.conv_id AND m.depth <= n.depth GROUP BY m.conv_id, m.depth),
+stored AS (
+  SELECT n.conv_id, n.depth,
+    CASE WHEN n.depth = 0 THEN NULL WHEN n.depth <= shared THEN n.conv_id - n.conv_id % 100 ELSE n.conv_id END AS ref_conv,
+    CASE WHEN n.depth = 0 THEN NULL WHEN n.depth <= shared THEN n.depth - 1 ELSE n.depth - 1 - shared + h END AS ref_turn
+  FROM nodes n JOIN (
+    SELECT c.conv_id, c.h, least(c.h, coalesce(len(b.own), 0)) AS shared
+    FROM heads c LEFT JOIN lists b ON b.conv_id = c.conv_id - c.conv_id % 100) USING (conv_id))
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256, ref_conv, ref_turn
+FROM counted JOIN subtrees USING (conv_id, depth) JOIN stored USING (conv_id, depth)
+"""

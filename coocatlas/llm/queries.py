@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coocatlas.llm import (
-    host_reputation, html_text, hyperminhash, language_id, maxent_lm, merkle, packing, personal_data, preference, quality_rules, sharding, suffix_search,
+    host_reputation, html_text, hyperminhash, language_id, maxent_lm, merkle, packing, personal_data, preference, prefix_trie, quality_rules, sharding,
+    suffix_search,
 )
 from coocatlas.llm.tables import read
 
@@ -151,3 +152,11 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from the labelled ones outside fold 2."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     return language_id.identify(read(spark, sf_dir, "documents"), F.coalesce(fold == 2, F.lit(False)))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt on the head of the first one of its hundred."""
+    conv = F.col("conv_id")
+    return prefix_trie.build(
+        read(spark, sf_dir, "conversations"), conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6)
