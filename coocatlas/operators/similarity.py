@@ -4,6 +4,11 @@ Vectors travel as Arrow batches and are scored as matrix blocks. No pair of rows
 ever materialised: a block of queries meets a block of base vectors inside one task
 and only the k best per query leave it.
 
+An index is two tables: the lists, written partitioned by list so that a search reads only
+the lists it visits, and beside them one row per list with its centroid, size, radius and
+the longest and shortest vector in it. A base of unequal lengths is cut both by direction
+and by length: a list then holds one band of lengths of one direction.
+
 Scores are rounded to nine decimals before they are ordered. The last bits of a dot
 product depend on how rows are blocked; after rounding, equal scores are ordered by id
 and the result no longer depends on partitioning.
@@ -12,23 +17,28 @@ and the result no longer depends on partitioning.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coocatlas.functions.vectors import l2_normalize
+from coocatlas.functions.vectors import l2_normalize, norm
 from coocatlas.operators.ids import exact_sample, split_off
 from coocatlas.sources.staging import checkpoint
 
 SCORE_DIGITS = 9
 NEIGHBOURS = "query_id BIGINT, neighbor_id BIGINT, score DOUBLE"
+CELLS = "list_id INT, centroid ARRAY<DOUBLE>, n DOUBLE, radius DOUBLE, longest DOUBLE, shortest DOUBLE"
+SEED = 666
+# Most lists of an index, and bands of length each direction is cut into if lengths differ.
+MOST_LISTS = 16384
+BANDS = 8
 # A side of at most this many bytes of vectors is sent whole to every task.
 BROADCAST_BYTES = 64 << 20
 # Rows per side in one scored block, and scores held at a time while scoring it.
@@ -103,7 +113,15 @@ def merge_best(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    """(id, v); single-precision vectors stay so, everything else becomes double."""
+    kind = df.schema["embedding"].dataType.simpleString()
+    vector = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+    return df.select(F.col(key).cast("bigint").alias("id"), vector.alias("v"))
+
+
+def _with_list(vectors: DataFrame, extra: str = "") -> str:
+    """Schema of ``vectors`` (id, v) behind a list number."""
+    return f"list_id INT, {extra}id BIGINT, v {vectors.schema['v'].dataType.simpleString()}"
 
 
 def _small_side(df: DataFrame, limit_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -122,10 +140,9 @@ def exact_neighbours(
     """(query_id, neighbor_id, score, rank): the exact k best base rows per query.
 
     If one side is small it is sent to the tasks that stream the other. If neither is,
-    the base is cut into inverted lists and each query visits the lists that could
-    still hold one of its k best, which is exact without scoring every list. Lists need
-    unit vectors in the base; a base of other lengths is scored block by block instead,
-    so that every way ranks by the inner product of the vectors as given.
+    the base is cut into inverted lists, and lists of unequal lengths into bands, and each
+    query visits the lists that could still hold one of its k best, which is exact without
+    scoring every list. Every way ranks by the inner product of the vectors as given.
     """
     q, b = _keyed(queries, query_key), _keyed(base, base_key)
     spark = q.sparkSession
@@ -151,31 +168,40 @@ def exact_neighbours(
                     yield from _best(qid, qv, _ids(batch["id"]), _matrix(batch["v"]), k).to_batches()
 
         return merge_best(b.mapInArrow(over_base, NEIGHBOURS), k)
-    if _unit(b):
-        return search_exact(train_index(base, base_key), queries, k, query_key)
-    lists = checkpoint(b.select(F.lit(0).alias("list_id"), "id", "v"))
-    whole = Index(lists, np.zeros((1, 1)), np.array([lists.count()]), np.array([np.pi]))
-    return merge_best(_visit(whole, q.select(F.lit(0).alias("list_id"), "id", "v"), k), k)
+    n = base.count()
+    bands = 1 if _unit(b) else BANDS
+    nlist = max(1, list_count_for(n) // bands)
+    centroids = train_centroids(base, base_key, n, nlist, SEED, iterations=10)
+    return search_exact(build_index(base, base_key, centroids, bands), queries, k, query_key)
 
 
 def _unit(vectors: DataFrame) -> bool:
     """Whether all vectors have unit length, as float values can have it."""
-    squared = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
+    squared = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     return vectors.agg(F.max(F.abs(squared - 1))).first()[0] < 1e-5
 
 
 @dataclass(frozen=True)
 class Index:
-    """Inverted lists over unit vectors.
+    """Inverted lists.
 
-    ``lists`` has (list_id, id, v). Centroids (unit rows), list sizes and list radii
-    (largest angle to the centroid) have one entry per list, at most 16384.
+    ``lists`` has (list_id, id, v). Centroids (unit rows), sizes, radii (largest angle to the
+    centroid) and the longest and shortest vector have one entry per list, at most 16384.
     """
 
     lists: DataFrame
     centroids: np.ndarray
     sizes: np.ndarray
     radii: np.ndarray
+    longest: np.ndarray
+    shortest: np.ndarray
+
+    def bound(self, queries: np.ndarray) -> np.ndarray:
+        """Per query and list, a value that no inner product with a vector of the list exceeds."""
+        length = np.linalg.norm(queries, axis=1, keepdims=True)
+        near = np.clip(queries @ self.centroids.T / np.maximum(length, 1e-300), -1.0, 1.0)
+        cosine = np.cos(np.clip(np.arccos(near) - self.radii - 1e-7, 0.0, np.pi))
+        return length * cosine * np.where(cosine > 0, self.longest, self.shortest)
 
 
 def list_count_for(n: int) -> int:
@@ -183,58 +209,119 @@ def list_count_for(n: int) -> int:
     return int(min(max(4 * np.sqrt(n), 256), 16384))
 
 
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores as integers, so that equal ones are equal however a block was computed."""
+    return np.rint(scores * 10.0**SCORE_DIGITS).astype(np.int64)
+
+
 def train_centroids(vectors: DataFrame, key: str, n: int, nlist: int, seed: int, iterations: int) -> np.ndarray:
-    """Unit centroids from a fixed-size sample; never more lists than sampled vectors."""
-    sample = exact_sample(vectors, key, min(n, 64 * nlist), seed).select(
+    """Unit centroids from a fixed-size sample; never more lists than sampled vectors.
+
+    A vector of zeros has no direction and takes no part.
+    """
+    sample = exact_sample(l2_normalize(vectors), key, min(n, 64 * nlist), seed).select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-    )
+    ).where(F.exists("embedding", lambda x: x != 0))
+    found = sample.count()
+    if not found:
+        return np.ones((1, len(vectors.first()["embedding"])))
     model = KMeans(
-        k=min(nlist, n), distanceMeasure="cosine", initMode="random", seed=seed, maxIter=iterations
+        k=min(nlist, found), distanceMeasure="cosine", initMode="random", seed=seed, maxIter=iterations
     ).fit(sample)
-    centers = np.array(model.clusterCenters(), dtype=np.float64)
-    return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
+    return np.array(model.clusterCenters(), dtype=np.float64)
+
+
+def sampled_centroids(vectors: DataFrame, key: str, nlist: int, seed: int, portable: bool = False) -> np.ndarray:
+    """``nlist`` of the vectors themselves, by a seeded draw and in key order: lists without any training."""
+    sample = exact_sample(vectors, key, nlist, seed, portable).select(F.col(key).alias("id"), "embedding").toArrow()
+    order = np.argsort(_ids(sample["id"]), kind="stable")
+    return _matrix(sample["embedding"])[order]
+
 
+def assign_lists(vectors: DataFrame, centroids: np.ndarray, bands: int = 1, longest: float = 1.0) -> DataFrame:
+    """(list_id, angle, length, id, v): each (id, v) row with its nearest centroid and band. No shuffle.
 
-def assign_lists(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """(list_id, angle, id, v): each (id, v) row with its nearest centroid. No shuffle."""
+    List c * bands + b holds the vectors nearest to centroid c whose length lies between
+    2 ** (-(b + 1) / 2) and 2 ** (-b / 2) of the longest; the last band takes all shorter ones.
+    """
     held = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, len(held.value)):
-            scores = _matrix(batch["v"]) @ held.value.T
-            best = scores.argmax(axis=1)
-            angle = np.arccos(np.clip(scores[np.arange(len(best)), best], -1.0, 1.0))
+            v = _matrix(batch["v"])
+            length = np.linalg.norm(v, axis=1)
+            scores = v @ held.value.T
+            best = _rounded(scores).argmax(axis=1)
+            cosine = scores[np.arange(len(best)), best] / np.maximum(length, 1e-300)
+            band = np.floor(2 * np.log2(longest / np.maximum(length, 1e-300)))
+            lists = best * bands + np.clip(band, 0, bands - 1).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(best, pa.int32()), pa.array(angle, pa.float64()), batch["id"], batch["v"]],
-                names=["list_id", "angle", "id", "v"],
+                [pa.array(lists, pa.int32()), pa.array(np.arccos(np.clip(cosine, -1.0, 1.0))), pa.array(length), batch["id"], batch["v"]],
+                names=["list_id", "angle", "length", "id", "v"],
             )
 
-    return vectors.mapInArrow(nearest, "list_id INT, angle DOUBLE, id BIGINT, v ARRAY<DOUBLE>")
+    return vectors.mapInArrow(nearest, _with_list(vectors, "angle DOUBLE, length DOUBLE, "))
 
 
-def train_index(
-    vectors: DataFrame, key: str, nlist: int | None = None, seed: int = 666, iterations: int = 10, path: str | None = None
+def _written(frame: DataFrame, path: str, stats: list) -> DataFrame:
+    """The lists in one folder per list; the blocks of a large list are dealt to several tasks and files."""
+    spark = frame.sparkSession
+    blocks = spark.createDataFrame([(r["list_id"], -(-r["n"] // BLOCK_ROWS)) for r in stats], "list_id INT, blocks INT")
+    dealt = frame.join(F.broadcast(blocks), "list_id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt.repartition("list_id", "block").drop("blocks", "block").write.mode("overwrite").partitionBy("list_id").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def build_index(
+    vectors: DataFrame, key: str, centroids: np.ndarray, bands: int = 1, path: str | None = None
 ) -> Index:
-    """Train centroids on a sample, assign every vector, and write the lists.
+    """Assign every vector to a list of the given centroids and write the lists.
 
-    The lists are written (to ``path``, or as a checkpoint) because every search reads
+    The lists are written (under ``path``, or as a checkpoint) because every search reads
     them; per-list statistics are the only part that reaches the driver.
     """
+    keyed = _keyed(vectors, key)
+    if bands * len(centroids) > MOST_LISTS:
+        raise ValueError(f"at most {MOST_LISTS} lists")
+    centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-300)
+    top = keyed.agg(F.max(norm(F.col("v")))).first()[0] if bands > 1 else 1.0
+    if top is None:
+        raise ValueError("cannot index an empty table")
+    assigned = checkpoint(assign_lists(keyed, centroids, bands, top))
+    stats = assigned.groupBy("list_id").agg(
+        F.count("*").alias("n"), F.max("angle").alias("r"), F.max("length").alias("high"), F.min("length").alias("low")).collect()
+    if not stats:
+        raise ValueError("cannot index an empty table")
+    cells = np.zeros((4, bands * len(centroids)))
+    for row in stats:
+        cells[:, row["list_id"]] = row["n"], row["r"], row["high"], row["low"]
+    lists = assigned.select("list_id", "id", "v")
+    centroids = np.repeat(centroids, bands, axis=0)
+    if path is not None:
+        lists = _written(lists, f"{path}/lists", stats)
+        rows = [(i, centroid.tolist(), *map(float, cell)) for i, (centroid, cell) in enumerate(zip(centroids, cells.T, strict=True))]
+        # written last: an index is complete once this table is
+        lists.sparkSession.createDataFrame(rows, CELLS).coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+    return Index(lists, centroids, cells[0].astype(np.int64), *cells[1:])
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """A written index; only its one row per list is read here."""
+    cells = spark.read.parquet(f"{path}/cells").toArrow().sort_by("list_id")
+    lists = spark.read.parquet(f"{path}/lists").select("list_id", "id", "v")
+    values = [cells[name].to_numpy() for name in ("n", "radius", "longest", "shortest")]
+    return Index(lists, _matrix(cells["centroid"]), values[0].astype(np.int64), *values[1:])
+
+
+def train_index(
+    vectors: DataFrame, key: str, nlist: int | None = None, seed: int = SEED, iterations: int = 10, path: str | None = None
+) -> Index:
+    """Index of the unit vectors, its centroids trained on a sample."""
     n = vectors.count()
     if n == 0:
         raise ValueError("cannot index an empty table")
-    centroids = train_centroids(l2_normalize(vectors), key, n, nlist or list_count_for(n), seed, iterations)
-    assigned = assign_lists(_keyed(l2_normalize(vectors), key), centroids)
-    if path is None:
-        assigned = checkpoint(assigned)
-    else:
-        assigned.write.mode("overwrite").parquet(path)
-        assigned = vectors.sparkSession.read.parquet(path)
-    stats = assigned.groupBy("list_id").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()
-    sizes, radii = np.zeros(len(centroids), np.int64), np.zeros(len(centroids))
-    for row in stats:
-        sizes[row["list_id"]], radii[row["list_id"]] = row["n"], row["r"]
-    return Index(assigned.select("list_id", "id", "v"), centroids, sizes, radii)
+    centroids = train_centroids(vectors, key, n, nlist or list_count_for(n), seed, iterations)
+    return build_index(l2_normalize(vectors), key, centroids, path=path)
 
 
 def _visit(index: Index, probes: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -274,7 +361,9 @@ def _visit(index: Index, probes: DataFrame, k: int, block_rows: int = BLOCK_ROWS
         return _best(_ids(q["id"]), _matrix(q["v"]), _ids(b["id"]), _matrix(b["v"]), k)
 
     asked = cut(probes, "query_blocks", "base_blocks").groupBy(*keys)
-    held = cut(index.lists, "base_blocks", "query_blocks").groupBy(*keys)
+    # a condition on the lists' own column, so that the other lists' files are not read
+    kept = index.lists.where(F.col("list_id").isin([i for i, _, _ in plan]))
+    held = cut(kept, "base_blocks", "query_blocks").groupBy(*keys)
     return asked.cogroup(held).applyInArrow(score, NEIGHBOURS)
 
 
@@ -290,11 +379,11 @@ def probe(index: Index, queries: DataFrame, nprobe: int) -> DataFrame:
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, len(held.value)):
-            scores = _matrix(batch["v"]) @ held.value.T
+            scores = _rounded(_matrix(batch["v"]) @ held.value.T)
             lists = np.argsort(-scores, axis=1, kind="stable")[:, :count]
             yield from _copies(batch, np.repeat(np.arange(batch.num_rows), count), lists.ravel())
 
-    return queries.mapInArrow(nearest, "list_id INT, id BIGINT, v ARRAY<DOUBLE>")
+    return queries.mapInArrow(nearest, _with_list(queries))
 
 
 def search(index: Index, queries: DataFrame, k: int, query_key: str, nprobe: int = 1) -> DataFrame:
@@ -303,38 +392,60 @@ def search(index: Index, queries: DataFrame, k: int, query_key: str, nprobe: int
     return merge_best(_visit(index, probes, k), k)
 
 
-def search_exact(index: Index, queries: DataFrame, k: int, query_key: str, nprobe: int = 4) -> DataFrame:
-    """Exact k best per query, visiting only lists that may hold one of them.
+def _first(bound: np.ndarray, sizes: np.ndarray, k: int, nprobe: int) -> np.ndarray:
+    """Per query, the most promising lists: at least ``nprobe``, and enough of them to hold 2 k vectors."""
+    order = np.argsort(-np.where(sizes > 0, bound, -np.inf), axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    taken = (before < 2 * k) | (np.arange(bound.shape[1]) < nprobe)
+    out = np.zeros(bound.shape, bool)
+    np.put_along_axis(out, order, taken, axis=1)
+    return out & (sizes > 0)
 
-    The k-th score from the nearest lists is a floor. A list can beat it only if the
-    angle to its centroid less its radius is small enough; all such lists are visited.
-    Base vectors have unit length; the query's own length scales the bound.
-    """
-    asked = _keyed(queries, query_key)
-    first = checkpoint(merge_best(_visit(index, probe(index, asked, nprobe), k), k))
+
+def first_visits(index: Index, asked: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """(list_id, id, v): the lists that set each query's floor."""
+    held = asked.sparkSession.sparkContext.broadcast(replace(index, lists=None))
+
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = held.value
+        for batch in _slices(batches, len(cells.sizes)):
+            taken = _first(cells.bound(_matrix(batch["v"])), cells.sizes, k, nprobe)
+            yield from _copies(batch, *np.nonzero(taken))
+
+    return asked.mapInArrow(promising, _with_list(asked))
+
+
+def open_visits(index: Index, asked: DataFrame, first: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """(list_id, id, v): the other lists that may hold one of a query's k best, by the floor its first visits set."""
     floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("found"))
     known = asked.join(floors, F.col("id") == F.col("query_id"), "left").select(
         "id", "v", F.when(F.col("found") >= k, F.col("floor")).alias("floor")
     )
-    held = queries.sparkSession.sparkContext.broadcast((index.centroids, index.radii, index.sizes))
-    count = min(nprobe, len(index.centroids))
+    held = asked.sparkSession.sparkContext.broadcast(replace(index, lists=None))
 
     def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, radii, sizes = held.value
-        for batch in _slices(batches, len(centroids)):
-            q = _matrix(batch["v"])
-            length = np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-            scores = q @ centroids.T
+        cells = held.value
+        for batch in _slices(batches, len(cells.sizes)):
+            bound = cells.bound(_matrix(batch["v"]))
             floor = batch["floor"].to_numpy(zero_copy_only=False).astype(np.float64)
             floor = np.where(np.isnan(floor), -np.inf, floor)[:, None]
-            angle = np.arccos(np.clip(scores / length, -1.0, 1.0)) - radii[None, :]
-            bound = length * np.cos(np.clip(angle, 0.0, np.pi))
-            open_ = (bound >= floor - 1e-6 * np.maximum(length, 1.0)) & (sizes > 0)[None, :]
-            seen = np.argsort(-scores, axis=1, kind="stable")[:, :count]
-            np.put_along_axis(open_, seen, False, axis=1)
+            slack = 1e-6 * np.maximum(np.abs(bound), 1.0)
+            open_ = (bound >= floor - slack) & (cells.sizes > 0) & ~_first(bound, cells.sizes, k, nprobe)
             yield from _copies(batch, *np.nonzero(open_))
 
-    more = known.mapInArrow(remaining, "list_id INT, id BIGINT, v ARRAY<DOUBLE>")
+    return known.mapInArrow(remaining, _with_list(asked))
+
+
+def search_exact(index: Index, queries: DataFrame, k: int, query_key: str, nprobe: int = 4) -> DataFrame:
+    """Exact k best per query, visiting only lists that may hold one of them.
+
+    The k-th score from the most promising lists is a floor. Another list can beat it only if
+    its longest vector, turned towards the query as far as the list's radius allows, does;
+    all such lists are visited.
+    """
+    asked = _keyed(queries, query_key)
+    first = checkpoint(merge_best(_visit(index, first_visits(index, asked, k, nprobe), k), k))
+    more = open_visits(index, asked, first, k, nprobe)
     return merge_best(first.drop("rank").unionByName(_visit(index, more, k)), k)
 
 
@@ -360,14 +471,17 @@ def recall(found: DataFrame, truth: DataFrame, queries: DataFrame, k: int) -> Da
 
 
 def recall_by_nprobe(
-    vectors: DataFrame, key: str, n_query: int, k: int, nprobes: tuple[int, ...] = (1, 4, 16, 64, 256), seed: int = 666,
-    nlist: int | None = None,
+    vectors: DataFrame, key: str, n_query: int, k: int, nprobes: tuple[int, ...] = (1, 4, 16, 64, 256), seed: int = SEED,
+    nlist: int | None = None, trained: bool = True, portable: bool = False,
 ) -> DataFrame:
     """Recall of the inverted lists against exact search, one row per nprobe."""
     unit = l2_normalize(vectors)
-    queries, base = split_off(unit, key, n_query, seed)
+    queries, base = split_off(unit, key, n_query, seed, portable)
     truth = checkpoint(exact_neighbours(queries, base, k, key, key))
-    index = train_index(base, key, nlist, seed)
+    if trained:
+        index = train_index(base, key, nlist, seed)
+    else:
+        index = build_index(base, key, sampled_centroids(base, key, nlist or list_count_for(base.count()), seed, portable))
     rows = [
         recall(search(index, queries, k, key, n), truth, queries, k).select(F.lit(n).alias("nprobe"), "*") for n in nprobes
     ]

@@ -6,13 +6,15 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, FloatType
 
 from coocatlas.functions.vectors import l2_normalize
 from coocatlas.operators import catalog, entities, geo, reprs, vocab
 from coocatlas.operators.catalog import Thresholds
-from coocatlas.operators.quality import require_columns, require_coverage
+from coocatlas.operators.quality import conform, require_columns, require_coverage
 from coocatlas.operators.search import SearchIndex, search_documents, search_index
-from coocatlas.schema import ALBUM, ARTIST, ENTITIES, LABEL, TRACK
+from coocatlas.operators.similarity import SEED, Index, build_index, list_count_for, open_index, sampled_centroids, train_centroids
+from coocatlas.schema import ALBUM, ARTIST, ENTITIES, LABEL, TRACK, Entity, entity
 from coocatlas.sources.binding import Sources
 from coocatlas.sources.staging import Staging
 
@@ -95,8 +97,36 @@ class Atlas:
 
     @cached_property
     def embeddings(self) -> dict[str, DataFrame]:
-        """Unit vectors per entity."""
-        return {name: l2_normalize(frame) for name, frame in self.vectors.items()}
+        """Unit vectors per entity, written with their declared schema."""
+        vectors = self.vectors
+
+        def unit(e: Entity) -> DataFrame:
+            schema = vectors[e.name].select(e.key).schema.add("embedding", ArrayType(FloatType()))
+            return conform(l2_normalize(vectors[e.name]), schema)
+
+        staged = self.staging.together({e.embedding: lambda e=e: unit(e) for e in ENTITIES})
+        return {e.name: staged[e.embedding] for e in ENTITIES}
+
+    def index(self, name: str, nlist: int | None = None, trained: bool = True) -> Index:
+        """Written similarity index over the recable rows of an entity, built on first use.
+
+        The number of lists follows the number of rows unless given. Centroids are trained, or
+        else a seeded sample of the vectors, the same however the rows are laid out.
+        """
+        e = entity(name)
+        stage = f"index_{name}_{nlist or 'auto'}_{'trained' if trained else 'sampled'}"
+        if not self.staging.written(f"{stage}/cells"):
+            listed = self.tables[e.embedding].join(catalog.recable_ids(self.tables[e.table], e), e.key, "left_semi")
+            n = listed.count()
+            if not n:
+                raise ValueError(f"no recable {name} has a vector")
+            count = min(n, nlist or list_count_for(n))
+            if trained:
+                centroids = train_centroids(listed, e.key, n, count, SEED, iterations=10)
+            else:
+                centroids = sampled_centroids(listed, e.key, count, SEED, portable=True)
+            build_index(listed, e.key, centroids, path=self.staging.path(stage))
+        return open_index(self.staging.spark, self.staging.path(stage))
 
     @cached_property
     def projections(self) -> dict[str, DataFrame]:

@@ -247,6 +247,40 @@ STEPS["m_knn"] = f"""SELECT query_id, neighbor_id, score, rank::INT AS rank FROM
   FROM m_drawn a JOIN m_drawn b ON a.is_query AND NOT b.is_query) WHERE rank <= {q.K}"""
 
 
+STEPS["m_knn_base"] = "SELECT id, v FROM m_drawn WHERE NOT is_query"
+
+
+def _drawn_lists(base: str, nlist: int) -> str:
+    return f"""SELECT c.id AS cid, c.v AS c, row_number() OVER (ORDER BY c.id) - 1 AS list_id
+  FROM (SELECT * FROM {base} ORDER BY {_uniform("'666'", "id")}, id LIMIT {nlist}) c"""
+
+
+def _assigned(base: str, cents: str) -> str:
+    return f"""SELECT id, v, list_id FROM (SELECT b.id, b.v, list_id, row_number() OVER (PARTITION BY b.id
+   ORDER BY round(list_inner_product(b.v, c), 9) DESC, list_id) AS n FROM {base} b, {cents}) WHERE n = 1"""
+
+
+def _searched(queries: str, cents: str, lists: str, nprobe: int) -> str:
+    """Ranked neighbours of every query within the lists it visits."""
+    return f"""SELECT query_id, neighbor_id, score, rank::INT AS rank FROM (SELECT a.id AS query_id, b.id AS neighbor_id,
+  {_score} AS score, row_number() OVER (PARTITION BY a.id ORDER BY {_score} DESC, b.id) AS rank
+  FROM (SELECT q.id, q.v, list_id, row_number() OVER (PARTITION BY q.id
+   ORDER BY round(list_inner_product(q.v, c), 9) DESC, list_id) AS n FROM {queries} q, {cents}) a
+  JOIN {lists} b ON a.list_id = b.list_id AND a.n <= {nprobe})"""
+
+
+STEPS["m_knn_queries"] = "SELECT id, v FROM m_drawn WHERE is_query"
+for _k in (16, 32):
+    STEPS[f"m_cents_{_k}"] = _drawn_lists("m_knn_base", _k)
+    STEPS[f"m_lists_{_k}"] = _assigned("m_knn_base", f"m_cents_{_k}")
+for _e in ENTITIES:
+    STEPS[f"m_recable_{_e.name}"] = f"""SELECT * FROM m_list_{_e.name} WHERE id IN
+  (SELECT {_e.key} FROM {TABLE[_e.name]} WHERE recable)"""
+    STEPS[f"m_cents_{_e.name}"] = _drawn_lists(f"m_recable_{_e.name}", 4)
+    STEPS[f"m_lists_{_e.name}"] = _assigned(f"m_recable_{_e.name}", f"m_cents_{_e.name}")
+    STEPS[f"m_listed_{_e.name}"] = _searched(f"m_list_{_e.name}", f"m_cents_{_e.name}", f"m_lists_{_e.name}", 2)
+
+
 def _near(name: str) -> str:
     e = BY_NAME[name]
     return f"""SELECT query_id, neighbor_id, score, rank FROM (SELECT a.id AS query_id, b.id AS neighbor_id, {_score} AS score,
@@ -427,10 +461,11 @@ for _e in ENTITIES:
     _diverse = _n in ("track", "album")
     _depth = "101" if _diverse else "CASE WHEN f.popfloor > 0 THEN 101 ELSE 6 END"
     _artist = "row_number() OVER (PARTITION BY query_id, t.artist_rowid ORDER BY rank)" if _diverse else "1"
-    ORACLES[f"recommend_{_n}"] = f"""SELECT query_id AS seed_rowid, popfloor, (place - 1)::INT AS position,
+    for _query, _found in (("recommend", "m_near"), ("recommend_indexed", "m_listed")):
+        ORACLES[f"{_query}_{_n}"] = f"""SELECT query_id AS seed_rowid, popfloor, (place - 1)::INT AS position,
   '{_n}' AS entity_type, neighbor_id AS rowid, {_columns(RECOMMEND_COLUMNS[_n])}, round(score, 4) AS simscore FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM
-   (SELECT k.*, f.popfloor, t.*, {_artist} AS a FROM m_near_{_n} k
+   (SELECT k.*, f.popfloor, t.*, {_artist} AS a FROM {_found}_{_n} k
     JOIN m_floors f ON f.entity = '{_n}' AND f.rowid = k.query_id JOIN {TABLE[_n]} t ON t.{_e.key} = k.neighbor_id
     WHERE k.rank <= {_depth} AND neighbor_id <> query_id AND t.logcount > f.popfloor) WHERE a = 1) WHERE place <= 5"""
 for _n in q.PARENTS:
@@ -537,6 +572,19 @@ ORACLES["search_hits"] = f"""SELECT request_id, rank::INT AS rank, entity_type,
 ORACLES["query_base_split"] = "SELECT id AS track_rowid, CASE WHEN is_query THEN 'query' ELSE 'base' END AS part FROM m_drawn"
 for _n in ("exact_knn", "exact_knn_lists", "list_search_all"):
     ORACLES[_n] = "SELECT query_id, neighbor_id, round(score, 4) AS score, rank FROM m_knn"
+ORACLES["list_search"] = f"""SELECT query_id, neighbor_id, round(score, 4) AS score, rank
+  FROM ({_searched("m_knn_queries", "m_cents_16", "m_lists_16", 4)}) WHERE rank <= 10"""
+ORACLES["list_recall"] = " UNION ALL ".join(
+    f"""SELECT {n} AS nprobe, round(count(*) FILTER (f.rank = 1 AND t.rank = 1) / 50, 4) AS r1,
+  round(count(*) FILTER (t.rank <= 10) / 500, 4) AS r10, round(count(*) FILTER (t.rank <= 10) / 500, 4) AS r100,
+  round(1 - count(*) / 500, 4) AS missing FROM ({_searched("m_knn_queries", "m_cents_32", "m_lists_32", n)}) f
+  LEFT JOIN m_knn t USING (query_id, neighbor_id) WHERE f.rank <= 10"""
+    for n in (1, 4, 16)
+)
+STEPS["m_longer"] = """SELECT id, list_transform(v, lambda x: x * pow(2.0, -(id % 13) / 3)) AS v FROM m_knn_base"""
+ORACLES["exact_knn_lengths"] = f"""SELECT query_id, neighbor_id, round(score, 4) AS score, rank::INT AS rank FROM
+  (SELECT a.id AS query_id, b.id AS neighbor_id, {_score} AS score,
+   row_number() OVER (PARTITION BY a.id ORDER BY {_score} DESC, b.id) AS rank FROM m_knn_queries a, m_longer b) WHERE rank <= 10"""
 ORACLES["list_counts"] = " UNION ALL ".join(
     f"""SELECT '{e.name}' AS entity, n, least(greatest(floor(4 * sqrt(n)), 256), 16384)::INT AS nlist,
   least(n, 64 * least(greatest(floor(4 * sqrt(n)), 256), 16384)::BIGINT) AS train

@@ -26,6 +26,7 @@ SEED = 666
 GROUP_MIN = 3
 N_QUERY = 50
 K = 10
+LISTS, PROBED = 4, 2
 BINS = 50
 BASE_ZOOMS = {"track": 9, "album": 8, "artist": 7, "label": 6}
 MAX_ZOOM = 10
@@ -467,6 +468,17 @@ def recommend(a: Atlas, name: str) -> DataFrame:
     )
 
 
+@per_entity(ALL)
+def recommend_indexed(a: Atlas, name: str) -> DataFrame:
+    """Recommendations from the written index, each seed visiting two of its four lists."""
+    e = BY_NAME[name]
+    found = serve.recommend(
+        a.tables[e.table], a.tables[e.embedding], name, _seeds_with_floor(a, name), limit=5,
+        index=a.index(name, nlist=LISTS, trained=False), nprobe=PROBED,
+    )
+    return _rounded(found)
+
+
 @query
 def recommend_not_diverse(a: Atlas) -> DataFrame:
     found = serve.recommend(
@@ -581,8 +593,21 @@ def list_search_all(a: Atlas) -> DataFrame:
     return _rounded(similarity.search(index, queries, K, "track_rowid", nprobe=8))
 
 
+def _sampled_index(a: Atlas, base: DataFrame, nlist: int, bands: int = 1) -> similarity.Index:
+    centroids = similarity.sampled_centroids(base, "track_rowid", nlist, SEED, portable=True)
+    return similarity.build_index(base, "track_rowid", centroids, bands)
+
+
 @query
 def list_search(a: Atlas) -> DataFrame:
+    """Approximate search: each query visits four of sixteen lists around sampled vectors."""
+    queries, base = _split(a)
+    return _rounded(similarity.search(_sampled_index(a, base, 16), queries, K, "track_rowid", nprobe=4))
+
+
+@query
+def list_search_trained(a: Atlas) -> DataFrame:
+    """The same with centroids trained on the vectors."""
     queries, base = _split(a)
     index = similarity.train_index(base, "track_rowid", nlist=16)
     return _rounded(similarity.search(index, queries, K, "track_rowid", nprobe=4))
@@ -590,10 +615,22 @@ def list_search(a: Atlas) -> DataFrame:
 
 @query
 def list_recall(a: Atlas) -> DataFrame:
-    found = similarity.recall_by_nprobe(a.sources.checkpoint, "track_rowid", N_QUERY, K, (1, 4, 16), SEED, nlist=16)
+    """Recall of sampled lists against exact search, by the number of lists visited."""
+    found = similarity.recall_by_nprobe(
+        a.sources.checkpoint, "track_rowid", N_QUERY, K, (1, 4, 16), SEED, nlist=32, trained=False, portable=True)
     return _rounded(found)
 
 
+@query
+def exact_knn_lengths(a: Atlas) -> DataFrame:
+    """Exact neighbours among vectors of many lengths: lists cut into bands, visited by their bound."""
+    queries, base = _split(a)
+    factor = F.pow(F.lit(2.0), -(F.col("track_rowid") % 13) / 3)
+    longer = base.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * factor))
+    index = _sampled_index(a, longer, 8, bands=similarity.BANDS)
+    return _rounded(similarity.search_exact(index, queries, K, "track_rowid", nprobe=2))
+
+
 @query
 def list_counts(a: Atlas) -> DataFrame:
     parts = [

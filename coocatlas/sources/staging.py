@@ -49,14 +49,15 @@ class Staging:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _written(self, name: str) -> bool:
+    def written(self, name: str) -> bool:
+        """Whether this application has finished writing stage ``name``."""
         jvm = self.spark.sparkContext._jvm
         marker = jvm.org.apache.hadoop.fs.Path(self.path(name) + "/_SUCCESS")
         return marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Read stage ``name``, building and writing it first if this application has not yet."""
-        if not self._written(name):
+        if not self.written(name):
             frame = build()
             frame.write.mode("overwrite").parquet(self.path(name))
             return self.spark.read.schema(frame.schema).parquet(self.path(name))

@@ -78,10 +78,77 @@ def test_lists_never_outnumber_vectors(spark):
         sim.train_index(table(spark, unit(1)).where("id < 0"), "id")
 
 
-def test_index_can_be_written(spark, tmp_path):
+def test_index_can_be_written_and_opened(spark, tmp_path):
     b = unit(60)
-    index = sim.train_index(table(spark, b), "id", nlist=4, path=str(tmp_path / "lists"))
-    assert found(sim.search(index, table(spark, b), 3, "id", nprobe=4)) == brute(b, b, 3)
+    path = str(tmp_path / "index")
+    index = sim.train_index(table(spark, b), "id", nlist=4, path=path)
+    opened = sim.open_index(spark, path)
+    assert opened.sizes.tolist() == index.sizes.tolist() and opened.sizes.sum() == 60
+    assert np.allclose(opened.centroids, index.centroids) and np.allclose(opened.radii, index.radii)
+    for either in (index, opened):
+        assert found(sim.search(either, table(spark, b), 3, "id", nprobe=4)) == brute(b, b, 3)
+        assert found(sim.search_exact(either, table(spark, b), 3, "id", nprobe=1)) == brute(b, b, 3)
+    nearest = rows(sim.search(opened, table(spark, b), 1, "id", nprobe=1), "query_id", "neighbor_id")
+    assert sorted(nearest) == [(i, i) for i in range(60)]
+
+
+def test_only_visited_lists_are_read(spark, tmp_path, monkeypatch):
+    """A list that no query visits is not opened."""
+    monkeypatch.setattr(sim, "BLOCK_ROWS", 10)
+    b = unit(200, seed=4, hot=60)
+    index = sim.train_index(table(spark, b), "id", nlist=8, path=str(tmp_path / "index"))
+    assert len(list((tmp_path / "index" / "lists").glob("list_id=*"))) == (index.sizes > 0).sum()
+    probes = sim.probe(index, sim._keyed(table(spark, b[:1]), "id"), 2)
+    visited = set(sim.visit_counts(probes))
+    assert len(visited) == 2
+    before = found(sim.merge_best(sim._visit(index, probes, 3), 3))
+    for folder in (tmp_path / "index" / "lists").glob("list_id=*"):
+        if int(folder.name.split("=")[1]) not in visited:
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"not a table")
+            for file in folder.glob(".*.crc"):
+                file.unlink()
+    opened = sim.open_index(spark, str(tmp_path / "index"))
+    assert found(sim.merge_best(sim._visit(opened, probes, 3), 3)) == before and len(before) == 3
+
+
+def spread(n, d=16, seed=0):
+    """Vectors whose lengths run over three decades, with zeros and equal ones."""
+    m = unit(n, d, seed) * np.random.default_rng(seed + 1).uniform(-3, 0, size=(n, 1)).__rpow__(10.0)
+    m[:3], m[3:9] = 0, m[10]
+    return m
+
+
+@pytest.mark.parametrize("k", [1, 7, 60])
+def test_unequal_lengths(spark, k):
+    q, b = spread(40, seed=11) * 5, spread(300, seed=12)
+    got = sim.exact_neighbours(table(spark, q), table(spark, b, 1000).repartition(5), k, "id", "id", broadcast_bytes=0)
+    assert found(got) == brute(q, b, k, 1000)
+
+
+def test_short_vectors_are_not_visited(spark):
+    """With unequal lengths the bound of most lists lies below the floor: they are never scored."""
+    q, b = unit(30, seed=13), spread(8000, seed=14)
+    index = sim.build_index(table(spark, b), "id", sim.sampled_centroids(table(spark, b), "id", 8, 1), bands=8)
+    asked = sim._keyed(table(spark, q), "id")
+    first = sim.merge_best(sim._visit(index, sim.first_visits(index, asked, 5, 2), 5), 5)
+    visits = sim.first_visits(index, asked, 5, 2).count() + sim.open_visits(index, asked, first, 5, 2).count()
+    assert visits < 0.5 * 30 * (index.sizes > 0).sum()
+    assert found(sim.search_exact(index, table(spark, q), 5, "id", nprobe=2)) == brute(q, b, 5)
+
+
+def test_single_precision_stays(spark):
+    b = table(spark, unit(50)).selectExpr("id", "CAST(embedding AS ARRAY<FLOAT>) AS embedding")
+    index = sim.train_index(b, "id", nlist=4)
+    assert index.lists.schema["v"].dataType.simpleString() == "array<float>"
+    with pytest.raises(ValueError):
+        sim.build_index(b, "id", np.ones((sim.MOST_LISTS, 16)), bands=2)
+
+
+def test_sampled_centroids_do_not_depend_on_layout(spark):
+    b = table(spark, unit(80, seed=15))
+    one, other = (sim.sampled_centroids(b.repartition(n), "id", 5, 3) for n in (1, 7))
+    assert one.shape == (5, 16) and (one == other).all()
 
 
 def test_recall_grows_with_nprobe(spark):
