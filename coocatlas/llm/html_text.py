@@ -1,22 +1,26 @@
 """Main text of HTML pages by composite text density.
 
 Each page is parsed to a flat, preorder list of nodes, so a subtree is an index range and
-every total is an array sum. Boilerplate elements are taken out by tag, role and class.
-For every other node the composite density is its characters per tag, lowered as more of
-its characters and tags are links. The node with the largest sum of child densities holds
-the article; siblings along its path to the body that reach the smallest density on that
-path belong to it as well, and an enclosing ``article`` or ``main`` is taken whole.
+every total is an array sum. What is never text (scripts, hidden and form controls) is taken
+out first. Elements that are boilerplate by tag, role or class are taken out unless they wrap
+the article: unless all ``article`` and ``main`` elements, or without such elements most of
+the plain text, lie inside them. For every other node the composite density is its characters
+per tag, lowered as more of its characters and tags are links. The node with the largest sum
+of child densities holds the article. Inside a ``main`` or ``article``, the outermost one is
+taken whole; else siblings along the path to the body belong to it that reach the smallest
+density on that path, or that are headings, paragraphs or headed sections of few links.
 
 Defined results: null or empty html has empty text; broken nesting is closed as browsers
-do for paragraphs, items and cells; nesting and text length are unbounded; repeated pages
-give repeated rows; an empty table gives no rows; extra columns are ignored.
+do for paragraphs, items and cells; nesting and text length are unbounded, and the time is
+linear in the length of the page, broken or not; repeated pages give repeated rows; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +28,9 @@ from pyspark.sql import DataFrame
 
 from coocatlas.llm.words import slices
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S)
+#: The rest of a tag: quotes count after an equals sign only.
+TAG_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANKS = re.compile(r"\s+")
 
@@ -45,146 +48,249 @@ IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Never part of an article.
-OUT_TAGS = frozenset(
-    "head script style template noscript iframe object svg math canvas audio video map nav footer aside form button select "
-    "textarea input label fieldset dialog menu title".split())
+#: Never text of an article.
+HARD_TAGS = frozenset(
+    "head script style template noscript iframe object svg math canvas audio video map button select textarea input label title".split())
+#: Boilerplate unless it wraps the article.
+SOFT_TAGS = frozenset("nav footer aside form fieldset dialog menu header".split())
 OUT_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
-#: Whole words of a class or id that name boilerplate.
+#: Whole words of a class or id that name boilerplate; the second list only in a class, as ids often name headings.
 OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsbygoogle adbox adslot sponsor sponsored sponsors promo promos "
-    "promotion banner cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay "
-    "sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar toolbar "
-    "comment comments commentlist disqus respond reply replies discussion share sharing social related recommended "
-    "recommendations newsletter subscribe subscription signup login signin search searchform widget widgets pagination pager "
-    "skip copyright disclaimer outbrain taboola".split())
+    "ad ads adv advert adverts advertisement advertising adsbygoogle adbox adslot sponsor sponsored sponsors cookie cookies "
+    "consent gdpr popup modal overlay sidebar sidebars nav navbar navigation breadcrumb breadcrumbs footer masthead topbar "
+    "toolbar disqus newsletter signup searchform pagination pager outbrain taboola".split())
+OUT_CLASS_WORDS = frozenset(
+    "promo promos promotion banner notice notices notification notifications alert alerts aside menu menus foot share sharing "
+    "social related recommended recommendations subscribe subscription login signin search widget widgets skip copyright "
+    "disclaimer".split())
+#: Words that name reader comments, and words that turn a class into the state of something else.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+STATE_WORDS = frozenset("no not without has have with is hide hidden open opened closed enabled disabled off on allow allowed count layout".split())
 MAIN_TAGS = frozenset(("article", "main"))
+HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
+FLOW = HEADINGS | frozenset("p pre blockquote ul ol dl table figure".split())
+
+NOT_NAMED, BOILERPLATE, COMMENTS = 0, 1, 2
+
+
+def _kind(value: str, words: frozenset[str]) -> int:
+    """What the space-separated names of a class or id say; a name that tells a state, as in ``no-sidebar``, says nothing."""
+    found = NOT_NAMED
+    for name in value.lower().split():
+        parts = re.split(r"[^a-z]+", name)
+        if len(parts) > 1 and not STATE_WORDS.isdisjoint(parts):
+            continue
+        if not COMMENT_WORDS.isdisjoint(parts):
+            return COMMENTS
+        if not words.isdisjoint(parts):
+            found = BOILERPLATE
+    return found
 
 
 class Page:
-    """Flat parse of one page. ``runs`` lists (node, text) in page order, text None for a line break."""
+    """Flat parse of one page. ``runs`` lists (node, text) in page order, text None for a line break.
+
+    Per node: parent, tag, ``hard`` (never text), ``kind`` (what its names say), ``soft`` (boilerplate by tag or role).
+    Open elements are a stack; the depths at which each tag is open are kept beside it, so that
+    no end tag and no implied end walks the stack.
+    """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.out, self.named = [-1], ["#root"], [False], [False]
+        self.parent, self.tag, self.hard, self.kind, self.soft = [-1], ["#root"], [False], [NOT_NAMED], [False]
         self.runs: list[tuple[int, str | None]] = []
+        self.stack, self.depths = [0], {}
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        stack, at, end = [0], 0, len(source)
+        at, end, last, lenient = 0, len(source), source.rfind(">"), False
         while at < end:
-            found = TOKEN.search(source, at)
-            begin = found.start() if found else end
+            begin = source.find("<", at)
+            if begin < 0 or begin > last:
+                # no tag ends any more: what is left is text up to a tag that was begun
+                self._text(source[at:begin if begin >= 0 else end])
+                if begin < 0 or TAG_NAME.match(source, begin + 1) or source[begin + 1:begin + 2] in ("/", "!", "?"):
+                    return
+                self._text(source[begin:])
+                return
             if begin > at:
-                self.runs.append((stack[-1], html.unescape(source[at:begin])))
-            if not found:
-                break
-            at = found.end()
-            closing, name, attributes = found.group(1, 2, 3) if found.group(2) else found.group(4, 5, 6)
-            if not name:
-                if found.group().startswith("<![CDATA["):
-                    self.runs.append((stack[-1], found.group()[9:].removesuffix("]]>")))
-                continue
-            name = name.lower()
-            if closing:
-                self._close(stack, name)
+                self._text(source[at:begin])
+            if source.startswith("<!--", begin):
+                stop = source.find("-->", begin + 4)
+                at = end if stop < 0 else stop + 3
+            elif source.startswith("<![CDATA[", begin):
+                stop = source.find("]]>", begin + 9)
+                self.runs.append((self.stack[-1], source[begin + 9:end if stop < 0 else stop]))
+                at = end if stop < 0 else stop + 3
+            elif source[begin + 1] in "!?":
+                at = source.find(">", begin) + 1
             else:
-                self._open(stack, name, attributes)
-                if name in RAW:
-                    stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
-                    at = stop.end() if stop else end
-                    stack.pop()
-
-    def _close(self, stack: list[int], name: str) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[depth]] == name:
-                del stack[depth:]
-                break
-            if self.tag[stack[depth]] in MAIN_TAGS and name not in BLOCK:
-                return
+                closing = source[begin + 1] == "/"
+                found = TAG_NAME.match(source, begin + 1 + closing)
+                if not found:
+                    self._text("<")
+                    at = begin + 1
+                    continue
+                rest = None if lenient else TAG_REST.match(source, found.end())
+                if rest is None:
+                    # quotes that never close: from here on the next > ends a tag
+                    lenient = True
+                at = rest.end() if rest else source.find(">", begin) + 1
+                name = found.group().lower()
+                if closing:
+                    self._close(name)
+                else:
+                    self._open(name, source[found.end():at - 1])
+                    if name in RAW:
+                        stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
+                        at = stop.end() if stop else end
+                        self._cut(len(self.stack) - 1)
+
+    def has(self, tags: Iterable[str]) -> np.ndarray:
+        return np.array([tag in tags for tag in self.tag])
+
+    def _text(self, text: str) -> None:
+        if text:
+            self.runs.append((self.stack[-1], html.unescape(text)))
+
+    def _push(self, node: int) -> None:
+        for name in self._lists(node):
+            self.depths.setdefault(name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def _cut(self, depth: int) -> None:
+        """Close everything from ``depth`` up."""
+        while len(self.stack) > depth:
+            for name in self._lists(self.stack.pop()):
+                self.depths[name].pop()
+
+    def _lists(self, node: int) -> list[str]:
+        tag = self.tag[node]
+        return [tag, *(["#block"] if tag in BLOCK and tag != "p" else []), *(["#main"] if tag in MAIN_TAGS else [])]
+
+    def _deepest(self, *names: str) -> int:
+        return max((self.depths[name][-1] for name in names if self.depths.get(name)), default=0)
+
+    def _close(self, name: str) -> None:
+        depth = self._deepest(name)
+        if depth and (name in BLOCK or self._deepest("#main") < depth):
+            self._cut(depth)
         if name in BLOCK:
-            self.runs.append((stack[-1], None))
+            self.runs.append((self.stack[-1], None))
 
-    def _open(self, stack: list[int], name: str, attributes: str) -> None:
+    def _open(self, name: str, attributes: str) -> None:
         if name in CLOSES_P:
-            self._imply(stack, {"p"}, BLOCK - {"p"})
+            self._imply(("p",), ("#block",))
         if name in IMPLIED:
-            self._imply(stack, *IMPLIED[name])
+            self._imply(*IMPLIED[name])
         if name in BLOCK:
-            self.runs.append((stack[-1], None))
+            self.runs.append((self.stack[-1], None))
         if name == "br":
             return
         node = len(self.tag)
-        self.parent.append(stack[-1])
-        self.tag.append(name)
-        out, named = name in OUT_TAGS, False
-        if attributes and attributes.strip("/ \t\r\n"):
+        hard, soft, kind = name in HARD_TAGS, name in SOFT_TAGS, NOT_NAMED
+        if attributes.strip("/ \t\r\n"):
             values = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(attributes)}
-            out |= values.get("role", "").lower() in OUT_ROLES or "hidden" in values
-            out |= "display:none" in values.get("style", "").replace(" ", "").lower()
-            words = re.split(r"[^a-z]+", f"{values.get('class', '')} {values.get('id', '')}".lower())
-            named = not OUT_WORDS.isdisjoint(words)
-        self.out.append(out)
-        self.named.append(named)
+            hard |= "hidden" in values or "display:none" in values.get("style", "").replace(" ", "").lower()
+            soft |= values.get("role", "").lower() in OUT_ROLES
+            kind = _kind(values.get("class", ""), OUT_WORDS | OUT_CLASS_WORDS)
+            if not kind and name not in HEADINGS:
+                kind = _kind(values.get("id", ""), OUT_WORDS)
+        for column, value in ((self.parent, self.stack[-1]), (self.tag, name), (self.hard, hard), (self.kind, kind), (self.soft, soft)):
+            column.append(value)
         if name not in VOID:
-            stack.append(node)
+            self._push(node)
 
-    def _imply(self, stack: list[int], ends: set[str], bounds: set[str] | frozenset[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[depth]]
-            if tag in ends:
-                del stack[depth:]
-                return
-            if tag in bounds:
-                return
+    def _imply(self, ends: Iterable[str], bounds: Iterable[str]) -> None:
+        depth = self._deepest(*ends)
+        if depth > self._deepest(*bounds):
+            self._cut(depth)
 
 
 def _subtree_sums(values: np.ndarray, parent: list[int]) -> np.ndarray:
-    total = values.copy()
+    total = values.tolist()
     for node in range(len(parent) - 1, 0, -1):
         total[parent[node]] += total[node]
-    return total
+    return np.array(total, values.dtype)
 
 
-def densities(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which nodes are boilerplate, the composite density of each node, and its sum over children."""
-    n, parent = len(page.tag), page.parent
-    holds_main = _subtree_sums(np.array([t in MAIN_TAGS for t in page.tag], np.int64), parent)
-    out, link, inside = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+def _down(own: np.ndarray, parent: list[int]) -> np.ndarray:
+    """Count of true values at each node and its ancestors."""
+    total = own.astype(np.int64).tolist()
+    for i in range(1, len(parent)):
+        total[i] += total[parent[i]]
+    return np.array(total)
+
+
+def boilerplate(page: Page) -> np.ndarray:
+    """Which nodes are not part of the article by tag, role or name, or lie in such a node."""
+    n, parent, tag = len(page.tag), page.parent, page.tag
+    hard = _down(np.array(page.hard), parent) > 0
+    link = _down(page.has({"a"}), parent) > 0
+    plain = np.zeros(n)
+    for node, text in page.runs:
+        if text and not hard[node] and not link[node]:
+            plain[node] += len(BLANKS.sub(" ", text).strip())
+    kind, soft = np.array(page.kind), np.array(page.soft)
+    root = page.has({"#root", "html", "body"})
+    in_comments = _down((kind == COMMENTS) & ~root, parent) > 0
+    aside = _down(page.has({"nav", "footer", "aside"}), parent) > 0
+    article = page.has(MAIN_TAGS) & ~hard & ~aside
+    main = article & (kind == NOT_NAMED) & ~in_comments
+    if not main.any():
+        # articles in a wrapper that is named like comments are better than none
+        main = article & (kind != COMMENTS)
+    plain = _subtree_sums(plain, parent)
+    within, above = _subtree_sums(main.astype(np.int64), parent), _down(main, parent)
+    mains, most = int(main.sum()), plain[0]
+    out = hard.copy()
     for i in range(1, n):
-        p, tag = parent[i], page.tag[i]
-        own = page.out[i] or (page.named[i] and not holds_main[i] and tag not in ("html", "body"))
-        out[i] = out[p] or own or (tag == "header" and not inside[p] and not holds_main[i])
-        link[i] = link[p] or tag == "a"
-        inside[i] = inside[p] or tag in MAIN_TAGS
+        p = parent[i]
+        if out[p] or out[i]:
+            out[i] = True
+            continue
+        if root[i] or not (soft[i] or kind[i]):
+            continue
+        if tag[i] == "header" and above[i] and not kind[i]:
+            continue
+        elsewhere = mains - within[i] - (above[i] - main[i])
+        if mains and within[i]:
+            # a wrapper of all articles stays, one of some of them if it holds most of the text
+            out[i] = elsewhere > 0 and (kind[i] == COMMENTS or plain[i] < 0.5 * most)
+        elif mains:
+            out[i] = True
+        else:
+            out[i] = plain[i] <= (0.9 if kind[i] == COMMENTS else 0.5) * most
+    return out
+
+
+def densities(page: Page, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Composite density of each node without the nodes that are out, its sum over children, and its share of links."""
+    n, parent = len(page.tag), page.parent
+    anchor = page.has({"a"})
+    link = _down(anchor, parent) > 0
     chars, link_chars = np.zeros(n), np.zeros(n)
     for node, text in page.runs:
         if text and not out[node]:
             size = len(BLANKS.sub(" ", text).strip())
             chars[node] += size
             link_chars[node] += size * link[node]
-    tags = np.where(out, 0.0, 1.0)
-    link_tags = np.array([t == "a" for t in page.tag]) & ~out
     chars, link_chars = _subtree_sums(chars, parent), _subtree_sums(link_chars, parent)
-    tags, link_tags = _subtree_sums(tags, parent), _subtree_sums(link_tags.astype(float), parent)
+    tags, link_tags = _subtree_sums(np.where(out, 0.0, 1.0), parent), _subtree_sums((anchor & ~out).astype(float), parent)
     share = link_chars[0] / max(chars[0], 1.0)
     plain = np.maximum(chars - link_chars, 1.0)
     base = np.log(chars / plain * link_chars + share * chars + np.e)
     ratio = chars / np.maximum(link_chars, 1.0) * tags / np.maximum(link_tags, 1.0)
-    with np.errstate(divide="ignore"):
-        density = np.where(chars > 0, chars / np.maximum(tags, 1.0) * np.log(np.maximum(ratio, 1.0)) / np.log(np.maximum(base, 1.01)), 0)
+    density = np.where(
+        chars > 0, chars / np.maximum(tags, 1.0) * np.log(np.maximum(ratio, 1.0)) / np.log(np.maximum(base, 1.01)), 0.0)
     sums = np.zeros(n)
     np.add.at(sums, parent[1:], density[1:])
-    links_only = (link_tags >= 3) & (link_chars > 0.8 * chars)
-    return out | links_only, density, sums
+    return density, sums, link_chars / np.maximum(chars, 1.0)
 
 
-def main_text(source: str | None) -> str:
-    """The article's blocks, one per line; "" if there is none."""
-    if not source:
-        return ""
-    page = Page(source)
-    out, density, sums = densities(page)
+def selected(page: Page, out: np.ndarray) -> np.ndarray:
+    """Which nodes' text is the article's."""
+    density, sums, links = densities(page, out)
     n, parent = len(page.tag), page.parent
     last = np.arange(n)
     for i in range(n - 1, 0, -1):
@@ -193,20 +299,34 @@ def main_text(source: str | None) -> str:
     path = [best]
     while path[-1] > 0:
         path.append(parent[path[-1]])
-    main = [i for i in path if page.tag[i] in MAIN_TAGS]
     chosen = np.zeros(n, bool)
-    if main:
-        chosen[main[0]:last[main[0]] + 1] = True
-    else:
+    main = [i for i in path if page.tag[i] in MAIN_TAGS]
+    inner = main[-1] if main else best
+    chosen[inner:last[inner] + 1] = True
+    if not main or page.tag[inner] == "article":
         low = min(density[i] for i in path)
-        chosen[best:last[best] + 1] = True
-        on_path = set(path)
+        on_path = set(path[path.index(inner):])
+        headed = _subtree_sums(page.has(HEADINGS).astype(np.int64), parent)
         for i in range(1, n):
-            if parent[i] in on_path and i not in on_path and density[i] >= low and not out[i]:
+            if parent[i] not in on_path or i in on_path or out[i] or density[i] <= 0:
+                continue
+            if main:
+                taken = page.tag[i] == "article" and density[i] >= low
+            else:
+                taken = density[i] >= low or (links[i] <= 0.5 and page.tag[i] in FLOW) or (links[i] <= 0.3 and headed[i] > 0)
+            if taken and links[i] <= 0.8:
                 chosen[i:last[i] + 1] = True
-        chosen[path] = True
-    for i in range(1, n):
-        out[i] |= out[parent[i]]
+        if not main:
+            chosen[path] = True
+    return chosen & ~out
+
+
+def main_text(source: str | None) -> str:
+    """The article's blocks, one per line; "" if there is none."""
+    if not source:
+        return ""
+    page = Page(source)
+    chosen = selected(page, boilerplate(page))
     blocks, held = [], []
     for node, text in [*page.runs, (0, None)]:
         if text is None:
@@ -215,7 +335,7 @@ def main_text(source: str | None) -> str:
                 if block:
                     blocks.append(block)
                 held = []
-        elif chosen[node] and not out[node]:
+        elif chosen[node]:
             held.append(text)
     return "\n".join(blocks)
 

@@ -1,9 +1,11 @@
 """Main text, host reputation, quality rules and preference pairs on small cases."""
 
+import math
 import random
 import time
 from collections import defaultdict
 
+import pytest
 from llm_cases import WORD, empty_frame, odd_frame, sentence, vocabulary
 
 from coocatlas.llm import host_reputation, html_text, preference, quality_rules
@@ -23,9 +25,122 @@ def test_main_text():
     assert not any(w in "\n".join(lines) for w in ("Home", "Copyright", "Links", "var a"))
 
 
+STORY = "".join(f"<p>{ARTICLE} Part {i}.</p>" for i in range(3))
+LINKS = "<ul>" + "".join(f'<li><a href="/{w}">{w} things</a></li>' for w in ("One", "Two", "Three")) + "</ul>"
+AROUND = f"<nav>{LINKS}</nav>", f"<footer>Made here. <a href='/t'>Terms</a></footer>"
+KEEPING = {
+    "state on the page": f'<div id="page" class="no-sidebar">{STORY}</div>',
+    "state on the content": f'<div class="content has-sidebar">{STORY}</div>',
+    "state on the post": f'<div class="post comments-open">{STORY}</div>',
+    "one form around all": f'<form action="/x"><div><article>{STORY}</article></div></form>',
+    "one form, no article": f'<form action="/x"><div>{STORY}</div></form>',
+    "article class words": f'<article class="post has-ads no-comments">{STORY}</article>',
+    "named wrapper": f'<div class="social"><article>{STORY}</article></div>',
+    "main in a wrapper": f'<div class="widget"><main><div>{STORY}</div></main></div>',
+}
+
+
+def lines_of(body):
+    return html_text.main_text(f"<html><body>{AROUND[0]}{body}{AROUND[1]}</body></html>").split("\n")
+
+
+@pytest.mark.parametrize("name", KEEPING)
+def test_names_that_drop_no_article(name):
+    assert lines_of(KEEPING[name]) == [f"{ARTICLE} Part {i}." for i in range(3)]
+
+
+def test_nothing_else_is_dropped():
+    in_article = lines_of(f"<article><h1 id='related'>Head</h1>{STORY}{LINKS}<h2 id='social'>More</h2><p>End.</p></article>")
+    assert in_article == ["Head", *[f"{ARTICLE} Part {i}." for i in range(3)], "One things", "Two things", "Three things", "More", "End."]
+    both = lines_of(f"<main><article><p>First {ARTICLE}</p></article><article><p>Second {ARTICLE}</p></article></main>")
+    assert both == [f"First {ARTICLE}", f"Second {ARTICLE}"]
+    plain = lines_of(f"<h1>The title</h1><div>{STORY}</div><div><h2>Second</h2><p>Short.</p></div><div class='sidebar'><p>Aside words.</p></div>")
+    assert plain == ["The title", *[f"{ARTICLE} Part {i}." for i in range(3)], "Second", "Short."]
+
+
+def test_boilerplate_is_dropped():
+    comments = "".join(f"<article class='comment'><p>{ARTICLE} Reader {i}.</p></article>" for i in range(9))
+    extra = (f"<header><p>Our site</p></header><div class='ad'>Buy now.</div><aside><p>{ARTICLE}</p></aside>"
+             f"<div class='cookie-notice'>We use cookies.</div><form><label>Mail</label><input><p>Sign up.</p></form>")
+    story = [f"{ARTICLE} Part {i}." for i in range(3)]
+    assert lines_of(f"{extra}<article>{STORY}<div class='share'>Share this</div></article><section id='comments'>{comments}</section>") == story
+    assert lines_of(f"{extra}<div>{STORY}</div><div class='comments'><p>Reader one. {ARTICLE}</p></div>") == story
+    assert lines_of(f"<article>{STORY}<script>x()</script><style>p{{}}</style><div hidden>no</div><p style='display: none'>no</p></article>") == story
+
+
 def test_broken_pages():
-    for source in (None, "", "   ", "<", "<p", "</div></p>", "<div><p>open", "<!-- never closed", "<script>x", "&#xffffffff;"):
+    for source in (None, "", "   ", "<", "<p", "</div></p>", "<div><p>open", "<!-- never closed", "<script>x", "&#xffffffff;",
+                   "<!", "</", "a < b > c", "<a href=\"x>y</a>", "<p>a<![CDATA[b", "<p title='>'>q</p>"):
         assert isinstance(html_text.main_text(source), str)
+    assert html_text.main_text("<p>1 < 2 and <b>3 > 2</b></p>") == "1 < 2 and 3 > 2"
+    assert html_text.main_text("<p title='a > b'>q</p><p title=it's>r</p>") == "q\nr"
+
+
+BROKEN = {
+    "tags without end": "<a ", "quoted ends": '<a =">"', "declarations": "<!", "stray ends": "<div></b>", "deep": "<div>",
+    "spans": "<span>", "items": "<li><i>", "cells": "<td><b>", "brackets": "< ", "quotes": "<a x=\">'\">",
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_time_is_linear(name):
+    def seconds(n):
+        started = time.process_time()
+        html_text.main_text(f"<b><article>{BROKEN[name] * n}</b><p>x</p>" + "</i></p><div></div></b>" * n)
+        return time.process_time() - started
+
+    seconds(100)
+    assert seconds(80_000) < 25 * max(seconds(8_000), 0.05)
+
+
+def plain_tree(page, out):
+    """Density and sum of child densities of every node, from the definition, one subtree at a time."""
+    children = defaultdict(list)
+    for i in range(1, len(page.tag)):
+        children[page.parent[i]].append(i)
+
+    def under(i):
+        return [i, *[d for c in children[i] for d in under(c)]]
+
+    def linked(i):
+        return i > 0 and (page.tag[i] == "a" or linked(page.parent[i]))
+
+    def totals(i):
+        nodes = set(under(i))
+        sizes = [(n, len(" ".join(t.split()))) for n, t in page.runs if t and n in nodes and not out[n]]
+        live = [n for n in nodes if not out[n]]
+        return (sum(s for _, s in sizes), sum(s for n, s in sizes if linked(n)), len(live), sum(page.tag[n] == "a" for n in live))
+
+    c0, l0, _, _ = totals(0)
+
+    def density(i):
+        c, link, tags, anchors = totals(i)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - link, 1) * link + l0 / max(c0, 1) * c + math.e)
+        return c / max(tags, 1) * math.log(max(c / max(link, 1) * tags / max(anchors, 1), 1)) / math.log(max(base, 1.01))
+
+    found = [density(i) for i in range(len(page.tag))]
+    return found, [sum(found[c] for c in children[i]) for i in range(len(page.tag))]
+
+
+def random_page(draw, depth=0):
+    if depth > 4 or draw.random() < 0.3:
+        return draw.choice(["word " * draw.randint(0, 30), "<a href='/x'>link text</a> "])
+    tag = draw.choice(["div", "p", "section", "b", "ul", "a", "span", "td", "div class='ad'"])
+    return f"<{tag}>" + "".join(random_page(draw, depth + 1) for _ in range(draw.randint(0, 5))) + draw.choice([f"</{tag.split()[0]}>", ""])
+
+
+def test_density_against_a_plain_tree():
+    draw = random.Random(8)
+    for _ in range(150):
+        page = html_text.Page("".join(random_page(draw) for _ in range(4)))
+        out = html_text.boilerplate(page)
+        density, sums, _ = html_text.densities(page, out)
+        found, summed = plain_tree(page, out)
+        assert density == pytest.approx(found) and sums == pytest.approx(summed)
+        chosen, best = html_text.selected(page, out), max(range(len(sums)), key=lambda i: (not out[i], sums[i], -i))
+        assert all(chosen[i] for i in range(best, len(out)) if not out[i] and i == best)
 
 
 def test_pages_frame(spark):
@@ -34,6 +149,8 @@ def test_pages_frame(spark):
     found = html_text.extract(frame).collect()
     assert len(found) == 4 and sum(ARTICLE in r.text for r in found) == 2 and sum(r.text == "" for r in found) == 2
     assert html_text.extract(frame.limit(0)).collect() == []
+    more = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "page_id long, url string, html string, text string, tag string, n_chars int")
+    assert sorted(map(repr, html_text.extract(more).collect())) == sorted(map(repr, found))
 
 
 def test_host_and_path(spark):
