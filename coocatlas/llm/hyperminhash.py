@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from coocatlas.llm.ordering import lookup
 from coocatlas.llm.tables import free_name, staged
 from coocatlas.llm.words import mix, slices, windows, words
 
@@ -204,7 +205,8 @@ def _possible(na: Column, ra: Column, nb: Column, rb: Column) -> Column:
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, label: str) -> DataFrame:
     """The pairs (a, b) that are linked, estimated first and confirmed on full sets."""
     side = classes.select("cid", "n", "registers")
-    joined = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
+    # the centre of a large star is in all its pairs
+    joined = lookup(staged(lookup(pairs, ["a"], side.toDF("a", "na", "ra")), f"{label}-left"), ["b"], side.toDF("b", "nb", "rb"))
     likely = staged(joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated, "a long, b long"), f"{label}-likely")
     texted = likely.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
     return staged(texted.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long"), f"{label}-links")
@@ -216,12 +218,13 @@ def connected(links: DataFrame) -> DataFrame:
     labels = staged(edges.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
-        around = edges.join(labels.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
+        # a node may have most edges and a label most nodes
+        around = lookup(edges, ["b"], labels.toDF("b", "near")).groupBy("a").agg(F.min("near").alias("near"))
         nearer = labels.join(around.toDF("node", "near"), "node").select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         nearer = staged(nearer, "nearer")
         jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = staged(nearer.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "moved")
+        moved = staged(lookup(nearer, ["label"], jump).select("node", "old", F.least("label", "further").alias("label")), "moved")
         labels = moved.select("node", "label")
         if not moved.where("label <> old").limit(1).count():
             return labels
@@ -306,14 +309,14 @@ def classified(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         "d1", "d2", "rep", F.coalesce("label", "cid").alias("label"))
     labelled = staged(labelled, "labelled-classes")
     least = labelled.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "d1", "d2")).alias("least"))
-    return sketches, staged(labelled.join(least, "label").select("d1", "d2", "label", "least"), "components")
+    return sketches, staged(lookup(labelled, ["label"], least).select("d1", "d2", "label", "least"), "components")
 
 
 def components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) for every row of ``documents`` (doc_id, text)."""
     sketches, classes = classified(documents)
     slim = sketches.select("doc_id", "n", "d1", "d2")
-    joined = slim.join(classes.select("d1", "d2", "least"), ["d1", "d2"], "left")
+    joined = lookup(slim, ["d1", "d2"], classes.select("d1", "d2", "least"), "left")
     reached = F.when(F.col("n") > 0, F.col("least.rep")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), reached.alias("component_id"))
 

@@ -16,6 +16,8 @@ from coocatlas.llm.tables import staged
 
 #: Rows of one group that a window handles at once.
 CHUNK = 4096
+#: A key with more rows may be hot, and at most so many keys are.
+HOT, HOT_KEYS = 4096, 100_000
 
 
 def numbered(frame: DataFrame, groups: Sequence[str], *order: str, name: str = "nth") -> DataFrame:
@@ -81,3 +83,24 @@ def running(frame: DataFrame, group: str, nth: str, values: dict[str, Column]) -
     rows = rows.join(earlier, [group, "_chunk"], "left")
     rows = rows.withColumns({name: F.col(name) + F.coalesce(f"_e_{name}", F.lit(0)) for name in values})
     return rows.drop("_chunk", *raw.values(), *[f"_e_{name}" for name in values])
+
+
+def lookup(frame: DataFrame, keys: Sequence[str], table: DataFrame, how: str = "inner") -> DataFrame:
+    """``frame`` with the columns of ``table``, which has at most one row per key; any key may hold most of ``frame``.
+
+    Keys that hold more than HOT rows, and more than one in HOT_KEYS of all rows, are counted
+    first: there are fewer than HOT_KEYS of them. Their rows of ``table`` are broadcast; all
+    other rows meet theirs by a shuffle in which no key is large. ``frame`` is read three times.
+    Keys must not be null.
+    """
+    mark = "_hot"
+    counts = frame.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).head()[0] or 0
+    hot = counts.where(F.col("_n") > max(HOT, total // HOT_KEYS)).drop("_n").withColumn(mark, F.lit(True))
+    if hot.isEmpty():
+        return frame.join(table, list(keys), how)
+    marked = frame.join(F.broadcast(hot), list(keys), "left")
+    warm = marked.where(F.col(mark).isNotNull()).drop(mark)
+    cold = marked.where(F.col(mark).isNull()).drop(mark)
+    few = table.join(F.broadcast(hot.drop(mark)), list(keys), "left_semi")
+    return warm.join(F.broadcast(few), list(keys), how).unionByName(cold.join(table, list(keys), how))
