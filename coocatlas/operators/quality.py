@@ -1,15 +1,13 @@
-"""Data-quality operators: schema conformance, key checks, required columns and the guarantee report."""
+"""Data-quality operators: schema conformance, key checks, required columns and the gate on a guarantee report."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coocatlas.functions.text import is_blank
-from coocatlas.schema import ALBUM, ARTIST, BY_NAME, ENTITIES, LABEL, TRACK
+from coocatlas.schema import ALBUM, ARTIST, LABEL, TRACK
 
 
 def conform(df: DataFrame, target: T.StructType) -> DataFrame:
@@ -92,37 +90,6 @@ NAME_COLUMNS = (
 )
 
 
-def _report(violations: DataFrame, check: str, acceptable: bool = False) -> DataFrame:
-    return violations.select(
-        F.lit(check).alias("check"),
-        (F.col("violations") == 0).alias("ok"),
-        F.lit(acceptable).alias("acceptable"),
-        F.col("violations").cast("bigint").alias("violations"),
-    )
-
-
-def blank_name_checks(tables: dict[str, DataFrame]) -> list[DataFrame]:
-    checks = []
-    for entity in ENTITIES:
-        columns = [(c, ok) for c, e, ok in NAME_COLUMNS if e == entity]
-        counted = tables[entity.table].agg(*[F.count_if(F.col(c) == "").alias(c) for c, _ in columns])
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(f"no blanks in {entity.table}.{c}").alias("check"),
-                    F.lit(ok).alias("acceptable"),
-                    F.col(c).alias("violations"),
-                )
-                for c, ok in columns
-            ]
-        )
-        flat = counted.select(F.inline(rows))
-        checks.append(
-            flat.select("check", (F.col("violations") == 0).alias("ok"), "acceptable", F.col("violations").cast("bigint"))
-        )
-    return checks
-
-
 def two_way(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row: distinct keys only on the left, and only on the right, from one join."""
     a = left.select(key).distinct().withColumn("_a", F.lit(True))
@@ -132,90 +99,6 @@ def two_way(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _report_both(counted: DataFrame, checks: list[tuple[str, bool]]) -> DataFrame:
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("check"), (F.col(c) == 0).alias("ok"), F.lit(tolerated).alias("acceptable"),
-                F.col(c).alias("violations"),
-            )
-            for (name, tolerated), c in zip(checks, ("left_only", "right_only"))
-        ]
-    )
-    return counted.select(F.inline(rows))
-
-
-def inclusion_checks(tables: dict[str, DataFrame]) -> list[DataFrame]:
-    """Foreign keys in both directions over the entity hierarchy."""
-    checks = []
-    for entity in ENTITIES:
-        for parent in (BY_NAME[p] for p in entity.parents):
-            a, b, key = entity.table, parent.table, parent.key
-            tolerated = entity == ALBUM and parent == ARTIST
-            names = [(f"{a}.{key} in {b}.{key}", False), (f"{b}.{key} in {a}.{key}", tolerated)]
-            checks.append(_report_both(two_way(tables[a], tables[b], key), names))
-    return checks
-
-
-def repr_checks(tables: dict[str, DataFrame]) -> list[DataFrame]:
-    """Representatives point at existing parents and searchable children, and nrepr counts them."""
-    checks = []
-    for entity in (ALBUM, ARTIST, LABEL):
-        child = BY_NAME[entity.repr_child]
-        links, parents = tables[entity.repr_table], tables[entity.table]
-        name = entity.repr_table
-        checks.append(_report(is_subset(links, parents, entity.key), f"{name}.{entity.key} in {entity.table}"))
-        searchable = tables[child.table].where("searchable")
-        checks.append(_report(is_subset(links, searchable, child.key), f"{name}.{child.key} in searchable {child.table}"))
-        counts = links.groupBy(entity.key).agg(F.count("*").alias("_n"))
-        wrong = parents.join(counts, entity.key, "left").where(F.col("nrepr") != F.coalesce("_n", F.lit(0)))
-        checks.append(_report(wrong.agg(F.count("*").alias("violations")), f"{entity.table}.nrepr matches {name}"))
-    return checks
-
-
-def embedding_checks(tables: dict[str, DataFrame]) -> list[DataFrame]:
-    checks = []
-    for entity in ENTITIES:
-        a, b, key = entity.embedding, entity.table, entity.key
-        names = [(f"{a}.{key} in {b}.{key}", False), (f"{b}.{key} in {a}.{key}", False)]
-        checks.append(_report_both(two_way(tables[a], tables[b], key), names))
-    return checks
-
-
-def constraint_checks(tables: dict[str, DataFrame]) -> list[DataFrame]:
-    """Declared keys: primary keys, the unique label text, and canonical references."""
-    checks = []
-    for entity in ENTITIES:
-        table = tables[entity.table]
-        repeated = duplicate_keys(table, entity.key).agg(F.count("*").alias("violations"))
-        checks.append(_report(repeated, f"{entity.table}.{entity.key} is unique"))
-        canonical = table.select(F.col(entity.canonical_key).alias(entity.key))
-        checks.append(_report(is_subset(canonical, table, entity.key), f"{entity.table}.{entity.canonical_key} exists"))
-    labels = duplicate_keys(tables[LABEL.table], "label").agg(F.count("*").alias("violations"))
-    checks.append(_report(labels, "labels.label is unique"))
-    for entity in (ALBUM, ARTIST, LABEL):
-        links = tables[entity.repr_table]
-        keyed = links.select(F.struct(entity.key, "rank").alias("k"))
-        checks.append(
-            _report(
-                duplicate_keys(keyed, "k").agg(F.count("*").alias("violations")), f"{entity.repr_table} key is unique"
-            )
-        )
-    return checks
-
-
-def guarantee_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """(check, ok, acceptable, violations) for every guarantee of the serving tables."""
-    checks = (
-        blank_name_checks(tables)
-        + inclusion_checks(tables)
-        + repr_checks(tables)
-        + embedding_checks(tables)
-        + constraint_checks(tables)
-    )
-    return reduce(DataFrame.unionByName, checks)
-
-
 def require_guarantees(report: DataFrame) -> None:
     """Raise if a check failed that is not marked acceptable."""
     failed = [r["check"] for r in report.where("not ok and not acceptable").select("check").collect()]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from coocatlas.functions.let import let
 from coocatlas.functions.vectors import l2_normalize
+from coocatlas.operators.patterns import pattern_matches
 from coocatlas.operators.similarity import Index, exact_neighbours, search
 from coocatlas.schema import entity
 from coocatlas.sources.staging import checkpoint
@@ -208,16 +209,19 @@ def contains_matches(requests: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def find_neighbours(
-    requests: DataFrame, names: DataFrame, vectors: DataFrame, k: int = 10, diverse: bool = True
+    requests: DataFrame, names: DataFrame, vectors: DataFrame, k: int = 10, diverse: bool = True, patterns: bool = False,
+    pieces: DataFrame | None = None, counts: DataFrame | None = None,
 ) -> DataFrame:
     """Neighbours (request_id, position, ...) of the most popular track matching each text request.
 
     ``requests`` has (request_id, query, artist), artist nullable; ``names`` has
-    track_rowid, track_name, artist_name and track_popularity. 50 k + 1 neighbours are
-    fetched; the match itself is dropped and, if diverse, one track per artist name kept.
+    track_rowid, track_name, artist_name and track_popularity. Texts are plain, or with
+    ``patterns`` regular expressions, which may use a written index of the names' pieces.
+    50 k + 1 neighbours are fetched; the match itself is dropped and, if diverse, one track
+    per artist name kept.
     """
     known = names.join(vectors.select("track_rowid"), "track_rowid", "left_semi")
-    matches = contains_matches(requests, known)
+    matches = pattern_matches(requests, known, pieces, counts) if patterns else contains_matches(requests, known)
     order = F.struct(-F.coalesce("track_popularity", F.lit(-1)), F.col("track_rowid"))
     # one row per request, read several times below
     seeds = checkpoint(matches.groupBy("request_id").agg(F.min_by("track_rowid", order).alias("seed_rowid")))

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType
 
 from coocatlas.functions.vectors import l2_normalize
-from coocatlas.operators import catalog, entities, geo, reprs, vocab
+from coocatlas.operators import catalog, entities, geo, patterns, reprs, vocab
 from coocatlas.operators.catalog import Thresholds
-from coocatlas.operators.quality import conform, require_columns, require_coverage
+from coocatlas.operators.guarantees import guarantee_report
+from coocatlas.operators.quality import conform, require_columns, require_coverage, require_guarantees
 from coocatlas.operators.search import SearchIndex, search_documents, search_index
 from coocatlas.operators.similarity import SEED, Index, build_index, list_count_for, open_index, sampled_centroids, train_centroids
 from coocatlas.schema import ALBUM, ARTIST, ENTITIES, LABEL, TRACK, Entity, entity
@@ -205,8 +206,15 @@ class Atlas:
     def search_index(self) -> SearchIndex:
         return search_index(search_documents(self.tables), self.staging)
 
+    @cached_property
+    def name_pieces(self) -> tuple[DataFrame, DataFrame]:
+        """Written index of the track names' pieces, and how many names hold each piece."""
+        pieces = self._stage("name_pieces", lambda: patterns.name_pieces(self.metadata))
+        return pieces, self._stage("name_piece_counts", lambda: patterns.piece_counts(pieces))
+
     def validate(self) -> None:
-        """Fail if enrichment lost or repeated a track, or if a required column is null or blank."""
+        """Fail if enrichment lost or repeated a track, a required column is null or blank, or a guarantee does not hold."""
         require_coverage(self.vocab, self.enriched, "track_rowid")
         require_columns(self.flagged["albums"], list(catalog.REQUIRED_ALBUM), "albums")
         require_columns(self.flagged["tracks"], list(catalog.REQUIRED_TRACK), "tracks")
+        require_guarantees(guarantee_report(self.tables))

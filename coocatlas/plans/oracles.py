@@ -547,12 +547,14 @@ ORACLES["recommend_status"] = """SELECT r.track_rowid AS rowid, CASE WHEN l.id I
    GROUP BY 1) x ON x.query_id = r.track_rowid"""
 ORACLES["name_search"] = """SELECT track_rowid, track_name, artist_name FROM m_meta
   WHERE regexp_matches(track_name, '(?i)RED (widget|r.*g)') AND regexp_matches(artist_name, '(?i)r#0+[1-5]')"""
-ORACLES["find_neighbours"] = f"""WITH asked AS (SELECT request_id, substr(p_name, 1, length(p_name) - 1) AS query,
-   CASE WHEN request_id % 2 = 1 THEN (request_id % 10)::VARCHAR END AS artist FROM m_asked_names),
-  seeds AS (SELECT request_id, track_rowid AS seed_rowid FROM (SELECT *, row_number() OVER (PARTITION BY request_id
-   ORDER BY track_popularity DESC, track_rowid) AS n FROM asked JOIN m_meta ON contains(lower(track_name), query)
-   AND (artist IS NULL OR contains(lower(artist_name), artist))) WHERE n = 1),
-  near AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, neighbor_id) AS rank FROM
+STEPS["m_patterns"] = """SELECT request_id, CASE request_id % 4 WHEN 0 THEN '^' || upper(p_name)
+   WHEN 1 THEN substr(p_name, 1, 3) || '.+' || right(p_name, 4) || '( |$)'
+   WHEN 2 THEN '^' || substr(p_name, 1, 2) || '.*' || right(p_name, 2) || '$' ELSE '(' || p_name || '|zzz)' END AS query,
+  CASE WHEN request_id % 3 = 1 THEN 'R#0+[1-5]' END AS artist FROM m_asked_names"""
+STEPS["m_matched_names"] = """SELECT request_id, m.* FROM m_patterns JOIN m_meta m ON regexp_matches(track_name, '(?i)' || query)
+   AND (artist IS NULL OR regexp_matches(artist_name, '(?i)' || artist))"""
+ORACLES["name_search_requests"] = "SELECT request_id, track_rowid FROM m_matched_names"
+_found_near = f"""  near AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, neighbor_id) AS rank FROM
    (SELECT request_id, seed_rowid, b.id AS neighbor_id, {_score} AS score FROM seeds JOIN m_list_track a ON a.id = seed_rowid,
     m_list_track b)),
   named AS (SELECT n.*, m.track_name, m.artist_name, m.track_popularity, row_number() OVER
@@ -561,6 +563,15 @@ ORACLES["find_neighbours"] = f"""WITH asked AS (SELECT request_id, substr(p_name
   SELECT request_id, seed_rowid, (p - 1)::INT AS position, neighbor_id AS track_rowid, track_name, artist_name,
   track_popularity, round(score, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank)
   AS p FROM named WHERE a = 1) WHERE p <= 5"""
+ORACLES["find_neighbours"] = f"""WITH asked AS (SELECT request_id, substr(p_name, 1, length(p_name) - 1) AS query,
+   CASE WHEN request_id % 2 = 1 THEN (request_id % 10)::VARCHAR END AS artist FROM m_asked_names),
+  seeds AS (SELECT request_id, track_rowid AS seed_rowid FROM (SELECT *, row_number() OVER (PARTITION BY request_id
+   ORDER BY track_popularity DESC, track_rowid) AS n FROM asked JOIN m_meta ON contains(lower(track_name), query)
+   AND (artist IS NULL OR contains(lower(artist_name), artist))) WHERE n = 1),
+{_found_near}"""
+ORACLES["find_neighbours_pattern"] = f"""WITH seeds AS (SELECT request_id, track_rowid AS seed_rowid FROM (SELECT *, row_number() OVER (PARTITION BY request_id
+   ORDER BY track_popularity DESC, track_rowid) AS n FROM m_matched_names) WHERE n = 1),
+{_found_near}"""
 _doc = ("id", "label", "artist_name", "album_name_norm", "track_name_norm", "logcount", "lon", "lat")
 ORACLES["search_documents"] = f"SELECT {_columns(_doc)} FROM m_docs"
 ORACLES["search_scores"] = "SELECT * FROM m_scores"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coocatlas.functions import numeric, text, vectors
-from coocatlas.operators import catalog, entities, geo, ids, pairs, quality, reprs, search, serve, similarity, vocab
+from coocatlas.operators import catalog, entities, geo, guarantees, ids, pairs, patterns, quality, reprs, search, serve, similarity, vocab
 from coocatlas.plans.build import Atlas
 from coocatlas.schema import ALBUM, ARTIST, BY_NAME, ENTITIES, LABEL, TRACK
 from coocatlas.sources import binding
@@ -382,7 +382,7 @@ def required_columns(a: Atlas) -> DataFrame:
 
 @query
 def guarantee_report(a: Atlas) -> DataFrame:
-    return quality.guarantee_report(a.tables)
+    return guarantees.guarantee_report(a.tables)
 
 
 @query
@@ -521,6 +521,32 @@ def find_neighbours(a: Atlas) -> DataFrame:
     return _rounded(serve.find_neighbours(asked, a.metadata, a.embeddings["track"], k=5))
 
 
+def _pattern_requests(a: Atlas) -> DataFrame:
+    """Patterns of four kinds made of the part names: begun, with a gap, with too few letters, with alternatives."""
+    name, kind = F.col("p_name"), F.col("request_id") % 4
+    query = (
+        F.when(kind == 0, F.concat(F.lit("^"), F.upper(name)))
+        .when(kind == 1, F.expr("concat(substring(p_name, 1, 3), '.+', right(p_name, 4), '( |$)')"))
+        .when(kind == 2, F.expr("concat('^', substring(p_name, 1, 2), '.*', right(p_name, 2), '$')"))
+        .otherwise(F.concat(F.lit("("), name, F.lit("|zzz)")))
+    )
+    artist = F.when(F.col("request_id") % 3 == 1, F.lit("R#0+[1-5]"))
+    return _text_requests(a).select("request_id", query.alias("query"), artist.alias("artist"))
+
+
+@query
+def name_search_requests(a: Atlas) -> DataFrame:
+    """Tracks that match each of many patterns, by the written index of name pieces."""
+    return patterns.pattern_matches(_pattern_requests(a), a.metadata, *a.name_pieces).select("request_id", "track_rowid")
+
+
+@query
+def find_neighbours_pattern(a: Atlas) -> DataFrame:
+    found = serve.find_neighbours(
+        _pattern_requests(a), a.metadata, a.embeddings["track"], 5, True, True, *a.name_pieces)
+    return _rounded(found)
+
+
 @query
 def search_documents(a: Atlas) -> DataFrame:
     return _rounded(search.search_documents(a.tables))

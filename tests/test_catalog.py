@@ -1,9 +1,12 @@
+import os
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from coocatlas.operators import catalog, quality, reprs
-from coocatlas.schema import ALBUM, ARTIST, LABEL, TRACK
+from coocatlas.operators import catalog, guarantees, quality, reprs
+from coocatlas.operators.catalog import Thresholds
+from coocatlas.schema import ALBUM, ARTIST, ENTITIES, LABEL, TRACK
 
 
 def albums(spark, data):
@@ -142,3 +145,66 @@ def test_two_way_inclusion(spark):
     right = spark.createDataFrame([(2,), (3,), (4,)], "k INT")
     assert rows(quality.two_way(left, right, "k")) == [(1, 2)]
     assert rows(quality.is_subset(left, right, "k")) == [(1,)]
+
+
+def test_guarantee_report_counts_violations(spark):
+    """Sound tables have none; each kind of fault is counted where it belongs."""
+    def frame(data, spec):
+        return spark.createDataFrame(data, spec)
+
+    def made(labels=((1, 1, "L", True, 1),), extra=()):
+        return {
+            "tracks": frame([(1, 1, True, "t", "t", "al", "ar", "L", 1, 1, 1), *extra],
+                            "track_rowid BIGINT, track_canonical_rowid BIGINT, searchable BOOLEAN, track_name STRING, track_name_norm STRING, "
+                            "album_name STRING, artist_name STRING, label STRING, album_rowid BIGINT, artist_rowid BIGINT, label_rowid INT"),
+            "albums": frame([(1, 1, True, "al", "al", "ar", "L", 1, 1, 1)],
+                            "album_rowid BIGINT, album_canonical_rowid BIGINT, searchable BOOLEAN, album_name STRING, album_name_norm STRING, "
+                            "artist_name STRING, label STRING, artist_rowid BIGINT, label_rowid INT, nrepr INT"),
+            "artists": frame([(1, 1, True, "ar", 1)], "artist_rowid BIGINT, artist_canonical_rowid BIGINT, searchable BOOLEAN, artist_name STRING, nrepr INT"),
+            "labels": frame(list(labels), "label_rowid INT, label_canonical_rowid INT, label STRING, searchable BOOLEAN, nrepr INT"),
+            **{e.embedding: frame([(1, [1.0])], f"{e.key} BIGINT, embedding ARRAY<FLOAT>") for e in ENTITIES},
+            "album_repr_tracks": frame([(1, 0, 1)], "album_rowid BIGINT, rank INT, track_rowid BIGINT"),
+            "artist_repr_albums": frame([(1, 0, 1)], "artist_rowid BIGINT, rank INT, album_rowid BIGINT"),
+            "label_repr_artists": frame([(1, 0, 1)], "label_rowid INT, rank INT, artist_rowid BIGINT"),
+        }
+
+    def faults(tables):
+        return {r.check: r.violations for r in guarantees.guarantee_report(tables).where("not ok").collect()}
+
+    assert faults(made()) == {}
+    assert guarantees.guarantee_report(made()).count() == 50
+    labels = ((1, 1, "L", True, 2), (2, 9, "L", True, 0), (3, 3, "", True, 0))
+    assert faults(made(labels)) == {
+        "labels.nrepr matches label_repr_artists": 1, "labels.label_canonical_rowid exists": 1, "labels.label is unique": 1,
+        "no blanks in labels.label": 1, "labels.label_rowid in tracks.label_rowid": 2, "labels.label_rowid in albums.label_rowid": 2,
+        "labels.label_rowid in label_embedding.label_rowid": 2}
+    extra = [(1, 1, True, "", "t", "al", "ar", "L", 5, None, 1)]
+    assert faults(made(extra=extra)) == {
+        "tracks.track_rowid is unique": 1, "no blanks in tracks.track_name": 1, "tracks.album_rowid in albums.album_rowid": 1,
+        "tracks.artist_rowid in artists.artist_rowid": 1}
+    broken = made()
+    for e in (ALBUM, ARTIST, LABEL):
+        broken[e.repr_table] = broken[e.repr_table].unionAll(broken[e.repr_table])
+    assert faults(broken) == {f"{e.repr_table} key is unique": 1 for e in (ALBUM, ARTIST, LABEL)} | {
+        f"{e.table}.nrepr matches {e.repr_table}": 1 for e in (ALBUM, ARTIST, LABEL)}
+
+
+def test_validate_is_a_gate(spark, tmp_path):
+    from coocatlas.plans.build import Atlas, Settings
+    from coocatlas.sources import binding
+    from coocatlas.sources.staging import Staging
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables absent")
+    settings = Settings(thresholds=Thresholds(1.2, 2, 2, 2, 1.3))
+    atlas = Atlas(binding.bind(spark, folder), Staging(spark, "gate"), settings)
+    atlas.validate()
+    assert atlas.tables["label_embedding"].schema["embedding"].dataType.simpleString() == "array<float>"
+    first = atlas.index("artist", nlist=2, trained=False)
+    files = sorted(os.listdir(atlas.staging.path("index_artist_2_sampled").removeprefix("file:")))
+    assert files == ["cells", "lists"] and (atlas.index("artist", nlist=2, trained=False).sizes == first.sizes).all()
+    broken = Atlas(atlas.sources, Staging(spark, "gate"), settings)
+    broken.tables = {**atlas.tables, "labels": atlas.tables["labels"].limit(0)}
+    with pytest.raises(ValueError, match="failed guarantees: .*albums.label_rowid in labels.label_rowid"):
+        broken.validate()

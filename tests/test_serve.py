@@ -1,9 +1,13 @@
+import random
+import re
+import warnings
+
 import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from coocatlas.operators import search, serve
+from coocatlas.operators import patterns, search, serve
 from coocatlas.schema import ENTITIES
 
 PLACE = {"lon": 1.0, "lat": 2.0}
@@ -165,6 +169,47 @@ def test_contains_matches_equals_plain_contains(spark):
     assert rows(serve.contains_matches(df, names(spark)), "request_id", "track_rowid") == sorted(expected)
 
 
+PATTERNS = ["michael", "^MICH.*l$", "mi(ch|x)ael", "so \\(w", "l\\?", ".*", "", "a|zzz", "[^x]ich[]a]?", "mich{1,2}ael", "\\bmich", "micha?el",
+            "(?i)MICHAEL", "\\Qso (w\\E", "ä", "zzzz", "m.c", "ich+ael", "[a-m]ich"]
+
+
+def test_pattern_matches_equal_the_plain_test(spark):
+    valid = [p for p in PATTERNS if "[]" not in p]
+    asked = [(i, p, a) for i, (p, a) in enumerate((p, a) for p in valid for a in (None, "RED$|miles"))] + [(999, None, None)]
+    df = spark.createDataFrame(asked, "request_id INT, query STRING, artist STRING")
+    expected = []
+    for i, pattern, artist in asked:
+        if pattern is not None:
+            found = serve.match_names(names(spark), pattern, artist)
+            expected += [(i, r.track_rowid) for r in found.collect()]
+    assert rows(patterns.pattern_matches(df, names(spark)), "request_id", "track_rowid") == sorted(expected, key=repr)
+    pieces = patterns.name_pieces(names(spark))
+    again = patterns.pattern_matches(df, names(spark), pieces, patterns.piece_counts(pieces))
+    assert rows(again, "request_id", "track_rowid") == sorted(expected, key=repr)
+
+
+def test_required_runs_are_necessary():
+    assert patterns.required_runs("RED (widget|r.*g)s") == ["red ", "s"]
+    assert patterns.required_runs("ab+c?d\\.e[xy]f") == ["ab", "d.e", "f"]
+    assert patterns.required_runs("one|two") == [] and patterns.required_runs("[]a]one") == []
+    draw = random.Random(4)
+    parts = ["a", "b", "ab", "C", "?", "*", "+", ".", "(", ")", "|", "[ab]", "[^a]", "\\.", "\\d", "^", "$", "{2}", "{0,1}", "é", "-"]
+    checked = 0
+    for _ in range(20_000):
+        pattern = "".join(draw.choice(parts) for _ in range(draw.randint(1, 8)))
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("error")
+                found = re.compile(pattern, re.I | re.A)
+        except (re.error, FutureWarning):
+            continue
+        text = "".join(draw.choice("abcABC.1é-") for _ in range(draw.randint(0, 12)))
+        if found.search(text):
+            checked += 1
+            assert all(run in text.lower() for run in patterns.required_runs(pattern)), (pattern, text)
+    assert checked > 1000
+
+
 def test_find_neighbours(spark):
     m = np.eye(5)[[0, 0, 0, 1, 2]] + 0.1 * np.random.default_rng(0).normal(size=(5, 5))
     vectors = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(m)], "track_rowid BIGINT, embedding ARRAY<DOUBLE>")
