@@ -99,27 +99,31 @@ def density_bins(points: DataFrame, bins: int = 1000) -> DataFrame:
 
 
 def project_2d(
-    vectors: dict[str, DataFrame], popularity: DataFrame, sample: int, dims: int | None = None
+    vectors: dict[str, DataFrame], popularity: DataFrame | None = None, sample: int | None = None, dims: int | None = None
 ) -> dict[str, DataFrame]:
-    """Two principal axes fitted on the most popular tracks, applied to every entity.
+    """Two principal axes fitted on all tracks, applied to every entity, the tracks' mean at the origin.
 
-    One fitted model serves all entities, which keeps them on one map. ``dims``
-    reduces the vectors first, as a separate model.
+    One fitted model serves all entities, which keeps them on one map. The fit is one pass
+    that sums a matrix of dimensions squared; no row reaches the driver. ``sample`` fits on
+    the most popular tracks only; ``dims`` reduces the vectors first, as a separate model.
     """
     frames = {n: v.withColumn("v", array_to_vector(F.col("embedding").cast("array<double>"))) for n, v in vectors.items()}
-    chosen = take_first(popularity.select("track_rowid", "logcount"), sample, F.desc("logcount"), "track_rowid")
-    fit_on = frames["track"].join(chosen.select("track_rowid"), "track_rowid", "left_semi")
+    fit_on = frames["track"]
+    if sample is not None:
+        chosen = take_first(popularity.select("track_rowid", "logcount"), sample, F.desc("logcount"), "track_rowid")
+        fit_on = fit_on.join(chosen.select("track_rowid"), "track_rowid", "left_semi")
     source = "v"
     if dims is not None:
         reducer = PCA(k=dims, inputCol="v", outputCol="r").fit(fit_on)
         frames = {n: reducer.transform(f) for n, f in frames.items()}
         fit_on, source = reducer.transform(fit_on), "r"
     model = PCA(k=2, inputCol=source, outputCol="xy").fit(fit_on)
+    xy = vector_to_array(F.col("xy"))
+    centre = model.transform(frames["track"]).agg(F.avg(xy[0]).alias("_mx"), F.avg(xy[1]).alias("_my"))
 
     def project(name: str, frame: DataFrame) -> DataFrame:
-        xy = vector_to_array(F.col("xy"))
-        return model.transform(frame).select(
-            BY_NAME[name].key, xy[0].cast("float").alias("umap_x"), xy[1].cast("float").alias("umap_y")
+        return model.transform(frame).crossJoin(F.broadcast(centre)).select(
+            BY_NAME[name].key, (xy[0] - F.col("_mx")).cast("float").alias("umap_x"), (xy[1] - F.col("_my")).cast("float").alias("umap_y")
         )
 
     return {name: project(name, frame) for name, frame in frames.items()}
@@ -227,12 +231,21 @@ def tile_size_stats(archive: DataFrame) -> DataFrame:
     )
 
 
-def pick_features(clicks: DataFrame, features: DataFrame, zoom: int, radius: float = 8.0) -> DataFrame:
-    """Most popular feature within ``radius`` pixels of each click at a zoom level.
+def shown_at(features: DataFrame, tiles: DataFrame, zoom: int) -> DataFrame:
+    """The features that the tiles of a zoom level hold, after thinning."""
+    kept = tiles.where(F.col("z") == zoom).select(F.col("layer").alias("entity"), "rowid")
+    return features.join(kept, ["entity", "rowid"], "left_semi")
+
 
-    ``clicks`` has (click_id, lon, lat), ``features`` (entity, rowid, lon, lat,
-    logcount). Both sides are keyed by cells one radius wide and a click looks at
-    the nine cells around it; ties in popularity go to the lowest entity name and id.
+def pick_features(clicks: DataFrame, features: DataFrame, zoom: int, radius: float = 8.0) -> DataFrame:
+    """Most popular feature whose disc holds the click at a zoom level.
+
+    ``clicks`` has (click_id, lon, lat), ``features`` (entity, rowid, lon, lat, logcount). A
+    feature's disc has a radius of ``logcount`` pixels, at least ``radius``. Features are
+    classed by powers of two of their radius; within a class both sides are keyed by cells
+    as wide as its largest radius, and a click looks at the nine cells around it. Of features
+    at the very same place only the first can be picked, so the others are left out before.
+    Ties in popularity go to the lowest entity name and id.
     """
     pixels = float(TILE_PIXELS * (1 << zoom))
 
@@ -240,23 +253,31 @@ def pick_features(clicks: DataFrame, features: DataFrame, zoom: int, radius: flo
         x, y = _world(F.col("lon"), F.col("lat"))
         return df.withColumn(f"px{suffix}", x * pixels).withColumn(f"py{suffix}", y * pixels)
 
+    order = F.struct(-F.col("logcount"), F.col("entity"), F.col("rowid"))
+    popularity = F.col("logcount").cast("double")
+    first = (
+        placed(features.withColumn("logcount", popularity), "_f")
+        .groupBy("px_f", "py_f")
+        .agg(F.min_by(F.struct("entity", "rowid", "logcount"), order).alias("f"))
+        .select("px_f", "py_f", "f.*")
+    )
+    size = F.greatest(F.lit(float(radius)), F.coalesce("logcount", F.lit(0.0)))
+    discs = first.withColumn("size", size).withColumn("class", F.ceil(F.log2(size / F.lit(float(radius)))).cast("int"))
+    width = F.lit(float(radius)) * F.pow(F.lit(2.0), F.col("class"))
+    offered = discs.withColumn("cx", F.floor(F.col("px_f") / width)).withColumn("cy", F.floor(F.col("py_f") / width))
     near = F.sequence(F.lit(-1), F.lit(1))
+    # at most one row per power of two that a radius has
+    classes = discs.select("class").distinct()
     asked = (
         placed(clicks, "_c")
-        .select("click_id", "px_c", "py_c", F.explode(near).alias("dx"))
+        .crossJoin(F.broadcast(classes))
+        .select("click_id", "px_c", "py_c", "class", F.explode(near).alias("dx"))
         .select("*", F.explode(near).alias("dy"))
-        .withColumn("cx", F.floor(F.col("px_c") / radius) + F.col("dx"))
-        .withColumn("cy", F.floor(F.col("py_c") / radius) + F.col("dy"))
-    )
-    offered = (
-        placed(features, "_f")
-        .withColumn("cx", F.floor(F.col("px_f") / radius))
-        .withColumn("cy", F.floor(F.col("py_f") / radius))
-        .select("cx", "cy", "px_f", "py_f", "entity", "rowid", F.col("logcount").cast("double").alias("logcount"))
+        .withColumn("cx", F.floor(F.col("px_c") / width) + F.col("dx"))
+        .withColumn("cy", F.floor(F.col("py_c") / width) + F.col("dy"))
     )
     squared = F.pow(F.col("px_c") - F.col("px_f"), F.lit(2)) + F.pow(F.col("py_c") - F.col("py_f"), F.lit(2))
-    hits = asked.join(offered, ["cx", "cy"]).where(squared <= radius * radius)
-    order = F.struct(-F.col("logcount"), F.col("entity"), F.col("rowid"))
+    hits = asked.join(offered, ["class", "cx", "cy"]).where(squared <= F.col("size") * F.col("size"))
     return (
         hits.groupBy("click_id")
         .agg(F.min_by(F.struct("entity", "rowid", "logcount"), order).alias("best"))

@@ -29,6 +29,8 @@ class Settings:
     half_width: float = 22.5
     padding: float = 0.1
     repr_limit: int = 3
+    #: Where no positions are given: "axes" fits two principal axes, "components" takes the first two numbers.
+    projection: str = "axes"
     thresholds: Thresholds = field(default_factory=lambda: Thresholds(1.2, 10, 3, 12, 1.3))
 
 
@@ -131,9 +133,13 @@ class Atlas:
 
     @cached_property
     def projections(self) -> dict[str, DataFrame]:
-        """2-D positions per entity; the first two vector components unless given."""
+        """2-D positions per entity: as given, or by two principal axes of all tracks, or the first two components."""
         if self._projections is not None:
             return self._projections
+        if self.settings.projection == "axes":
+            fitted = geo.project_2d(self.vectors)
+            staged = self.staging.together({f"projection_{name}": lambda f=frame: f for name, frame in fitted.items()})
+            return {name: staged[f"projection_{name}"] for name in fitted}
         return {
             e.name: self.vectors[e.name].selectExpr(e.key, "embedding[0] AS umap_x", "embedding[1] AS umap_y")
             for e in ENTITIES

@@ -637,6 +637,15 @@ ORACLES["pick_features"] = f"""SELECT click_id, entity, rowid, round(logcount, 4
   FROM (SELECT * FROM m_world WHERE entity = 'artist') c JOIN m_world f
   ON pow(c.wx * {_px} - f.wx * {_px}, 2) + pow(c.wy * {_px} - f.wy * {_px}, 2) <= {q.PICK_RADIUS**2}) WHERE n = 1"""
 
+ORACLES["pick_features_shown"] = """SELECT click_id, entity, rowid, round(logcount, 4) AS logcount FROM (SELECT c.rowid AS click_id,
+  f.entity, f.rowid, f.logcount, row_number() OVER (PARTITION BY c.rowid ORDER BY f.logcount DESC, f.entity, f.rowid) AS n
+  FROM (SELECT * FROM m_world WHERE entity = 'artist') c
+  JOIN (SELECT w.* FROM m_world w JOIN m_tiles t ON t.layer = w.entity AND t.rowid = w.rowid AND t.z = 6) f
+  ON pow(c.wx * 32768 - f.wx * 32768, 2) + pow(c.wy * 32768 - f.wy * 32768, 2) <= pow(greatest(11.0, f.logcount), 2)) WHERE n = 1"""
+ORACLES["pca_summary"] = """SELECT (SELECT count(DISTINCT track_rowid) FROM m_vec_track) AS n, 0.0::DOUBLE AS mean_x, 0.0::DOUBLE AS mean_y,
+  0.0::DOUBLE AS covariance, true AS first_is_widest, true AS wider_than_components, true AS within_total,
+  round(sum(v), 4) AS total_variance FROM (SELECT i, var_pop(v::DOUBLE) AS v FROM m_vec_track GROUP BY i)"""
+
 
 def _human(n: str) -> str:
     def part(unit: str, suffix: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coocatlas.functions import numeric, text, vectors
 from coocatlas.operators import catalog, entities, geo, guarantees, ids, pairs, patterns, quality, reprs, search, serve, similarity, vocab
-from coocatlas.plans.build import Atlas
+from coocatlas.plans.build import Atlas, Settings
 from coocatlas.schema import ALBUM, ARTIST, BY_NAME, ENTITIES, LABEL, TRACK
 from coocatlas.sources import binding
 from coocatlas.sources.staging import Staging
@@ -31,6 +31,7 @@ BINS = 50
 BASE_ZOOMS = {"track": 9, "album": 8, "artist": 7, "label": 6}
 MAX_ZOOM = 10
 PICK_ZOOM, PICK_RADIUS = 4, 16.0
+SHOWN_ZOOM, HIT_RADIUS = 6, 11.0
 
 _QUERIES: dict[str, Query] = {}
 _ATLASES: dict[tuple[str, str], Atlas] = {}
@@ -40,7 +41,9 @@ def atlas(spark: SparkSession, sf_dir: str) -> Atlas:
     """The build over one data folder; its staged tables are shared by the queries of an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ATLASES:
-        _ATLASES[key] = Atlas(binding.bind(spark, sf_dir), Staging(spark, sf_dir), sf_dir=sf_dir)
+        # positions that SQL can compute; fitted ones have their own query
+        settings = Settings(projection="components")
+        _ATLASES[key] = Atlas(binding.bind(spark, sf_dir), Staging(spark, sf_dir), settings, sf_dir=sf_dir)
     return _ATLASES[key]
 
 
@@ -724,8 +727,22 @@ def top_by_popularity(a: Atlas) -> DataFrame:
 
 @query
 def pca_projection(a: Atlas) -> DataFrame:
-    projected = geo.project_2d(a.vectors, entities.track_popularity(a.valid), sample=200)
-    return geo.union_projections(projected)
+    """Positions of all entities on the two principal axes of all tracks."""
+    return geo.union_projections(geo.project_2d(a.vectors))
+
+
+@query
+def pca_summary(a: Atlas) -> DataFrame:
+    """What principal axes must satisfy: centred, uncorrelated, no component and no other axis varies more than the first."""
+    points = geo.project_2d(a.vectors)["track"].agg(
+        F.count("*").alias("n"), F.round(F.abs(F.avg("umap_x")), 4).alias("mean_x"), F.round(F.abs(F.avg("umap_y")), 4).alias("mean_y"),
+        F.round(F.abs(F.covar_pop("umap_x", "umap_y")), 5).alias("covariance"), F.var_pop("umap_x").alias("vx"), F.var_pop("umap_y").alias("vy"))
+    cells = a.vectors["track"].select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v"))
+    parts = cells.agg(F.max("v").alias("most"), F.sum("v").alias("total"))
+    return points.crossJoin(F.broadcast(parts)).select(
+        "n", "mean_x", "mean_y", "covariance", (F.col("vx") >= F.col("vy")).alias("first_is_widest"),
+        (F.col("vx") >= F.col("most")).alias("wider_than_components"),
+        (F.col("vx") + F.col("vy") < F.col("total")).alias("within_total"), F.round("total", 4).alias("total_variance"))
 
 
 @per_entity(ALL)
@@ -779,6 +796,14 @@ def pick_features(a: Atlas) -> DataFrame:
     return _rounded(geo.pick_features(clicks, _placed(a), PICK_ZOOM, PICK_RADIUS))
 
 
+@query
+def pick_features_shown(a: Atlas) -> DataFrame:
+    """The same among the features that thinning leaves on the tiles, with the map's own hit radius."""
+    clicks = a.tables["artists"].select(F.col("artist_rowid").alias("click_id"), "lon", "lat")
+    shown = geo.shown_at(_placed(a), tile_points(a), SHOWN_ZOOM)
+    return _rounded(geo.pick_features(clicks, shown, SHOWN_ZOOM, HIT_RADIUS))
+
+
 # Expressions
 
 

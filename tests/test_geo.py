@@ -130,6 +130,30 @@ def test_picking_matches_brute_force_with_a_dense_spot(spark):
     assert got == expected and -1 in got and -2 not in got
 
 
+def test_radius_of_its_own_and_equal_places(spark):
+    """A very popular feature is hit from afar; of many at one place the first is picked."""
+    data = [("track", i, 0.0, 0.0, 1.0 + i % 7) for i in range(500)] + [("artist", 1, 1.0, 0.0, 40.0), ("label", 2, 0.0, 0.5, 3.0)]
+    features = spark.createDataFrame(data, "entity STRING, rowid BIGINT, lon DOUBLE, lat DOUBLE, logcount DOUBLE")
+    scale = 360 / (512 * 2**6)
+    clicks = spark.createDataFrame(
+        [(1, 0.0, 0.0), (2, 1.0 + 39 * scale, 0.0), (3, 1.0 + 41 * scale, 0.0), (4, 10 * scale, 0.0), (5, 12 * scale, 0.0)],
+        "click_id INT, lon DOUBLE, lat DOUBLE")
+    got = {r.click_id: (r.entity, r.rowid) for r in geo.pick_features(clicks, features, 6, 11.0).collect()}
+    assert got == {1: ("track", 6), 2: ("artist", 1), 4: ("track", 6)}
+    tiles = spark.createDataFrame([("track", 6, 13, 0, 0), ("artist", 5, 1, 0, 0)], "layer STRING, z INT, rowid BIGINT, x INT, y INT")
+    assert rows(geo.shown_at(features, tiles, 6), "entity", "rowid") == [("track", 13)]
+
+
+def test_axes_are_fitted_on_all_tracks(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(400, 5)) * [1, 6, 1, 3, 1] + 7
+    frame = lambda key, a: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], f"{key} BIGINT, embedding ARRAY<DOUBLE>")
+    got = geo.project_2d({e.name: frame(e.key, m if e.name == "track" else m[:9]) for e in ENTITIES})
+    xy = np.array([(r.umap_x, r.umap_y) for r in got["track"].orderBy("track_rowid").collect()])
+    axes = np.linalg.svd(m - m.mean(axis=0), full_matrices=False)[2][:2]
+    assert np.allclose(np.abs(xy), np.abs((m - m.mean(axis=0)) @ axes.T), atol=1e-4)
+
+
 def test_projection_uses_one_model_for_all(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(60, 6)) * [5, 3, 1, 1, 1, 1]
