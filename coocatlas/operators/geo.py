@@ -164,9 +164,14 @@ def feature_json(table: DataFrame, name: str) -> DataFrame:
     return table.select(F.col(key).cast("bigint").alias("rowid"), F.to_json(feature).alias("line"))
 
 
+def sorted_lines(features: DataFrame) -> DataFrame:
+    """The feature lines in key order across and within the partitions."""
+    return features.repartitionByRange("rowid").sortWithinPartitions("rowid").select("line")
+
+
 def write_geojson(features: DataFrame, path: str) -> None:
     """Newline-delimited features in key order across and within the part files."""
-    features.repartitionByRange("rowid").sortWithinPartitions("rowid").select("line").write.mode("overwrite").text(path)
+    sorted_lines(features).write.mode("overwrite").text(path)
 
 
 def _world(lon: Column, lat: Column) -> tuple[Column, Column]:

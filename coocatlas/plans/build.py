@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType
 
+from coocatlas import schema
 from coocatlas.functions.vectors import l2_normalize
 from coocatlas.operators import catalog, entities, geo, patterns, reprs, vocab
 from coocatlas.operators.catalog import Thresholds
@@ -17,6 +18,7 @@ from coocatlas.operators.search import SearchIndex, search_documents, search_ind
 from coocatlas.operators.similarity import SEED, Index, build_index, list_count_for, open_index, sampled_centroids, train_centroids
 from coocatlas.schema import ALBUM, ARTIST, ENTITIES, LABEL, TRACK, Entity, entity
 from coocatlas.sources.binding import Sources
+from coocatlas.sources.exports import write_export
 from coocatlas.sources.staging import Staging
 
 
@@ -212,6 +214,24 @@ class Atlas:
     def search_index(self) -> SearchIndex:
         return search_index(search_documents(self.tables), self.staging)
 
+    def export(self, name: str, path: str) -> DataFrame:
+        """Write and commit one of the exchanged tables under ``path``; its commit row is returned.
+
+        ``vocab`` and ``enriched`` in their declared schemas, ``search_documents`` as JSON,
+        ``geojson_<entity>`` as lines in key order, and any serving table by its name.
+        """
+        if name in ("vocab", "enriched"):
+            target = {"vocab": schema.VOCAB, "enriched": schema.ENRICHED_VOCAB}[name]
+            return write_export(getattr(self, name), path, target)
+        if name == "search_documents":
+            return write_export(self.search_index.documents, path, kind="json")
+        if name.startswith("geojson_"):
+            e = entity(name.removeprefix("geojson_"))
+            return write_export(geo.sorted_lines(geo.feature_json(self.tables[e.table], e.name)), path, kind="text")
+        if name not in self.tables:
+            raise ValueError(f"unknown export {name!r}")
+        return write_export(self.tables[name], path)
+
     @cached_property
     def name_pieces(self) -> tuple[DataFrame, DataFrame]:
         """Written index of the track names' pieces, and how many names hold each piece."""

@@ -365,6 +365,10 @@ ORACLES["vocab_rethreshold"] = f"""SELECT track_rowid, (row_number() OVER (ORDER
 ORACLES["playlist_slice_skip"] = f"SELECT playlist_rowid, idx - {q.SLICE} AS idx FROM m_indexed WHERE idx >= {q.SLICE}"
 ORACLES["playlist_slice_last"] = f"SELECT playlist_rowid, idx - (n - {q.SLICE}) AS idx FROM m_indexed WHERE idx >= n - {q.SLICE}"
 ORACLES["chunk_rows"] = "SELECT * FROM m_chunks"
+ORACLES["export_chunk_rows"] = "SELECT * FROM m_chunks"
+ORACLES["export_commit"] = """SELECT 'parquet' AS kind, 'track_rowid,track_id,playlist_count' AS columns,
+  (SELECT count(*) FROM m_t0) AS "rows", true AS has_bytes"""
+ORACLES["export_enriched"] = "SELECT * FROM m_t1"
 ORACLES["chunk_export"] = "SELECT chunk_id, count(*) AS n, count(DISTINCT playlist_rowid) AS playlists FROM m_chunks GROUP BY 1"
 ORACLES["chunk_manifest"] = f"""SELECT ceil(total_playlists / {q.CHUNK_SIZE})::BIGINT AS total_chunks,
   {q.CHUNK_SIZE} AS playlists_per_chunk, total_playlists, -{q.SLICE} AS "offset",
@@ -573,7 +577,11 @@ ORACLES["find_neighbours_pattern"] = f"""WITH seeds AS (SELECT request_id, track
    ORDER BY track_popularity DESC, track_rowid) AS n FROM m_matched_names) WHERE n = 1),
 {_found_near}"""
 _doc = ("id", "label", "artist_name", "album_name_norm", "track_name_norm", "logcount", "lon", "lat")
-ORACLES["search_documents"] = f"SELECT {_columns(_doc)} FROM m_docs"
+ORACLES["search_documents"] = ORACLES["export_search_documents"] = f"SELECT {_columns(_doc)} FROM m_docs"
+for _e in ENTITIES:
+    ORACLES[f"export_embedding_{_e.name}"] = ORACLES[f"unit_vectors_{_e.name}"]
+    ORACLES[f"export_geojson_{_e.name}"] = f"""SELECT {_e.key}::BIGINT AS rowid, {_columns(["lon", "lat", "logcount"])}
+  FROM {TABLE[_e.name]}"""
 ORACLES["search_scores"] = "SELECT * FROM m_scores"
 _fold = lambda x: f"lower(replace(trim({x}), 'ß', 'ss'))"
 ORACLES["search_hits"] = f"""SELECT request_id, rank::INT AS rank, entity_type, rowid, {_columns(_doc[1:])} FROM (SELECT *,

@@ -7,12 +7,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from coocatlas import schema
 from coocatlas.functions import numeric, text, vectors
 from coocatlas.operators import catalog, entities, geo, guarantees, ids, pairs, patterns, quality, reprs, search, serve, similarity, vocab
 from coocatlas.plans.build import Atlas, Settings
 from coocatlas.schema import ALBUM, ARTIST, BY_NAME, ENTITIES, LABEL, TRACK
-from coocatlas.sources import binding
+from coocatlas.sources import binding, exports
 from coocatlas.sources.staging import Staging
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +145,54 @@ def chunk_export(a: Atlas) -> DataFrame:
     )
 
 
+@query
+def export_chunk_rows(a: Atlas) -> DataFrame:
+    """All chunk rows, committed in one folder per chunk and read back in full."""
+    path, target = a.staging.path("export_chunks"), T.StructType([T.StructField("chunk_id", T.IntegerType()), *schema.CHUNK_ROWS])
+    exports.write_export(chunk_rows(a).hint("rebalance", F.col("chunk_id")), path, target, partition_by=("chunk_id",))
+    return exports.read_export(a.staging.spark, path)
+
+
+@query
+def export_commit(a: Atlas) -> DataFrame:
+    """The commit row of the exported vocabulary."""
+    commit = a.export("vocab", a.staging.path("export_commit"))
+    return commit.select("kind", F.array_join("columns", ",").alias("columns"), "rows", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+def _exported(a: Atlas, name: str) -> DataFrame:
+    """A table written by the build's own export and read back with its file list checked."""
+    path = a.staging.path(f"export_{name}")
+    a.export(name, path)
+    return exports.read_export(a.staging.spark, path)
+
+
+@query
+def export_enriched(a: Atlas) -> DataFrame:
+    return _exported(a, "enriched")
+
+
+@query
+def export_search_documents(a: Atlas) -> DataFrame:
+    return _rounded(_exported(a, "search_documents"))
+
+
+@per_entity(ALL)
+def export_embedding(a: Atlas, name: str) -> DataFrame:
+    return _long(_exported(a, BY_NAME[name].embedding), BY_NAME[name].key)
+
+
+@per_entity(ALL)
+def export_geojson(a: Atlas, name: str) -> DataFrame:
+    """Feature lines read back from their files, by key and position."""
+    key = BY_NAME[name].key
+    shape = f"geometry STRUCT<coordinates: ARRAY<DOUBLE>>, properties STRUCT<{key}: BIGINT, logcount: DOUBLE>"
+    parsed = _exported(a, f"geojson_{name}").select(F.from_json("value", shape).alias("f"))
+    return _rounded(parsed.select(
+        F.col(f"f.properties.{key}").alias("rowid"), F.col("f.geometry.coordinates")[0].alias("lon"),
+        F.col("f.geometry.coordinates")[1].alias("lat"), F.col("f.properties.logcount").alias("logcount")))
+
+
 @query
 def chunk_manifest(a: Atlas) -> DataFrame:
     return vocab.chunk_manifest(a.sources.playlists, CHUNK_SIZE, -SLICE)
