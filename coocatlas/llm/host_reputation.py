@@ -6,8 +6,8 @@ above it; its strength is fitted by moments to how much the groups of that level
 differ. A host with few or no labels is thus judged by its domain, an unseen domain by its
 suffix. The verdict compares a lower posterior bound with a floor, and stated rules override it.
 
-Counts are combined before any shuffle and the table of groups is staged, so a host holding
-a third of all pages is one row of a join whose other side Spark may split.
+Counts are combined before any shuffle and each level is written once. A host, domain or
+suffix that holds a third of all rows meets its one posterior by broadcast.
 
 Defined results: null urls, and those without ``://``, share an empty host and an empty path; null labels are ignored; repeated pages each get a row and each
 count as an outcome; with no labels at all the prior mean is ``Reputation.prior_mean``.
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coocatlas.llm.ordering import lookup
 from coocatlas.llm.tables import staged
 
 #: Second-level labels that, below a two-letter country code, belong to the suffix.
@@ -100,17 +101,17 @@ def group_posteriors(outcomes: DataFrame, hosts: DataFrame, settings: Reputation
     counted = outcomes.where("good IS NOT NULL").groupBy("host").agg(
         F.sum(F.col("good").cast("bigint")).alias("k"), F.count("*").alias("n"))
     every = hosts.select("host").distinct().join(counted, "host", "left").fillna(0, ["k", "n"])
-    levels = every.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "k", "n")
-    domains = levels.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    whole = suffixes.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    root = whole.select(
-        ((F.col("k") + settings.prior_mean * settings.prior_weight) / (F.col("n") + settings.prior_weight)).alias("mean"))
-    suffixes = _posterior(suffixes.crossJoin(F.broadcast(root)), settings).select(
-        "suffix", F.col("posterior_mean").alias("suffix_mean"))
-    domains = _posterior(domains.join(suffixes, "suffix").withColumnRenamed("suffix_mean", "mean"), settings).select(
-        "domain", F.col("posterior_mean").alias("domain_mean"))
-    named = levels.join(domains, "domain").withColumnRenamed("domain_mean", "mean")
+    # each level's counts are written once and read by the levels below
+    levels = staged(every.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "k", "n"), "host-counts")
+    domains = staged(levels.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n")), "domain-counts")
+    suffixes = staged(domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n")), "suffix-counts")
+    k, n = suffixes.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).head()
+    root = (k + settings.prior_mean * settings.prior_weight) / (n + settings.prior_weight)
+    above = _posterior(suffixes.withColumn("mean", F.lit(float(root))), settings).select(
+        "suffix", F.col("posterior_mean").alias("mean"))
+    domains = staged(lookup(domains, ["suffix"], staged(above, "suffix-means")), "domain-priors")
+    above = _posterior(domains, settings).select("domain", F.col("posterior_mean").alias("mean"))
+    named = staged(lookup(levels, ["domain"], staged(above, "domain-means")), "host-priors")
     return _posterior(named, settings).select("host", "posterior_mean", "posterior_weight", "bound")
 
 
@@ -118,21 +119,20 @@ def _posterior(groups: DataFrame, settings: Reputation) -> DataFrame:
     """Shrink k of n in each group towards ``mean``, with one strength fitted over all groups.
 
     Moments: with prior strength s, the expected squared error of k/n around its mean, times
-    n, is m(1-m)(1 + (n-1)/(s+1)). Summed over groups this gives 1/(s+1).
+    n, is m(1-m)(1 + (n-1)/(s+1)). Summed over groups this gives 1/(s+1). ``groups`` is a
+    written table; two sums of it reach the driver.
     """
     spread = F.col("mean") * (1 - F.col("mean"))
     seen = F.col("n") > 0
-    fitted = groups.agg(
-        F.sum(F.when(seen, F.pow(F.col("k") - F.col("n") * F.col("mean"), 2) / F.col("n") - spread)).alias("over"),
-        F.sum(F.when(seen, spread * (F.col("n") - 1))).alias("room"),
-    )
-    share = F.coalesce(F.when(F.col("room") > 0, F.col("over") / F.col("room")), F.lit(0.0))
-    low, high = 1 / (settings.strongest + 1), 1 / (settings.weakest + 1)
-    strength = fitted.select((1 / F.greatest(F.lit(low), F.least(F.lit(high), share)) - 1).alias("strength"))
-    out = groups.crossJoin(F.broadcast(strength))
-    weight = F.col("n") + F.col("strength")
-    mean = (F.col("k") + F.col("strength") * F.col("mean")) / weight
-    out = out.withColumns({"posterior_mean": mean, "posterior_weight": weight})
+    over, room = groups.agg(
+        F.sum(F.when(seen, F.pow(F.col("k") - F.col("n") * F.col("mean"), 2) / F.col("n") - spread)),
+        F.sum(F.when(seen, spread * (F.col("n") - 1))),
+    ).head()
+    share = over / room if room is not None and room > 0 else 0.0
+    strength = 1 / max(1 / (settings.strongest + 1), min(1 / (settings.weakest + 1), share)) - 1
+    weight = F.col("n") + F.lit(float(strength))
+    mean = (F.col("k") + F.lit(float(strength)) * F.col("mean")) / weight
+    out = groups.withColumns({"posterior_mean": mean, "posterior_weight": weight})
     sd = F.sqrt(F.col("posterior_mean") * (1 - F.col("posterior_mean")) / (F.col("posterior_weight") + 1))
     return out.withColumn("bound", F.col("posterior_mean") - settings.z * sd)
 
@@ -142,10 +142,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = (), s
 
     ``pages``: page_id, url. ``outcomes``: url, good. Other columns are ignored.
     """
-    placed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    placed = staged(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "placed")
     seen = outcomes.select(host_of(F.col("url")).alias("host"), "good")
     groups = staged(group_posteriors(seen, placed, settings), "hosts")
-    judged = placed.join(groups, "host").withColumn("m", matching_rule(F.col("host"), F.col("path"), rules))
+    judged = lookup(placed, ["host"], groups).withColumn("m", matching_rule(F.col("host"), F.col("path"), rules))
     learned = F.when(F.col("bound") >= settings.floor, "allow").otherwise("block")
     return judged.select(
         "page_id", "host", "path", F.col("m.rule").alias("rule"), F.coalesce("m.verdict", learned).alias("verdict"),

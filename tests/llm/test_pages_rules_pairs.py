@@ -172,6 +172,9 @@ def test_reputation_borrows_from_the_domain(spark):
     assert found[100, "new.good.net"] == (None, "allow") and found[101, "new.bad.info"] == (None, "block")
     assert found[103, "x.example.org"] == ("example.org/es/", "block") and found[103, "y.org"] == ("org/", "allow")
     assert judged.count() == len(pages)
+    more = frame.selectExpr("page_id", "url", "url AS host", "1 AS k", "'x' AS mean", "'y' AS verdict", "2 AS bound")
+    labelled = spark.createDataFrame([(*o, 5, "z") for o in outcomes], "url string, good double, n int, host string")
+    assert sorted(map(repr, host_reputation.judge(more, labelled, rules).collect())) == sorted(map(repr, judged.collect()))
     none = spark.createDataFrame([], "url string, good double")
     assert host_reputation.judge(frame, none).count() == len(pages)
     assert host_reputation.judge(frame.limit(0), none).count() == 0
