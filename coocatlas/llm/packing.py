@@ -2,10 +2,11 @@
 
 Documents are tokenised once and staged as ids. The hashed bag of a document's ids is
 projected to a few dimensions, each cut to a grid, and the grid cell's place on a Hilbert
-curve is the sort key. A range shuffle orders the documents along the curve; equal keys are
-split by a hash of doc_id, so copies never gather in one task. Every task then fills
-sequences with neighbouring documents end to end, cutting at the sequence length, and pads
-only its last one.
+curve is the sort key; equal keys follow a hash of doc_id and then a row number. The keys
+alone, without the ids, are sorted first: running sums of tokens along the curve give the
+keys at which the curve is cut into stretches of equal tokens, so neither copies nor long
+documents gather in one task. Every task then fills sequences with the neighbouring documents
+of one stretch end to end, cutting at the sequence length, and pads only its last one.
 
 Defined results: a null or empty text is just the end id; texts of any length are cut over
 as many sequences as they need; repeated rows are packed each; an empty table gives no
@@ -14,7 +15,9 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coocatlas.llm.bpe import BatchEncoder
 from coocatlas.llm.tables import staged
@@ -30,8 +34,9 @@ from coocatlas.llm.words import slices
 SEQUENCE = 1024
 END_ID = 0
 DIMENSIONS, BITS = 4, 10
-#: Tokens a packing task should get.
+#: Tokens a packing task should get, and most tasks: with more tokens, each gets more.
 TASK_TOKENS = 8 << 20
+MOST_TASKS = 100_000
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -86,6 +91,7 @@ def _encode(tokenizer: str, ranks: str, pattern: str):
         encoder = BatchEncoder(tokenizer, ranks, pattern)
         width = np.dtype("<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         directions = _directions(encoder.tokenizer.get_vocab_size())
+        row = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "text"):
             ids, counts = encoder.encode(batch.column("text"))
             keys = curve_keys(ids, counts, directions)
@@ -96,17 +102,18 @@ def _encode(tokenizer: str, ranks: str, pattern: str):
                 pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(closed.tobytes())])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), packed.cast(pa.binary()), pa.array(counts + 1), pa.array(keys),
-                 pa.array(np.full(len(counts), width.itemsize, np.int32))],
-                names=["doc_id", "ids", "doc_tokens", "key", "width"])
+                 pa.array(np.full(len(counts), width.itemsize, np.int32)), pa.array(row + np.arange(len(counts)))],
+                names=["doc_id", "ids", "doc_tokens", "key", "width", "row"])
+            row += len(counts)
 
     return run
 
 
 def encode(documents: DataFrame, tokenizer: str, ranks: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id, ids (binary, little-endian, ``width`` bytes each, end id last), doc_tokens, key."""
+    """doc_id, ids (binary, little-endian, ``width`` bytes each, end id last), doc_tokens, key, row (a number of its own)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(
-        _encode(tokenizer, ranks, pattern), f"doc_id {kind}, ids binary, doc_tokens long, key long, width int")
+        _encode(tokenizer, ranks, pattern), f"doc_id {kind}, ids binary, doc_tokens long, key long, width int, row long")
 
 
 def _fill(sequence: int):
@@ -136,14 +143,57 @@ def _fill(sequence: int):
     return run
 
 
-def pack(documents: DataFrame, tokenizer: str, ranks: str, sequence: int = SEQUENCE) -> DataFrame:
+CURVE = ["key", "tie", "row"]
+
+
+def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of the rows before each one in its partition."""
+    here, total = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        counts = batch.column("doc_tokens").to_numpy()
+        before = total + np.cumsum(counts) - counts
+        total += int(counts.sum())
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(before, pa.int64()), pa.array(np.full(len(counts), here, np.int32))],
+            names=[*batch.schema.names, "before", "part"])
+
+
+def cuts(encoded: DataFrame, task_tokens: int = TASK_TOKENS) -> list[tuple[int, int, int]]:
+    """Places on the curve, ascending, at which stretches of about ``task_tokens`` tokens begin; at most MOST_TASKS.
+
+    One number per sorted partition and one place per stretch reach the driver.
+    """
+    keys = encoded.select(*CURVE, "doc_tokens").repartitionByRange(*CURVE).sortWithinPartitions(*CURVE)
+    schema = "key long, tie long, row long, doc_tokens long, before long, part int"
+    summed = staged(keys.mapInArrow(_before, schema), "curve")
+    totals = dict(summed.groupBy("part").agg(F.sum("doc_tokens")).collect())
+    if not totals:
+        return []
+    sizes = [totals.get(part, 0) for part in range(max(totals) + 1)]
+    size = max(task_tokens, -(-sum(sizes) // MOST_TASKS))
+    shift = F.element_at(F.lit(list(accumulate(sizes[:-1], initial=0))).cast("array<bigint>"), F.col("part") + 1)
+    stretch = F.floor((F.col("before") + shift) / size)
+    first = summed.groupBy(stretch.alias("stretch")).agg(F.min(F.struct(*CURVE)).alias("at")).select("stretch", "at.*").collect()
+    return sorted((r["key"], r["tie"], r["row"]) for r in first if r["stretch"] > 0)
+
+
+def _stretch(places: list[tuple[int, int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in CURVE), strict=True)
+            task = pa.array([bisect_right(places, row) for row in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, task], names=[*batch.schema.names, "task"])
+
+    return run
+
+
+def pack(documents: DataFrame, tokenizer: str, ranks: str, sequence: int = SEQUENCE, task_tokens: int = TASK_TOKENS) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset."""
-    encoded = staged(encode(documents, tokenizer, ranks), "encoded")
-    total = encoded.agg(F.sum("doc_tokens")).first()[0] or 0
-    tasks = max(1, -(-total // TASK_TOKENS))
-    ordered = encoded.withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(tasks, "key", "tie")
-    ordered = ordered.sortWithinPartitions("key", "tie", "doc_id", "doc_tokens")
+    encoded = staged(encode(documents, tokenizer, ranks), "encoded").withColumn("tie", F.xxhash64("doc_id"))
+    places = cuts(encoded, task_tokens)
+    schema = T.StructType([*encoded.schema, T.StructField("task", T.IntegerType())])
+    placed = encoded.mapInArrow(_stretch(places), schema).repartitionById(len(places) + 1, "task").sortWithinPartitions(*CURVE)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return ordered.select("doc_id", "ids", "doc_tokens", "width").mapInArrow(
+    return placed.select("doc_id", "ids", "doc_tokens", "width").mapInArrow(
         _fill(sequence),
         f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -15,6 +15,36 @@ from coocatlas.llm import packing, sharding
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def test_stretches_hold_equal_tokens(spark):
+    """Copies, equal ids and one long document: no task gets much more than its share, none of them loses a piece."""
+    draw, words = random.Random(5), vocabulary(2)
+    same, long = sentence(draw, words, 120), sentence(draw, words, 3000)
+    rows = [(7, same)] * 150 + [(None, same)] * 150 + [(9, long)] + [(i, sentence(draw, words, draw.randint(0, 200))) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    pieces = packing.pack(frame, *PATHS, task_tokens=5000).collect()
+    held, most = Counter(), max(p.doc_tokens for p in pieces)
+    for p in pieces:
+        held[p.sequence_id >> 36] += p.length
+    total = sum(held.values())
+    assert total == sum(p.doc_tokens for p in pieces if p.start == 0) and len(held) >= total // (5000 + most)
+    assert all(n <= 5000 + most for n in held.values())
+
+
+def test_keys_follow_the_curve(spark):
+    """Every cell of a grid has a place of its own, next places are next cells, and packing keeps the order of keys."""
+    for dims, bits in ((2, 4), (3, 3), (4, 2)):
+        grid = np.indices((1 << bits,) * dims).reshape(dims, -1).T
+        keys = packing.hilbert_key(grid, bits)
+        assert sorted(keys.tolist()) == list(range(len(grid)))
+        assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+    draw = random.Random(6)
+    rows = [(i, sentence(draw, vocabulary(draw.randint(1, 4)), draw.randint(1, 80))) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keys = {r.doc_id: r.key for r in packing.encode(frame, *PATHS).collect()}
+    order = [p.doc_id for p in sorted(packing.pack(frame, *PATHS, task_tokens=2000).collect(), key=lambda p: (p.sequence_id, p.offset))]
+    assert [keys[d] for d in order] == sorted(keys[d] for d in order)
+
+
 @pytest.mark.parametrize("odd", [True, False])
 def test_pieces_join_to_the_documents(spark, odd):
     draw, words = random.Random(2), vocabulary(2)
