@@ -17,7 +17,7 @@ from coocatlas.llm.tables import staged
 #: Rows of one group that a window handles at once.
 CHUNK = 4096
 #: A key with more rows may be hot, and at most so many keys are.
-HOT, HOT_KEYS = 4096, 100_000
+HOT, HOT_KEYS = 512, 100_000
 
 
 def numbered(frame: DataFrame, groups: Sequence[str], *order: str, name: str = "nth") -> DataFrame:
