@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from coocatlas.functions.text import normalize_title
 from coocatlas.schema import ALBUM, ARTIST, ENTITIES, LABEL, TRACK, Entity
 
+# The columns of the serving tables, in their order, and those that must not be blank.
 LABEL_COLUMNS = (
     "label_rowid", "label_canonical_rowid", "label", "logcount", "ntrack", "nalbum", "nartist", "lon", "lat",
 )

@@ -13,6 +13,7 @@ from coocatlas.operators.similarity import Index, exact_neighbours, search
 from coocatlas.schema import entity
 from coocatlas.sources.staging import checkpoint
 
+# The fields of the exchanged records, in their order.
 INFO_COLUMNS = {
     "track": (
         "track_name_norm", "artist_rowid", "artist_name", "artist_logcount", "album_rowid", "album_name",

@@ -305,6 +305,14 @@ def build_index(
     return Index(lists, centroids, cells[0].astype(np.int64), *cells[1:])
 
 
+def empty_index(like: DataFrame, key: str) -> Index:
+    """Index without any list, in which every search finds nothing; ``like`` gives the vectors' length."""
+    keyed, first = _keyed(like, key), like.select("embedding").first()
+    none = np.zeros(0)
+    lists = keyed.limit(0).select(F.lit(0).alias("list_id"), "id", "v")
+    return Index(lists, np.zeros((0, len(first["embedding"]) if first else 1)), none.astype(np.int64), none, none, none)
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
     """A written index; only its one row per list is read here."""
     cells = spark.read.parquet(f"{path}/cells").toArrow().sort_by("list_id")

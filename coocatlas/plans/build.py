@@ -15,7 +15,7 @@ from coocatlas.operators.catalog import Thresholds
 from coocatlas.operators.guarantees import guarantee_report
 from coocatlas.operators.quality import conform, require_columns, require_coverage, require_guarantees
 from coocatlas.operators.search import SearchIndex, search_documents, search_index
-from coocatlas.operators.similarity import SEED, Index, build_index, list_count_for, open_index, sampled_centroids, train_centroids
+from coocatlas.operators.similarity import SEED, Index, build_index, empty_index, list_count_for, open_index, sampled_centroids, train_centroids
 from coocatlas.schema import ALBUM, ARTIST, ENTITIES, LABEL, TRACK, Entity, entity
 from coocatlas.sources.binding import Sources
 from coocatlas.sources.exports import write_export
@@ -115,7 +115,7 @@ class Atlas:
     def index(self, name: str, nlist: int | None = None, trained: bool = True) -> Index:
         """Written similarity index over the recable rows of an entity, built on first use.
 
-        The number of lists follows the number of rows unless given. Centroids are trained, or
+        The number of lists follows the number of rows unless given; without rows there are none. Centroids are trained, or
         else a seeded sample of the vectors, the same however the rows are laid out.
         """
         e = entity(name)
@@ -124,7 +124,7 @@ class Atlas:
             listed = self.tables[e.embedding].join(catalog.recable_ids(self.tables[e.table], e), e.key, "left_semi")
             n = listed.count()
             if not n:
-                raise ValueError(f"no recable {name} has a vector")
+                return empty_index(self.tables[e.embedding], e.key)
             count = min(n, nlist or list_count_for(n))
             if trained:
                 centroids = train_centroids(listed, e.key, n, count, SEED, iterations=10)

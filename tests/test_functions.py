@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from coocatlas.functions import numeric, text, vectors
 from coocatlas.functions.hashing import uniform
 
+# Titles and what they are normalised to.
 TITLES = [
     ("Untitled", "Untitled"),
     ("Untitled (Remastered Edition)", "Untitled"),

@@ -145,6 +145,12 @@ def test_single_precision_stays(spark):
         sim.build_index(b, "id", np.ones((sim.MOST_LISTS, 16)), bands=2)
 
 
+def test_an_index_without_rows_finds_nothing(spark):
+    b = table(spark, unit(5))
+    index = sim.empty_index(b, "id")
+    assert sim.search(index, b, 3, "id", nprobe=2).count() == 0 and sim.search_exact(index, b, 3, "id").count() == 0
+
+
 def test_sampled_centroids_do_not_depend_on_layout(spark):
     b = table(spark, unit(80, seed=15))
     one, other = (sim.sampled_centroids(b.repartition(n), "id", 5, 3) for n in (1, 7))
