@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from coocatlas.functions.let import let
 from coocatlas.functions.text import fold_key, parse_search_id, search_id, words
 from coocatlas.schema import ENTITIES
-from coocatlas.sources.staging import Staging
+from coocatlas.sources.staging import Staging, checkpoint
 
 # Searched fields in order of weight, and word lengths from which one and two typos are allowed.
 FIELDS = ("label", "artist_name", "album_name_norm", "track_name_norm")
@@ -24,6 +24,11 @@ NAMES_OF = {
 }
 ONE_TYPO, TWO_TYPOS = 5, 9
 FAR = 8
+#: A word in more documents than this has its postings in several parts, and at most so many words do.
+PART, COMMON = 50_000, 10_000
+def _best_first() -> tuple[Column, ...]:
+    """Order of the documents that hold equally many leading words of a request."""
+    return F.asc("typos"), F.asc("span"), F.desc("logcount"), F.asc("field"), F.desc("exact"), F.asc("id")
 
 
 def search_documents(tables: dict[str, DataFrame]) -> DataFrame:
@@ -96,23 +101,40 @@ def prefixes(dictionary: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """What a search reads: the documents, their postings, and two ways into the dictionary."""
+    """What a search reads: the documents, their postings, two ways into the dictionary, and how common its words are."""
 
     documents: DataFrame
     postings: DataFrame
     spellings: DataFrame
     prefixes: DataFrame
+    frequencies: DataFrame
 
 
-def search_index(documents: DataFrame, staging: Staging | None = None) -> SearchIndex:
+def word_frequencies(occurrences: DataFrame, part: int = PART) -> DataFrame:
+    """(word, docs, parts): documents that hold a word, and the parts its postings are spread over."""
+    counts = occurrences.select("word", "id").distinct().groupBy("word").agg(F.count("*").alias("docs"))
+    # fewer than COMMON words can be in more than one in COMMON of all (word, document) pairs
+    share = counts.agg(F.greatest(F.lit(part), F.floor(F.sum("docs") / COMMON)).alias("_part"))
+    return counts.crossJoin(F.broadcast(share)).select(
+        "word", "docs", F.ceil(F.col("docs") / F.col("_part")).cast("int").alias("parts"))
+
+
+def spread_postings(occurrences: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Postings with ``part``, by document, so that those of a common word do not share a task."""
+    common = F.broadcast(frequencies.where("parts > 1").select("word", "parts"))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+    return occurrences.join(common, "word", "left").withColumn("part", part).drop("parts")
+
+
+def search_index(documents: DataFrame, staging: Staging | None = None, part: int = PART) -> SearchIndex:
     """Index of the given documents, written to ``staging`` if there is one."""
     keep = (lambda name, build: build()) if staging is None else staging.table
     kept = keep("search_documents", lambda: documents)
-    occurrences = keep("search_postings", lambda: postings(kept))
-    dictionary = occurrences.select("word").distinct()
+    frequencies = keep("search_frequencies", lambda: word_frequencies(postings(kept), part))
     return SearchIndex(
-        kept, occurrences, keep("search_spellings", lambda: spellings(dictionary)),
-        keep("search_prefixes", lambda: prefixes(dictionary)),
+        kept, keep("search_postings", lambda: spread_postings(postings(kept), frequencies)),
+        keep("search_spellings", lambda: spellings(frequencies.select("word"))),
+        keep("search_prefixes", lambda: prefixes(frequencies.select("word"))), frequencies,
     )
 
 
@@ -142,64 +164,172 @@ def expand_terms(terms: DataFrame, known: DataFrame, starts: DataFrame) -> DataF
     )
 
 
+def _occurrences(expansion: DataFrame, index: SearchIndex) -> DataFrame:
+    """The postings of expanded words, those of a common word met part by part."""
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asked = expansion.join(index.frequencies.select("word", "parts"), "word").withColumn("part", parts).drop("parts")
+    return asked.join(index.postings, ["word", "part"]).drop("part")
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda acc, v: acc + v)
+
+
+def _apart(left: Column, right: Column) -> Column:
+    step = right["at"] - left["at"]
+    near = F.least(F.abs(step) + F.when(step < 0, 1).otherwise(0), F.lit(FAR))
+    return F.when(left["field"] == right["field"], near).otherwise(FAR)
+
+
+def _nearest(g: Column, h: Column) -> Column:
+    return F.array_min(F.flatten(F.transform(g, lambda left: F.transform(h, lambda right: _apart(left, right)))))
+
+
+def _figures(groups: Column) -> Column:
+    """All figures of a document from its hits, an array for each leading word."""
+    n = F.size(groups)
+    gaps = F.zip_with(F.slice(groups, F.lit(1), n - 1), F.slice(groups, F.lit(2), n - 1), _nearest)
+    return F.struct(
+        n.alias("matched"),
+        _total(F.transform(groups, lambda g: F.array_min(F.transform(g, lambda h: h["typos"])))).alias("typos"),
+        _total(gaps).alias("span"),
+        F.array_min(F.transform(F.flatten(groups), lambda h: h["field"])).alias("field"),
+        _total(F.transform(groups, lambda g: F.exists(g, lambda h: h["exact"]).cast("int"))).alias("exact"),
+    )
+
+
 def score_matches(requests: DataFrame, index: SearchIndex) -> DataFrame:
     """(request_id, id, matched, typos, span, field, exact) for documents matching at least the first word.
 
     ``matched`` counts leading query words found; ``typos`` adds the best per word;
     ``span`` adds the distance between neighbouring query words, 8 at most and across
     fields; ``field`` is the weightiest field hit; ``exact`` counts words found as typed.
+    All matches are returned; ``best_matches`` finds the first few with less work.
     """
     asked = _query_words(requests)
     expansion = expand_terms(asked.select("term", "is_last").distinct(), index.spellings, index.prefixes)
     hits = (
-        asked.join(expansion, ["term", "is_last"])
-        .join(index.postings, "word")
+        _occurrences(asked.join(expansion, ["term", "is_last"]), index)
         .groupBy("request_id", "id")
         .agg(F.collect_list(F.struct("slot", "field", "at", "typos", "exact")).alias("hits"))
     )
     slots = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["slot"])))
     leading = F.aggregate(slots, F.lit(0), lambda m, slot: F.when(slot == m, m + 1).otherwise(m))
 
-    def apart(left: Column, right: Column) -> Column:
-        step = right["at"] - left["at"]
-        near = F.least(F.abs(step) + F.when(step < 0, 1).otherwise(0), F.lit(FAR))
-        return F.when(left["field"] == right["field"], near).otherwise(FAR)
+    def by_word(matched: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), matched - 1), lambda slot: F.filter("hits", lambda h: h["slot"] == slot))
 
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0), lambda acc, v: acc + v)
+    scored = let(leading, lambda m: F.when(m > 0, let(by_word(m), _figures)))
+    return hits.select("request_id", "id", scored.alias("s")).where(F.col("s").isNotNull()).select("request_id", "id", "s.*")
 
-    def figures(matched: Column) -> Column:
-        """All figures from the hits of the leading words, grouped by word once."""
-        used = F.transform(
-            F.sequence(F.lit(0), matched - 1), lambda slot: F.filter("hits", lambda h: h["slot"] == slot)
-        )
-        return let(used, lambda groups: F.struct(
-            matched.alias("matched"),
-            total(F.transform(groups, lambda g: F.array_min(F.transform(g, lambda h: h["typos"])))).alias("typos"),
-            total(gaps(groups, matched)).alias("span"),
-            F.array_min(F.transform(F.flatten(groups), lambda h: h["field"])).alias("field"),
-            total(F.transform(groups, lambda g: F.exists(g, lambda h: h["exact"]).cast("int"))).alias("exact"),
-        ))
 
-    def gaps(groups: Column, matched: Column) -> Column:
-        """Least distance between each two neighbouring words."""
+def leading_phrases(requests: DataFrame) -> DataFrame:
+    """(request_id, matched, phrase, whole): the first 1, 2, ... words of each request, ``whole`` for all of them."""
+    text = F.when(F.length("text") > 0, F.col("text")).otherwise(F.raise_error(F.lit("search text must not be empty")))
+    split = requests.select("request_id", words(text).alias("w")).where(F.size("w") > 0)
+    grown = split.withColumn("matched", F.explode(F.sequence(F.lit(1), F.size("w"))))
+    return grown.select(
+        "request_id", "matched", F.concat_ws(" ", F.slice("w", F.lit(1), F.col("matched"))).alias("phrase"),
+        (F.col("matched") == F.size("w")).alias("whole"),
+    )
+
 
-        def nearest(g: Column, h: Column) -> Column:
-            return F.array_min(F.flatten(F.transform(g, lambda left: F.transform(h, lambda right: apart(left, right)))))
+def rarest_terms(phrases: DataFrame, expansion: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(phrase, whole, term, is_last, docs): per phrase the word with the fewest postings; none if a word is unknown.
 
-        return F.zip_with(F.slice(groups, F.lit(1), matched - 1), F.slice(groups, F.lit(2), matched - 1), nearest)
+    ``phrases`` has distinct (phrase, whole). ``docs`` adds the documents of every
+    spelling a word stands for and so bounds the documents that can match the phrase.
+    """
+    common = expansion.join(frequencies, "word").groupBy("term", "is_last").agg(F.sum("docs").alias("docs"))
+    slots = _phrase_words(phrases).join(common, ["term", "is_last"], "left")
+    rarest = F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "slot", "term", "is_last")).alias("r")
+    return slots.groupBy("phrase", "whole").agg(rarest).where("r.docs > 0").select(
+        "phrase", "whole", "r.term", "r.is_last", "r.docs")
 
-    scored = let(leading, lambda m: F.when(m > 0, figures(m)))
-    return hits.select("request_id", "id", scored.alias("s")).where(F.col("s").isNotNull()).select("request_id", "id", "s.*")
 
+def _phrase_words(phrases: DataFrame) -> DataFrame:
+    terms = F.split("phrase", " ")
+    return phrases.select("phrase", "whole", F.size(terms).alias("n"), F.posexplode(terms).alias("slot", "term")).select(
+        "phrase", "whole", "slot", "term", (F.col("whole") & (F.col("slot") == F.col("n") - 1)).alias("is_last"))
 
-def rank_hits(scored: DataFrame, documents: DataFrame, limit: int = 10) -> DataFrame:
-    """First ``limit`` documents per request, ranked from 1, with their fields."""
+
+def phrase_candidates(phrases: DataFrame, index: SearchIndex) -> DataFrame:
+    """(phrase, whole, id): documents with the rarest word of a phrase; other words of it add none."""
+    terms = _phrase_words(phrases).select("term", "is_last").distinct()
+    # read for the counts and for the postings
+    expansion = checkpoint(expand_terms(terms, index.spellings, index.prefixes))
+    rarest = checkpoint(rarest_terms(phrases, expansion, index.frequencies))
+    wanted = expansion.join(rarest.select("term", "is_last").distinct(), ["term", "is_last"])
+    found = _occurrences(wanted.select("term", "is_last", "word"), index).select("term", "is_last", "id").distinct()
+    return rarest.join(found, ["term", "is_last"]).select("phrase", "whole", "id")
+
+
+def best_of_phrases(phrases: DataFrame, index: SearchIndex, k: int) -> DataFrame:
+    """(phrase, whole, id, matched, typos, span, field, exact) of the k best documents that hold a whole phrase.
+
+    A candidate's own words are compared with those of the phrase, so that the postings
+    of the phrase's common words are never read.
+    """
+    terms = F.split("phrase", " ")
+
+    def placed(field: int, column: str) -> Column:
+        found = F.coalesce(words(F.col(column)), F.array().cast("array<string>"))
+        return F.transform(found, lambda w, at: F.struct(F.lit(field).alias("field"), at.alias("at"), w.alias("word")))
+
+    def hits(term: Column, slot: Column, held: Column) -> Column:
+        starts = F.col("whole") & (slot == F.size(terms) - 1)
+
+        def hit(h: Column) -> Column:
+            distance = F.levenshtein(term, h["word"])
+            typos = F.when(starts & F.startswith(h["word"], term), 0).when(distance <= _typo_budget(term), distance)
+            return F.struct(h["field"].alias("field"), h["at"].alias("at"), typos.alias("typos"),
+                            (term == h["word"]).alias("exact"))
+
+        return F.filter(F.transform(held, hit), lambda h: h["typos"].isNotNull())
+
+    fields = F.concat(*[placed(i, c) for i, c in enumerate(FIELDS)])
+    groups = let(fields, lambda held: F.transform(terms, lambda term, slot: hits(term, slot, held)))
+    scored = let(groups, lambda g: F.when(F.forall(g, lambda h: F.size(h) > 0), _figures(g)))
+    held = phrase_candidates(phrases, index).join(index.documents.select("id", "logcount", *FIELDS), "id")
+    found = held.select("phrase", "whole", "id", "logcount", scored.alias("s")).where(F.col("s").isNotNull())
+    flat = found.select("phrase", "whole", "id", "logcount", "s.*")
+    order = W.partitionBy("phrase", "whole").orderBy(*_best_first())
+    return flat.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n", "logcount")
+
+
+def best_matches(requests: DataFrame, index: SearchIndex, limit: int) -> DataFrame:
+    """Rows of ``score_matches`` that include the first ``limit`` of every request.
+
+    Documents with all words of a request come first, so those are looked up first, by
+    the rarest word. Only requests with fewer than ``limit`` of them go on to the
+    documents with fewer leading words. Equal phrases are looked up once, and at most
+    2 x ``limit`` documents of each leave: of these, fewer than ``limit`` can hold a
+    longer phrase of the same request.
+    """
+    asked = leading_phrases(requests)
+
+    def looked_up(rows: DataFrame) -> DataFrame:
+        phrases = checkpoint(rows.select("phrase", "whole").distinct())
+        best = best_of_phrases(phrases, index, 2 * limit)
+        return rows.drop("matched").join(best, ["phrase", "whole"]).drop("phrase", "whole")
+
+    complete = checkpoint(looked_up(asked.where("whole")))
+    enough = complete.groupBy("request_id").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
+    partial = looked_up(asked.where("NOT whole").join(enough, "request_id", "left_anti"))
+    longest = W.partitionBy("request_id", "id").orderBy(F.desc("matched"))
+    both = complete.unionByName(partial).withColumn("_n", F.row_number().over(longest)).where("_n = 1")
+    return both.select("request_id", "id", "matched", "typos", "span", "field", "exact")
+
+
+def _check_limit(limit: int) -> None:
     if not 1 <= limit <= 20:
         raise ValueError("limit must be at least 1 and at most 20")
-    order = W.partitionBy("request_id").orderBy(
-        F.desc("matched"), F.asc("typos"), F.asc("span"), F.desc("logcount"), F.asc("field"), F.desc("exact"), F.asc("id")
-    )
+
+
+def rank_hits(scored: DataFrame, documents: DataFrame, limit: int = 10) -> DataFrame:
+    """First ``limit`` documents per request, ranked from 1, with their fields."""
+    _check_limit(limit)
+    order = W.partitionBy("request_id").orderBy(F.desc("matched"), *_best_first())
     popular = documents.select("id", "logcount")
     top = scored.join(popular, "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return top.drop("logcount").join(documents, "id")
@@ -229,5 +359,6 @@ def dedup_hits(hits: DataFrame) -> DataFrame:
 
 def search(requests: DataFrame, index: SearchIndex, limit: int = 10) -> DataFrame:
     """Hit records per text request, best first; duplicates are removed after the limit is applied."""
-    ranked = rank_hits(score_matches(requests, index), index.documents, limit)
+    _check_limit(limit)
+    ranked = rank_hits(best_matches(requests, index, limit), index.documents, limit)
     return dedup_hits(map_hits(ranked))

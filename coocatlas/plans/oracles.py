@@ -583,6 +583,11 @@ for _e in ENTITIES:
     ORACLES[f"export_geojson_{_e.name}"] = f"""SELECT {_e.key}::BIGINT AS rowid, {_columns(["lon", "lat", "logcount"])}
   FROM {TABLE[_e.name]}"""
 ORACLES["search_scores"] = "SELECT * FROM m_scores"
+ORACLES["search_rarest_words"] = """WITH freq AS (SELECT word, count(DISTINCT id) AS docs FROM m_occ GROUP BY 1),
+  sized AS (SELECT request_id, slot, q.term, coalesce(sum(docs), 0) AS docs FROM m_qwords q
+   LEFT JOIN m_expand e ON e.term = q.term AND e.is_last = q.is_last LEFT JOIN freq USING (word) GROUP BY 1, 2, 3),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY docs, slot) AS n FROM sized)
+  SELECT request_id, term, docs::BIGINT AS docs FROM placed WHERE n = 1 AND docs > 0"""
 _fold = lambda x: f"lower(replace(trim({x}), 'ß', 'ss'))"
 ORACLES["search_hits"] = f"""SELECT request_id, rank::INT AS rank, entity_type, rowid, {_columns(_doc[1:])} FROM (SELECT *,
   row_number() OVER (PARTITION BY request_id, entity_type, {_fold("coalesce(track_name_norm, album_name_norm, artist_name, label)")},

@@ -625,6 +625,18 @@ def search_scores(a: Atlas) -> DataFrame:
     return search.score_matches(_search_requests(a), a.search_index)
 
 
+@query
+def search_rarest_words(a: Atlas) -> DataFrame:
+    """Per request the word whose postings are read, and how many documents that makes candidates at most."""
+    phrases = search.leading_phrases(_search_requests(a)).where("whole")
+    terms = phrases.select(F.explode(F.split("phrase", " ")).alias("term")).distinct()
+    both = terms.withColumn("is_last", F.explode(F.array(F.lit(True), F.lit(False))))
+    index = a.search_index
+    expansion = search.expand_terms(both, index.spellings, index.prefixes)
+    rarest = search.rarest_terms(phrases.select("phrase", "whole").distinct(), expansion, index.frequencies)
+    return phrases.join(rarest, ["phrase", "whole"]).select("request_id", "term", "docs")
+
+
 @query
 def search_hits(a: Atlas) -> DataFrame:
     return _rounded(search.search(_search_requests(a), a.search_index, 10))

@@ -253,6 +253,42 @@ def test_search_ranking(spark):
         search.search(spark.createDataFrame([(1, "")], "request_id INT, text STRING"), search.search_index(docs)).collect()
 
 
+def test_best_matches_lose_nothing(spark):
+    """The first hits from rarest words equal those of scoring every match, whatever the parts and however common a word."""
+    rng = np.random.default_rng(5)
+    common, rest = ["love", "lovely", "night"], ["".join(rng.choice(list("abcde"), rng.integers(2, 10))) for _ in range(25)]
+
+    def name():
+        words = list(rng.choice(rest, rng.integers(0, 3))) + list(rng.choice(common, rng.integers(1, 3)))
+        return " ".join(rng.permutation(words))
+
+    docs = documents(spark, [
+        (f"track_{i}", None, None if i % 7 == 0 else name(), None, "" if i % 11 == 0 else name(), float(rng.integers(0, 3)), 0.0, 0.0)
+        for i in range(300)])
+    asked = [" ".join(rng.permutation([*rng.choice(rest, rng.integers(0, 3)), *rng.choice(common, rng.integers(0, 3)), "love"]))
+             for _ in range(40)] + ["love", "love love", "lov", "night lovely unheardof", "unheardof love", "...", "n love"]
+    requests = spark.createDataFrame(list(enumerate(asked)), "request_id INT, text STRING")
+    for limit, part in ((1, 50), (10, 10**6), (20, 7)):
+        index = search.search_index(docs, part=part)
+        expected = search.rank_hits(search.score_matches(requests, index), docs, limit)
+        got = search.rank_hits(search.best_matches(requests, index, limit), docs, limit)
+        columns = ["request_id", "rank", "id", "matched", "typos", "span", "field", "exact"]
+        assert rows(got, *columns) == rows(expected, *columns)
+        parts = dict(index.frequencies.select("word", "parts").collect())
+        assert (parts["love"] > 1) == (part < 100)
+
+
+def test_common_words_add_no_candidates(spark):
+    docs = documents(spark, [
+        (f"track_{i}", None, f"name {i}", None, "the common" + (" zebra" if i % 100 == 0 else ""), 1.0, 0.0, 0.0) for i in range(1000)])
+    index = search.search_index(docs)
+    phrases = spark.createDataFrame([("the common zebra", True), ("zebra the", True), ("the unheardof", False)], "phrase STRING, whole BOOLEAN")
+    found = search.phrase_candidates(phrases, index)
+    assert rows(found.groupBy("phrase").count()) == [("the common zebra", 10), ("zebra the", 10)]
+    empty = search.search(spark.createDataFrame([(1, "the")], "request_id INT, text STRING"), search.search_index(docs.limit(0)))
+    assert empty.count() == 0
+
+
 def test_term_expansion_matches_brute_force(spark):
     def distance(a, b):
         d = list(range(len(b) + 1))
