@@ -26,6 +26,8 @@ ONE_TYPO, TWO_TYPOS = 5, 9
 FAR = 8
 #: A word in more documents than this has its postings in several parts, and at most so many words do.
 PART, COMMON = 50_000, 10_000
+#: So few word hits of all requests together are scored in one go, which takes fewer jobs for the same rows.
+DIRECT = 1_000_000
 def _best_first() -> tuple[Column, ...]:
     """Order of the documents that hold equally many leading words of a request."""
     return F.asc("typos"), F.asc("span"), F.desc("logcount"), F.asc("field"), F.desc("exact"), F.asc("id")
@@ -198,7 +200,7 @@ def _figures(groups: Column) -> Column:
     )
 
 
-def score_matches(requests: DataFrame, index: SearchIndex) -> DataFrame:
+def score_matches(requests: DataFrame, index: SearchIndex, expansion: DataFrame | None = None) -> DataFrame:
     """(request_id, id, matched, typos, span, field, exact) for documents matching at least the first word.
 
     ``matched`` counts leading query words found; ``typos`` adds the best per word;
@@ -207,7 +209,8 @@ def score_matches(requests: DataFrame, index: SearchIndex) -> DataFrame:
     All matches are returned; ``best_matches`` finds the first few with less work.
     """
     asked = _query_words(requests)
-    expansion = expand_terms(asked.select("term", "is_last").distinct(), index.spellings, index.prefixes)
+    if expansion is None:
+        expansion = expand_terms(asked.select("term", "is_last").distinct(), index.spellings, index.prefixes)
     hits = (
         _occurrences(asked.join(expansion, ["term", "is_last"]), index)
         .groupBy("request_id", "id")
@@ -253,18 +256,14 @@ def _phrase_words(phrases: DataFrame) -> DataFrame:
         "phrase", "whole", "slot", "term", (F.col("whole") & (F.col("slot") == F.col("n") - 1)).alias("is_last"))
 
 
-def phrase_candidates(phrases: DataFrame, index: SearchIndex) -> DataFrame:
+def phrase_candidates(rarest: DataFrame, expansion: DataFrame, index: SearchIndex) -> DataFrame:
     """(phrase, whole, id): documents with the rarest word of a phrase; other words of it add none."""
-    terms = _phrase_words(phrases).select("term", "is_last").distinct()
-    # read for the counts and for the postings
-    expansion = checkpoint(expand_terms(terms, index.spellings, index.prefixes))
-    rarest = checkpoint(rarest_terms(phrases, expansion, index.frequencies))
     wanted = expansion.join(rarest.select("term", "is_last").distinct(), ["term", "is_last"])
     found = _occurrences(wanted.select("term", "is_last", "word"), index).select("term", "is_last", "id").distinct()
     return rarest.join(found, ["term", "is_last"]).select("phrase", "whole", "id")
 
 
-def best_of_phrases(phrases: DataFrame, index: SearchIndex, k: int) -> DataFrame:
+def best_of_phrases(rarest: DataFrame, expansion: DataFrame, index: SearchIndex, k: int) -> DataFrame:
     """(phrase, whole, id, matched, typos, span, field, exact) of the k best documents that hold a whole phrase.
 
     A candidate's own words are compared with those of the phrase, so that the postings
@@ -290,27 +289,35 @@ def best_of_phrases(phrases: DataFrame, index: SearchIndex, k: int) -> DataFrame
     fields = F.concat(*[placed(i, c) for i, c in enumerate(FIELDS)])
     groups = let(fields, lambda held: F.transform(terms, lambda term, slot: hits(term, slot, held)))
     scored = let(groups, lambda g: F.when(F.forall(g, lambda h: F.size(h) > 0), _figures(g)))
-    held = phrase_candidates(phrases, index).join(index.documents.select("id", "logcount", *FIELDS), "id")
+    held = phrase_candidates(rarest, expansion, index).join(index.documents.select("id", "logcount", *FIELDS), "id")
     found = held.select("phrase", "whole", "id", "logcount", scored.alias("s")).where(F.col("s").isNotNull())
     flat = found.select("phrase", "whole", "id", "logcount", "s.*")
     order = W.partitionBy("phrase", "whole").orderBy(*_best_first())
     return flat.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n", "logcount")
 
 
-def best_matches(requests: DataFrame, index: SearchIndex, limit: int) -> DataFrame:
+def best_matches(requests: DataFrame, index: SearchIndex, limit: int, direct: int = DIRECT) -> DataFrame:
     """Rows of ``score_matches`` that include the first ``limit`` of every request.
 
     Documents with all words of a request come first, so those are looked up first, by
     the rarest word. Only requests with fewer than ``limit`` of them go on to the
     documents with fewer leading words. Equal phrases are looked up once, and at most
     2 x ``limit`` documents of each leave: of these, fewer than ``limit`` can hold a
-    longer phrase of the same request.
+    longer phrase of the same request. When all requests' words have at most ``direct``
+    hits, counted beforehand, ``score_matches`` gives the same first ones.
     """
+    terms = _query_words(requests).select("term", "is_last")
+    expansion = checkpoint(expand_terms(terms.distinct(), index.spellings, index.prefixes))
+    hits = terms.join(expansion.join(index.frequencies, "word"), ["term", "is_last"]).agg(F.sum("docs")).head()[0] or 0
+    if hits <= direct:
+        return score_matches(requests, index, expansion)
     asked = leading_phrases(requests)
+    phrases = asked.select("phrase", "whole").distinct()
+    rarest = checkpoint(rarest_terms(phrases, expansion, index.frequencies))
 
     def looked_up(rows: DataFrame) -> DataFrame:
-        phrases = checkpoint(rows.select("phrase", "whole").distinct())
-        best = best_of_phrases(phrases, index, 2 * limit)
+        needed = rarest.join(rows.select("phrase", "whole").distinct(), ["phrase", "whole"], "left_semi")
+        best = best_of_phrases(needed, expansion, index, 2 * limit)
         return rows.drop("matched").join(best, ["phrase", "whole"]).drop("phrase", "whole")
 
     complete = checkpoint(looked_up(asked.where("whole")))
@@ -357,8 +364,11 @@ def dedup_hits(hits: DataFrame) -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n", "_name", "_artist")
 
 
-def search(requests: DataFrame, index: SearchIndex, limit: int = 10) -> DataFrame:
-    """Hit records per text request, best first; duplicates are removed after the limit is applied."""
+def search(requests: DataFrame, index: SearchIndex, limit: int = 10, direct: int = DIRECT) -> DataFrame:
+    """Hit records per text request, best first; duplicates are removed after the limit is applied.
+
+    ``direct`` is that of ``best_matches`` and changes no row.
+    """
     _check_limit(limit)
-    ranked = rank_hits(best_matches(requests, index, limit), index.documents, limit)
+    ranked = rank_hits(best_matches(requests, index, limit, direct), index.documents, limit)
     return dedup_hits(map_hits(ranked))

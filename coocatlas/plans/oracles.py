@@ -589,7 +589,7 @@ ORACLES["search_rarest_words"] = """WITH freq AS (SELECT word, count(DISTINCT id
   placed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY docs, slot) AS n FROM sized)
   SELECT request_id, term, docs::BIGINT AS docs FROM placed WHERE n = 1 AND docs > 0"""
 _fold = lambda x: f"lower(replace(trim({x}), 'ß', 'ss'))"
-ORACLES["search_hits"] = f"""SELECT request_id, rank::INT AS rank, entity_type, rowid, {_columns(_doc[1:])} FROM (SELECT *,
+ORACLES["search_hits"] = ORACLES["search_hits_rarest_first"] = f"""SELECT request_id, rank::INT AS rank, entity_type, rowid, {_columns(_doc[1:])} FROM (SELECT *,
   row_number() OVER (PARTITION BY request_id, entity_type, {_fold("coalesce(track_name_norm, album_name_norm, artist_name, label)")},
   CASE WHEN entity_type IN ('track', 'album') THEN {_fold("artist_name")} END ORDER BY rank) AS n FROM
   (SELECT *, split_part(id, '_', 1) AS entity_type, split_part(id, '_', 2)::BIGINT AS rowid FROM m_ranked)) WHERE n = 1"""

@@ -642,6 +642,12 @@ def search_hits(a: Atlas) -> DataFrame:
     return _rounded(search.search(_search_requests(a), a.search_index, 10))
 
 
+@query
+def search_hits_rarest_first(a: Atlas) -> DataFrame:
+    """The same by the rarest words, as when the requests' words have many hits."""
+    return _rounded(search.search(_search_requests(a), a.search_index, 10, direct=0))
+
+
 # Similarity
 
 

@@ -268,10 +268,10 @@ def test_best_matches_lose_nothing(spark):
     asked = [" ".join(rng.permutation([*rng.choice(rest, rng.integers(0, 3)), *rng.choice(common, rng.integers(0, 3)), "love"]))
              for _ in range(40)] + ["love", "love love", "lov", "night lovely unheardof", "unheardof love", "...", "n love"]
     requests = spark.createDataFrame(list(enumerate(asked)), "request_id INT, text STRING")
-    for limit, part in ((1, 50), (10, 10**6), (20, 7)):
+    for limit, part in ((1, 50), (2, 50), (10, 10**6), (20, 7)):
         index = search.search_index(docs, part=part)
         expected = search.rank_hits(search.score_matches(requests, index), docs, limit)
-        got = search.rank_hits(search.best_matches(requests, index, limit), docs, limit)
+        got = search.rank_hits(search.best_matches(requests, index, limit, direct=0 if limit > 1 else 10**9), docs, limit)
         columns = ["request_id", "rank", "id", "matched", "typos", "span", "field", "exact"]
         assert rows(got, *columns) == rows(expected, *columns)
         parts = dict(index.frequencies.select("word", "parts").collect())
@@ -283,7 +283,9 @@ def test_common_words_add_no_candidates(spark):
         (f"track_{i}", None, f"name {i}", None, "the common" + (" zebra" if i % 100 == 0 else ""), 1.0, 0.0, 0.0) for i in range(1000)])
     index = search.search_index(docs)
     phrases = spark.createDataFrame([("the common zebra", True), ("zebra the", True), ("the unheardof", False)], "phrase STRING, whole BOOLEAN")
-    found = search.phrase_candidates(phrases, index)
+    terms = spark.createDataFrame([(t, last) for t in ("the", "common", "zebra", "unheardof") for last in (True, False)], "term STRING, is_last BOOLEAN")
+    expansion = search.expand_terms(terms, index.spellings, index.prefixes)
+    found = search.phrase_candidates(search.rarest_terms(phrases, expansion, index.frequencies), expansion, index)
     assert rows(found.groupBy("phrase").count()) == [("the common zebra", 10), ("zebra the", 10)]
     empty = search.search(spark.createDataFrame([(1, "the")], "request_id INT, text STRING"), search.search_index(docs.limit(0)))
     assert empty.count() == 0
