@@ -437,6 +437,8 @@ ORACLES["sgns_loss"] = f"""SELECT count(*) AS pairs, round(-(sum({_ls("s")}) + (
 ORACLES["shifted_pmi"] = f"""SELECT center, context, round(pmi, 6) AS pmi FROM (SELECT center, context,
   ln(n * sum(n) OVER () / (sum(n) OVER (PARTITION BY center) * sum(n) OVER (PARTITION BY context))) - ln({q.NEGATIVES}) AS pmi
   FROM (SELECT center, context, count(*)::DOUBLE AS n FROM m_pairs GROUP BY 1, 2)) WHERE pmi > 0"""
+ORACLES["fitted_vectors"] = """SELECT DISTINCT center AS track_id, 'in' AS side, 16 AS dim, true AS finite FROM m_pairs
+  UNION ALL SELECT DISTINCT context, 'out', 16, true FROM m_pairs"""
 ORACLES["normalized_titles"] = f"SELECT track_rowid, {_title('name')} AS title FROM m_tracks"
 ORACLES["album_canonical"] = "SELECT album_rowid, album_canonical_rowid FROM m_albums_f"
 ORACLES["track_canonical"] = "SELECT track_rowid, track_canonical_rowid FROM m_tracks_f"

@@ -373,8 +373,10 @@ def shifted_pmi(a: Atlas) -> DataFrame:
 
 @query
 def fitted_vectors(a: Atlas) -> DataFrame:
-    inward, _ = pairs.fit_vectors(skipgram_pairs(a), dim=16, iterations=4)
-    return inward.select("track_id", F.size("embedding").alias("dim"))
+    inward, outward = pairs.fit_vectors(skipgram_pairs(a), dim=16, iterations=4)
+    finite = F.forall("embedding", lambda x: F.abs(x) < float("inf"))
+    return inward.select("track_id", F.lit("in").alias("side"), F.size("embedding").alias("dim"), finite.alias("finite")).unionByName(
+        outward.select("track_id", F.lit("out").alias("side"), F.size("embedding").alias("dim"), finite.alias("finite")))
 
 
 @query
