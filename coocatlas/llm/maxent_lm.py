@@ -44,6 +44,9 @@ CHUNK = 256
 ADDED = 0.1
 ROUNDS = ((1, 2, 3), (4, 5, 6), (7, 8, 9))
 MINIBATCH, RATE = 4096, 0.3
+# Text bytes whose words are found at once, and tokens scored at once: they bound a task's memory, not its result.
+WORD_BYTES = 1 << 20
+SCORED = 1 << 16
 END = np.uint64(0)
 
 BLOCK = "block long, docs array<{kind}>, folds array<int>, sizes array<long>, ids binary, vocab binary, shapes binary, train binary"
@@ -52,18 +55,18 @@ BLOCK = "block long, docs array<{kind}>, folds array<int>, sizes array<long>, id
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base = TaskContext.get().partitionId() << 32
     for number, batch in enumerate(slices(batches, "text")):
-        found = words(batch.column("text"))
-        n_docs, n = found.n_docs, len(found.hash)
-        vocab, first, which, often = np.unique(found.hash, return_index=True, return_inverse=True, return_counts=True)
+        hashes, shape, doc, n_docs = _words(batch)
+        n = len(hashes)
+        vocab, first, which, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         # frequent tokens get small ids, which compress well
         order = np.argsort(-often, kind="stable")
         vocab, first, which = vocab[order], first[order], np.argsort(order)[which]
         ids = np.zeros(n + n_docs, "<u4")  # 0 is the end token
-        ids[np.arange(n) + found.doc] = which + 1
-        sizes = np.diff(found.bounds) + 1
+        ids[np.arange(n) + doc] = which + 1
+        sizes = np.bincount(doc, minlength=n_docs) + 1
         folds = batch.column("fold").to_numpy()
         train = np.bincount(ids[np.repeat(folds != 0, sizes)], minlength=len(vocab) + 1).astype("<u4")
-        shapes = np.concatenate([[0], _shape(found.data, found.start[first], found.end[first])]).astype(np.uint8)
+        shapes = np.concatenate([[0], shape[first]]).astype(np.uint8)
         one = lambda values, kind=None: pa.array([values], kind)
         docs = batch.column("doc_id")
         docs = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
@@ -74,6 +77,18 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["block", "docs", "folds", "sizes", "ids", "vocab", "shapes", "train"])
 
 
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hash, spelling shape and document of each word, and the number of documents; texts are taken a part at a time."""
+    hashes, shapes, docs, n_docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], 0
+    for part in slices(iter([batch.select(["text"])]), "text", WORD_BYTES):
+        found = words(part.column("text"))
+        hashes.append(found.hash)
+        shapes.append(_shape(found.data, found.start, found.end).astype(np.uint8))
+        docs.append(found.doc + n_docs)
+        n_docs += found.n_docs
+    return np.concatenate(hashes), np.concatenate(shapes), np.concatenate(docs), n_docs
+
+
 def _deflated(ids: np.ndarray) -> bytes:
     """Token ids, compressed byte plane by byte plane."""
     return pa.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
@@ -104,14 +119,22 @@ def encode(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text", fold.alias("fold")).mapInArrow(_encode, BLOCK.format(kind=kind))
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    """Block by block, as Arrow and as Python values, so that a task holds the values of one block only."""
     for batch in batches:
-        for block, vocab, shapes, train in zip(*(batch.column(c).to_pylist() for c in ("block", "vocab", "shapes", "train")), strict=True):
-            token = np.frombuffer(vocab, "<u8").view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(token), block)), pa.array(np.arange(len(token), dtype=np.int32)), pa.array(token),
-                 pa.array(np.frombuffer(shapes, np.uint8).astype(np.int32)), pa.array(np.frombuffer(train, "<u4").astype(np.int64))],
-                names=["block", "at", "token", "shape", "n"])
+        for at in range(batch.num_rows):
+            one = batch.slice(at, 1)
+            yield one, one.to_pylist()[0]
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, row in _single(batches):
+        token = np.frombuffer(row["vocab"], "<u8").view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(token), row["block"])), pa.array(np.arange(len(token), dtype=np.int32)), pa.array(token),
+             pa.array(np.frombuffer(row["shapes"], np.uint8).astype(np.int32)),
+             pa.array(np.frombuffer(row["train"], "<u4").astype(np.int64))],
+            names=["block", "at", "token", "shape", "n"])
 
 
 def _packed(group: pd.DataFrame) -> pd.DataFrame:
@@ -194,29 +217,45 @@ def features(ids: np.ndarray, sizes: np.ndarray, vocab: np.ndarray, cls: np.ndar
     return np.stack(salted, axis=1).astype(np.int32)
 
 
-def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log-probabilities of all classes for each row of features; the last weight row is the bias."""
-    scores = weights[rows[:, 0]] + weights[-1]
+def _scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Scores (classes x tokens, at most 0) for each row of features; the last weight row is the bias."""
+    scores = np.take(weights, rows[:, 0], axis=0, mode="clip")
+    scores += weights[-1]
     for k in range(1, rows.shape[1]):
-        scores += weights[rows[:, k]]
-    scores -= scores.max(axis=1, keepdims=True)
-    scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
+        scores += np.take(weights, rows[:, k], axis=0, mode="clip")
+    # class by class, so that the reductions over classes run along the tokens
+    scores = np.ascontiguousarray(scores.T)
+    scores -= scores.max(axis=0)
     return scores
 
 
+def log_class(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probability of each token's class ``target`` for its row of features."""
+    scores = _scores(weights, rows)
+    own = scores[target, np.arange(len(target))]
+    return own - np.log(np.exp(scores, out=scores).sum(axis=0))
+
+
 def step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One AdaGrad step on a minibatch, in place; ``seen`` holds squared gradients per weight row."""
-    gradient = np.exp(log_classes(weights, rows))
-    gradient[np.arange(len(target)), target] -= 1
+    by_class = _scores(weights, rows)
+    np.exp(by_class, out=by_class)
+    by_class /= by_class.sum(axis=0)
+    by_class[target, np.arange(len(target))] -= 1
+    gradient = np.ascontiguousarray(by_class.T)
     for k in range(rows.shape[1]):
-        order = np.argsort(rows[:, k], kind="stable")
-        ordered = rows[order, k]
+        # ROWS fit 16 bits, which are sorted by counting
+        column = rows[:, k].astype(np.uint16)
+        order = np.argsort(column, kind="stable")
+        ordered = column[order]
         begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        sums = np.add.reduceat(gradient[order], begins, axis=0)
+        sums = np.add.reduceat(np.take(gradient, order, axis=0, mode="clip"), begins, axis=0)
         at = ordered[begins]
-        seen[at] += (sums ** 2).mean(axis=1)
-        weights[at] -= (RATE / np.sqrt(seen[at]))[:, None] * sums
-    total = gradient.sum(axis=0)
+        squares = seen[at] + np.einsum("ij,ij->i", sums, sums) / np.float32(CLASSES)
+        seen[at] = squares
+        sums *= (RATE / np.sqrt(squares))[:, None]
+        weights[at] -= sums
+    total = by_class.sum(axis=1)
     seen[-1] += (total ** 2).mean()
     weights[-1] -= RATE * 0.1 / np.sqrt(seen[-1]) * total
 
@@ -231,16 +270,15 @@ def _train(shared, words_: Vocabulary, folds: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
         weights, seen, used = start.copy(), np.full(ROWS + 1, 1.0, np.float32), 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, sizes, fold, vocab, shapes = _block(row)
-                cls = words_.classes(vocab, shapes)
-                rows, target = features(ids, sizes, vocab, cls), cls[ids]
-                at = np.flatnonzero(np.repeat(np.isin(fold, folds), sizes))
-                for begin in range(0, len(at), MINIBATCH):
-                    part = at[begin:begin + MINIBATCH]
-                    step(weights, seen, rows[part], target[part])
-                used += len(at)
+        for _, row in _single(batches):
+            ids, sizes, fold, vocab, shapes = _block(row)
+            cls, wanted = words_.classes(vocab, shapes), np.isin(fold, folds)
+            ids, sizes = ids[np.repeat(wanted, sizes)], sizes[wanted]
+            rows, target = features(ids, sizes, vocab, cls), cls[ids]
+            for begin in range(0, len(ids), MINIBATCH):
+                part = slice(begin, begin + MINIBATCH)
+                step(weights, seen, rows[part], target[part])
+            used += len(ids)
         if used:
             moved = (weights - start).astype("<f2")
             pieces = [moved[k:k + CHUNK].tobytes() for k in range(0, len(moved), CHUNK)]
@@ -283,42 +321,45 @@ def train(blocks: DataFrame, words_: Vocabulary) -> np.ndarray:
 def _class_scores(shared, words_: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        for batch in batches:
-            for at, row in enumerate(batch.to_pylist()):
-                ids, sizes, _, vocab, shapes = _block(row)
-                cls = words_.classes(vocab, shapes)
-                rows, target = features(ids, sizes, vocab, cls), cls[ids]
-                logs = np.zeros(len(ids))
-                for begin in range(0, len(ids), 4 * MINIBATCH):
-                    part = slice(begin, begin + 4 * MINIBATCH)
-                    found = log_classes(weights, rows[part])
-                    logs[part] = found[np.arange(len(found)), target[part]]
-                logs = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
-                kept = [batch.column(c).slice(at, 1) for c in ("block", "docs", "folds", "sizes", "ids")]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array([cls.astype(np.uint8).tobytes()], pa.binary()), pa.array([logs.tolist()], pa.list_(pa.float64()))],
-                    names=["block", "docs", "folds", "sizes", "ids", "classes", "logs"])
+        for one, row in _single(batches):
+            ids, sizes, _, vocab, shapes = _block(row)
+            cls, ends, logs = words_.classes(vocab, shapes), np.cumsum(sizes), np.zeros(len(sizes))
+            # whole documents, about SCORED tokens at a time
+            first = 0
+            while first < len(sizes):
+                begin = ends[first] - sizes[first]
+                last = max(first + 1, int(np.searchsorted(ends, begin + SCORED, side="right")))
+                part, lengths = ids[begin:ends[last - 1]], sizes[first:last]
+                rows, target, of_token = features(part, lengths, vocab, cls), cls[part], np.zeros(len(part))
+                for at in range(0, len(part), MINIBATCH):
+                    some = slice(at, at + MINIBATCH)
+                    of_token[some] = log_class(weights, rows[some], target[some])
+                logs[first:last] = np.add.reduceat(of_token, np.cumsum(lengths) - lengths)
+                first = last
+            kept = [one.column(c) for c in ("block", "docs", "folds", "sizes", "ids")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array([cls.astype(np.uint8).tobytes()], pa.binary()), pa.array([logs.tolist()], pa.list_(pa.float64()))],
+                names=["block", "docs", "folds", "sizes", "ids", "classes", "logs"])
 
     return run
 
 
 def _score(words_: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes, fold = np.array(row["sizes"], np.int64), np.array(row["folds"], np.int64)
-                ids, cls = _inflated(row["ids"], int(sizes.sum())), np.frombuffer(row["classes"], np.uint8)
-                counts, some = np.zeros(len(cls), np.int64), np.frombuffer(row["counts"] or b"", "<i8")
-                counts[:len(some)] = some
-                base = np.log10((counts + ADDED) / (words_.n + ADDED * (words_.v + 1)))
-                begins = np.cumsum(sizes) - sizes
-                logs = np.array(row["logs"]) + np.add.reduceat(words_.log_in_class(cls, counts)[ids], begins)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["docs"], batch.schema.field("docs").type.value_type), pa.array(fold == 0), pa.array(sizes),
-                     pa.array(np.add.reduceat((counts > 0)[ids].astype(np.int64), begins)),
-                     pa.array(np.full(len(sizes), words_.n)),
-                     pa.array(np.add.reduceat(base[ids], begins)), pa.array(logs / np.log(10))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for one, row in _single(batches):
+            sizes, fold = np.array(row["sizes"], np.int64), np.array(row["folds"], np.int64)
+            ids, cls = _inflated(row["ids"], int(sizes.sum())), np.frombuffer(row["classes"], np.uint8)
+            counts, some = np.zeros(len(cls), np.int64), np.frombuffer(row["counts"] or b"", "<i8")
+            counts[:len(some)] = some
+            base = np.log10((counts + ADDED) / (words_.n + ADDED * (words_.v + 1)))
+            begins = np.cumsum(sizes) - sizes
+            logs = np.array(row["logs"]) + np.add.reduceat(words_.log_in_class(cls, counts)[ids], begins)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["docs"], one.schema.field("docs").type.value_type), pa.array(fold == 0), pa.array(sizes),
+                 pa.array(np.add.reduceat((counts > 0)[ids].astype(np.int64), begins)),
+                 pa.array(np.full(len(sizes), words_.n)),
+                 pa.array(np.add.reduceat(base[ids], begins)), pa.array(logs / np.log(10))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 

@@ -4,7 +4,9 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 from llm_cases import WORD, empty_frame, lower, odd_frame, vocabulary
 
 from coocatlas.llm import maxent_lm
@@ -44,3 +46,22 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert maxent_lm.score(empty_frame(spark)).collect() == []
+
+
+def test_memory_of_a_task_is_that_of_one_block(monkeypatch):
+    """Words are found a part at a time, and blocks of one batch are opened one by one."""
+    draw, words = random.Random(3), vocabulary(3, 300)
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 900))) for _ in range(60)] + [None, ""]
+    batch = pa.record_batch({"doc_id": pa.array(range(62)), "text": pa.array(texts), "fold": pa.array([k % 10 for k in range(62)], pa.int32())})
+    monkeypatch.setattr(maxent_lm.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    sizes = []
+    found = maxent_lm.words
+    monkeypatch.setattr(maxent_lm, "words", lambda part: sizes.append(part.nbytes) or found(part))
+    whole = [b.to_pydict() for b in maxent_lm._encode(iter([batch]))]
+    monkeypatch.setattr(maxent_lm, "WORD_BYTES", 20_000)
+    sizes.clear()
+    parted = [b.to_pydict() for b in maxent_lm._encode(iter([batch]))]
+    assert parted == whole and len(sizes) > 5 and max(sizes) < 30_000
+    blocks = pa.Table.from_batches(list(maxent_lm._encode(iter([batch.slice(k, 1) for k in range(62)])))).combine_chunks().to_batches()
+    assert [len(b) for b in blocks] == [62]
+    assert all(one.num_rows == 1 for one, _ in maxent_lm._single(iter(blocks)))
