@@ -14,11 +14,15 @@ from coocatlas.functions.hashing import uniform
 from coocatlas.functions.numeric import scale_axis, tms_flip
 from coocatlas.operators.ids import take_first
 from coocatlas.schema import BY_NAME, ENTITIES, entity
+from coocatlas.sources.staging import checkpoint
 
 # Per layer, the factor by which points thin out per zoom level below the base zoom.
 DROP_RATES = {"track": 1.8, "label": 2.05, "album": 2.27, "artist": 2.36}
 MIN_ZOOM = 5
 TILE_PIXELS = 512
+# Cells per radius in picking: the diagonal of a cell is then shorter than half a radius.
+CELLS_PER_WIDTH = 3
+PICK_CELL = ["class", "cx", "cy"]
 
 
 def union_projections(projections: dict[str, DataFrame]) -> DataFrame:
@@ -242,23 +246,42 @@ def shown_at(features: DataFrame, tiles: DataFrame, zoom: int) -> DataFrame:
     return features.join(kept, ["entity", "rowid"], "left_semi")
 
 
+def _pick_order() -> Column:
+    return F.struct(-F.col("logcount"), F.col("entity"), F.col("rowid"))
+
+
 def pick_features(clicks: DataFrame, features: DataFrame, zoom: int, radius: float = 8.0) -> DataFrame:
     """Most popular feature whose disc holds the click at a zoom level.
 
     ``clicks`` has (click_id, lon, lat), ``features`` (entity, rowid, lon, lat, logcount). A
     feature's disc has a radius of ``logcount`` pixels, at least ``radius``. Features are
-    classed by powers of two of their radius; within a class both sides are keyed by cells
-    as wide as its largest radius, and a click looks at the nine cells around it. Of features
-    at the very same place only the first can be picked, so the others are left out before.
-    Ties in popularity go to the lowest entity name and id.
+    classed by powers of two of their radius; within a class both sides are keyed by cells so
+    small that a disc centred in a cell holds it whole. The best feature that holds a whole
+    cell is a floor for the clicks in it: only features before it in order can be picked
+    there, and only those are met with the clicks, so that the pairs made grow with the clicks
+    and not with their product with the features around. Cells within a disc's reach of no
+    click are left out. Of features at the very same place only the first can be picked, so
+    the others are left out before. Ties in popularity go to the lowest entity name and id.
     """
+    asked, rivals = pick_sides(clicks, features, zoom, radius)
+    squared = F.pow(F.col("px_c") - F.col("px_f"), F.lit(2)) + F.pow(F.col("py_c") - F.col("py_f"), F.lit(2))
+    hits = asked.join(rivals, PICK_CELL).where(squared <= F.col("size") * F.col("size"))
+    return (
+        hits.groupBy("click_id")
+        .agg(F.min_by(F.struct("entity", "rowid", "logcount"), _pick_order()).alias("best"))
+        .select("click_id", "best.entity", "best.rowid", "best.logcount")
+    )
+
+
+def pick_sides(clicks: DataFrame, features: DataFrame, zoom: int, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Clicks by cell, and by cell the features that can be picked there."""
     pixels = float(TILE_PIXELS * (1 << zoom))
 
     def placed(df: DataFrame, suffix: str) -> DataFrame:
         x, y = _world(F.col("lon"), F.col("lat"))
         return df.withColumn(f"px{suffix}", x * pixels).withColumn(f"py{suffix}", y * pixels)
 
-    order = F.struct(-F.col("logcount"), F.col("entity"), F.col("rowid"))
+    order = _pick_order()
     popularity = F.col("logcount").cast("double")
     first = (
         placed(features.withColumn("logcount", popularity), "_f")
@@ -268,23 +291,47 @@ def pick_features(clicks: DataFrame, features: DataFrame, zoom: int, radius: flo
     )
     size = F.greatest(F.lit(float(radius)), F.coalesce("logcount", F.lit(0.0)))
     discs = first.withColumn("size", size).withColumn("class", F.ceil(F.log2(size / F.lit(float(radius)))).cast("int"))
-    width = F.lit(float(radius)) * F.pow(F.lit(2.0), F.col("class"))
-    offered = discs.withColumn("cx", F.floor(F.col("px_f") / width)).withColumn("cy", F.floor(F.col("py_f") / width))
-    near = F.sequence(F.lit(-1), F.lit(1))
+    # radii of a class lie between half its width and its width; the diagonal of a cell is less than half the width
+    side = F.lit(float(radius)) * F.pow(F.lit(2.0), F.col("class")) / CELLS_PER_WIDTH
+    near = F.sequence(F.lit(-CELLS_PER_WIDTH), F.lit(CELLS_PER_WIDTH))
+
+    def celled(df: DataFrame, suffix: str) -> DataFrame:
+        return df.withColumn("cx", F.floor(F.col(f"px{suffix}") / side)).withColumn("cy", F.floor(F.col(f"py{suffix}") / side))
+
+    def around(df: DataFrame) -> DataFrame:
+        """Each row once per cell within reach, the row's own cell becoming (ox, oy)."""
+        return (
+            df.withColumnsRenamed({"cx": "ox", "cy": "oy"})
+            .withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
+            .withColumn("cx", F.col("ox") + F.col("dx")).withColumn("cy", F.col("oy") + F.col("dy"))
+            .drop("dx", "dy")
+        )
+
+    def gap(p: str, c: str, far: bool) -> Column:
+        """Distance along one axis from a place to the farthest or nearest point of a cell."""
+        low, high = F.col(c) * side - F.col(p), F.col(p) - (F.col(c) + 1) * side
+        return F.greatest(-low, -high) if far else F.greatest(low, high, F.lit(0.0))
+
+    def reach(far: bool) -> Column:
+        return F.pow(gap("px_f", "cx", far), F.lit(2)) + F.pow(gap("py_f", "cy", far), F.lit(2))
+
+    cell = PICK_CELL
+    offered = checkpoint(celled(discs, "_f").withColumn("o", order))
     # at most one row per power of two that a radius has
-    classes = discs.select("class").distinct()
-    asked = (
-        placed(clicks, "_c")
-        .crossJoin(F.broadcast(classes))
-        .select("click_id", "px_c", "py_c", "class", F.explode(near).alias("dx"))
-        .select("*", F.explode(near).alias("dy"))
-        .withColumn("cx", F.floor(F.col("px_c") / width) + F.col("dx"))
-        .withColumn("cy", F.floor(F.col("py_c") / width) + F.col("dy"))
-    )
-    squared = F.pow(F.col("px_c") - F.col("px_f"), F.lit(2)) + F.pow(F.col("py_c") - F.col("py_f"), F.lit(2))
-    hits = asked.join(offered, ["class", "cx", "cy"]).where(squared <= F.col("size") * F.col("size"))
-    return (
-        hits.groupBy("click_id")
-        .agg(F.min_by(F.struct("entity", "rowid", "logcount"), order).alias("best"))
-        .select("click_id", "best.entity", "best.rowid", "best.logcount")
-    )
+    classes = F.broadcast(offered.select("class").distinct())
+    asked = celled(placed(clicks, "_c").select("click_id", "px_c", "py_c").crossJoin(classes), "_c")
+    clicked = asked.select(*cell).distinct()
+    slack = F.lit(1e-9) * pixels
+    # the best feature of each cell, offered to the cells that its disc holds whole
+    tops = offered.groupBy(*cell).agg(F.min_by(F.struct("px_f", "py_f", "size", "o"), "o").alias("t")).select(*cell, "t.*")
+    holds = F.sqrt(reach(True)) + slack <= F.col("size")
+    floors = clicked.join(
+        around(tops).where(holds).groupBy(*cell).agg(F.min("o").alias("floor")), cell, "left")
+    floors = checkpoint(floors)
+    # features that come after the floors of all clicked cells around can go at once
+    weakest = around(floors).groupBy("class", F.col("cx"), F.col("cy")).agg(
+        F.max("floor").alias("weakest"), F.bool_or(F.col("floor").isNull()).alias("open"))
+    live = offered.join(weakest, cell).where(F.col("open") | (F.col("o") <= F.col("weakest"))).drop("weakest", "open")
+    touches = F.sqrt(reach(False)) - slack <= F.col("size")
+    rivals = around(live).where(touches).join(floors, cell).where(F.col("floor").isNull() | (F.col("o") <= F.col("floor")))
+    return asked, rivals

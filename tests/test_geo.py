@@ -165,3 +165,21 @@ def test_projection_uses_one_model_for_all(spark):
         tables = {n: [r[1:] for r in rows(df)] for n, df in got.items()}
         assert len(tables["track"]) == 60 and np.isfinite(np.array(tables["track"])).all()
         assert all(t == tables["track"] for t in tables.values())
+
+
+def test_picking_makes_no_pair_of_every_click_and_every_feature_around(spark):
+    """In a dense spot only the features that can be picked meet the clicks: four times both, about four times the pairs."""
+    scale = 360 / (512 * 2**6)
+
+    def pairs(n):
+        draw = np.random.default_rng(n)
+        at = [(float(x * scale), float(y * scale)) for x, y in draw.uniform(0, 40, (n, 2))]
+        features = spark.createDataFrame(
+            [("track", i, lon, lat, float(draw.integers(1, 9))) for i, (lon, lat) in enumerate(at)],
+            "entity STRING, rowid BIGINT, lon DOUBLE, lat DOUBLE, logcount DOUBLE")
+        clicks = features.where("rowid % 4 = 0").select(F.col("rowid").alias("click_id"), "lon", "lat")
+        asked, rivals = geo.pick_sides(clicks, features, 6, 10.0)
+        return asked.join(rivals, geo.PICK_CELL).count() / clicks.count()
+
+    few, many = pairs(1000), pairs(4000)
+    assert many < 60 and many < 2 * few
