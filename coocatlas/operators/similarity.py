@@ -41,20 +41,26 @@ MOST_LISTS = 16384
 BANDS = 8
 # A side of at most this many bytes of vectors is sent whole to every task.
 BROADCAST_BYTES = 64 << 20
-# Rows per side in one scored block, and scores held at a time while scoring it.
+# Rows per side in one scored block, scores held at a time while scoring it, and queries whose results leave together.
 BLOCK_ROWS = 20_000
-BLOCK_CELLS = 8 << 20
+BLOCK_CELLS = 1 << 20
+QUERY_ROWS = 1024
 # Rows per batch when a query is copied to the lists it visits.
 COPY_ROWS = 10_000
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Arrow list column as a two-dimensional double array, without a Python object per value."""
+def _stored(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Arrow list column as a two-dimensional array of its own precision, without a Python object per value."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    values = flat.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The same in double precision."""
+    return _stored(column).astype(np.float64, copy=False)
+
+
 def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
@@ -88,6 +94,30 @@ def _best(qid: np.ndarray, q: np.ndarray, bid: np.ndarray, b: np.ndarray, k: int
     )
 
 
+def _tile_best(qid: np.ndarray, q: np.ndarray, bid: np.ndarray, b: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The same for a side of any length: QUERY_ROWS queries at a time, the base in tiles of BLOCK_ROWS.
+
+    What a task holds beside the two sides, each in its own precision, depends on k only,
+    not on the number of rows.
+    """
+    for start in range(0, len(qid), QUERY_ROWS):
+        some, vectors, kept = qid[start : start + QUERY_ROWS], q[start : start + QUERY_ROWS].astype(np.float64), None
+        for first in range(0, len(bid), BLOCK_ROWS):
+            tile = b[first : first + BLOCK_ROWS].astype(np.float64)
+            found = _best(some, vectors, bid[first : first + BLOCK_ROWS], tile, k)
+            ids, scores = (found[name].to_numpy().reshape(len(some), -1) for name in ("neighbor_id", "score"))
+            if kept is not None:
+                ids, scores = np.hstack([kept[0], ids]), np.hstack([kept[1], scores])
+                order = np.lexsort((ids, -scores))[:, :k]
+                ids, scores = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+            kept = ids, scores
+        if kept is not None:
+            values = [np.repeat(some, kept[0].shape[1]), kept[0].ravel(), kept[1].ravel()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values[0], pa.int64()), pa.array(values[1], pa.int64()), pa.array(values[2], pa.float64())],
+                names=["query_id", "neighbor_id", "score"])
+
+
 def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a score matrix of ``width`` columns stays small."""
     step = max(1, BLOCK_CELLS // max(width, 1))
@@ -131,7 +161,7 @@ def _small_side(df: DataFrame, limit_bytes: int) -> tuple[np.ndarray, np.ndarray
     if first is not None and 8 * first["d"] * df.count() > limit_bytes:
         return None
     table = df.toArrow()
-    return _ids(table["id"]), _matrix(table["v"])
+    return _ids(table["id"]), _stored(table["v"])
 
 
 def exact_neighbours(
@@ -154,7 +184,7 @@ def exact_neighbours(
             bid, bv = held.value
             for batch in batches:
                 if batch.num_rows and len(bid):
-                    yield from _best(_ids(batch["id"]), _matrix(batch["v"]), bid, bv, k).to_batches()
+                    yield from _tile_best(_ids(batch["id"]), _stored(batch["v"]), bid, bv, k)
 
         return merge_best(q.mapInArrow(over_queries, NEIGHBOURS), k)
     small = _small_side(q, broadcast_bytes)
@@ -165,7 +195,7 @@ def exact_neighbours(
             qid, qv = held.value
             for batch in batches:
                 if batch.num_rows:
-                    yield from _best(qid, qv, _ids(batch["id"]), _matrix(batch["v"]), k).to_batches()
+                    yield from _tile_best(qid, qv, _ids(batch["id"]), _stored(batch["v"]), k)
 
         return merge_best(b.mapInArrow(over_base, NEIGHBOURS), k)
     n = base.count()
@@ -363,10 +393,10 @@ def _visit(index: Index, probes: DataFrame, k: int, block_rows: int = BLOCK_ROWS
     keys = ["list_id", "base_blocks_id", "query_blocks_id"]
 
     def score(q: pa.Table, b: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("score", pa.float64())])
         if not (q.num_rows and b.num_rows):
-            return pa.table({"query_id": pa.array([], pa.int64()), "neighbor_id": pa.array([], pa.int64()),
-                             "score": pa.array([], pa.float64())})
-        return _best(_ids(q["id"]), _matrix(q["v"]), _ids(b["id"]), _matrix(b["v"]), k)
+            return schema.empty_table()
+        return pa.Table.from_batches(list(_tile_best(_ids(q["id"]), _stored(q["v"]), _ids(b["id"]), _stored(b["v"]), k)), schema)
 
     asked = cut(probes, "query_blocks", "base_blocks").groupBy(*keys)
     # a condition on the lists' own column, so that the other lists' files are not read

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -170,3 +171,17 @@ def test_recall_figures(spark):
     got = spark.createDataFrame([(1, 10, 1), (1, 12, 2), (2, 21, 1)], place)
     r = sim.recall(got, truth, spark.range(2), 2).first()
     assert (r.r1, r.r10, r.r100, r.missing) == (0.5, 0.5, 0.5, 0.25)
+
+
+def test_scored_tiles_are_small_and_agree(monkeypatch):
+    """Ties across tiles go to the lowest id; what leaves a task at once depends on k, not on the rows of a side."""
+    draw = np.random.default_rng(5)
+    q, b = (draw.integers(-2, 3, (n, 3)).astype(np.float32) for n in (50, 70))
+    qid, bid = np.arange(50), draw.permutation(70)
+    whole = sim._best(qid, q.astype(float), bid, b.astype(float), 9)
+    monkeypatch.setattr(sim, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(sim, "QUERY_ROWS", 8)
+    parts = list(sim._tile_best(qid, q, bid, b, 9))
+    assert max(part.num_rows for part in parts) == 8 * 9
+    assert pa.Table.from_batches(parts).to_pydict() == whole.to_pydict()
+    assert sim._stored(pa.array([[1.0, 2.0]], pa.list_(pa.float32()))).dtype == np.float32
