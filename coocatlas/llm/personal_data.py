@@ -6,15 +6,16 @@ spans: obfuscated and bare-host e-mails, dotted and dashed numbers, digit groups
 context, a threshold calibrated for its kind keeps a wanted precision, and of overlapping
 accepted spans the best-scored one stays.
 
-The trees are fitted on a bounded sample of documents, chosen by a hash of doc_id so that it
-is the same at any partitioning. Proposals that agree with a validated base span are the
-positives, and so do base spans written another way in their own context; those that a
-validator rejects and those around no base span are the negatives. Half of the sample calibrates the
-threshold. Applying the model needs no shuffle.
+The trees are fitted on the proposals of all documents. Proposals that agree with a validated
+base span are the positives, and so do base spans written another way in their own context;
+those that a validator rejects and those around no base span are the negatives. Half of the
+documents, by a hash of doc_id, calibrates the thresholds. Equal proposals are counted; a level
+of a tree is grown from sums per node, feature and cut, which alone reach the driver, and the
+sums are whole numbers, so the model is the same at any partitioning. Applying it needs no shuffle.
 
 Defined results: a null or empty text has no spans; spans are in code points, end exclusive;
 texts of any length are scanned whole in linear time; repeated rows are treated alike; with
-no usable sample nothing is added to the base; an empty table gives no rows; extra columns
+no usable examples nothing is added to the base; an empty table gives no rows; extra columns
 are ignored by ``spans`` and kept by ``redact``.
 """
 
@@ -28,18 +29,24 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coocatlas.llm.tables import staged
 from coocatlas.llm.words import slices
 
 #: Order of kinds where spans start together.
 KINDS = ("email", "ip", "card", "phone")
-#: Documents the model is fitted on, at most about so many, and the precision asked of added spans.
-SAMPLE_DOCUMENTS = 20_000
+#: The precision asked of added spans.
 PRECISION = 0.98
 #: Held-out positives a kind needs for a threshold of its own.
 LEAST_POSITIVES = 20
+#: Cuts per feature at most, and the units in which gradients are summed.
+CUTS = 32
+UNIT = 1 << 24
+#: Up to so many distinct binned examples, a few MB of counts, the driver sums itself; beyond, each level is a job. The sums are the same.
+LOCAL_EXAMPLES = 100_000
 
 # The base patterns, written so that each scans in linear time. A number is
 # only tried where a digit run begins, which finds the same leftmost matches.
@@ -159,66 +166,120 @@ class Boosted:
     def scores(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.prior)
         for tree in self.trees:
-            node = np.zeros(len(x), np.int64)
-            columns = [np.array(c) for c in zip(*tree, strict=True)]
-            feature, cut, left, right, value = columns
-            while (inner := feature[node] >= 0).any():
-                at = np.flatnonzero(inner)
-                here = node[at]
-                node[at] = np.where(x[at, feature[here]] <= cut[here], left[here], right[here])
-            out += value[node]
+            out += np.array([node[4] for node in tree])[_leaves(x, tree)]
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.15, least: int = 5) -> Boosted:
-    """Newton boosting with exact splits over at most 32 quantile cuts per feature."""
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    model = Boosted(float(np.log(share / (1 - share))))
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1])) for f in range(x.shape[1])]
-    score = np.full(len(x), model.prior)
+def _leaves(x: np.ndarray, tree: list[tuple]) -> np.ndarray:
+    """The node of a tree at which each row ends."""
+    feature, cut, left, right, _ = (np.array(c) for c in zip(*tree, strict=True))
+    node = np.zeros(len(x), np.int64)
+    while (inner := feature[node] >= 0).any():
+        at = np.flatnonzero(inner)
+        here = node[at]
+        node[at] = np.where(x[at, feature[here]] <= cut[here], left[here], right[here])
+    return node
+
+
+def _bins(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, len(FEATURES))
+
+
+def _sums(model: Boosted, tree: list[tuple], open_: list[int], known: np.ndarray | None = None):
+    """Sums of gradients, weights and rows per open node, feature and bin, in whole UNITs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(len(tree), -1)
+        place[open_] = np.arange(len(open_))
+        sums = np.zeros((3, len(open_) * len(FEATURES) * CUTS), np.int64)
+        for batch in batches:
+            bins, n = _bins(batch), batch.column("n").to_numpy()
+            p = 1 / (1 + np.exp(-(model.scores(bins) if known is None else known)))
+            at = place[_leaves(bins, tree)]
+            inside = at >= 0
+            g = np.rint((batch.column("y").to_numpy() - p) * UNIT).astype(np.int64) * n
+            h = np.rint((p * (1 - p) + 1e-6) * UNIT).astype(np.int64) * n
+            slots = ((at[inside, None] * len(FEATURES) + np.arange(len(FEATURES))) * CUTS + bins[inside]).ravel()
+            for total, values in zip(sums, (g, h, n), strict=True):
+                np.add.at(total, slots, np.repeat(values[inside], len(FEATURES)))
+        slot = np.flatnonzero(sums[2])
+        yield pa.RecordBatch.from_arrays([pa.array(slot), *(pa.array(total[slot]) for total in sums)], names=["slot", "g", "h", "n"])
+
+    return run
+
+
+def fit_trees(
+    examples: DataFrame, cuts: list[np.ndarray], share: float, rounds: int = 60, depth: int = 4, rate: float = 0.15, least: int = 5
+) -> tuple[Boosted, Boosted]:
+    """Newton boosting over all ``examples`` (bins, y, n): the model for bins, and the same for values.
+
+    More than LOCAL_EXAMPLES distinct ones stay distributed, with one job for each level of each tree,
+    from which at most one row per open node, feature and bin reaches the driver.
+    """
+    some = examples.limit(LOCAL_EXAMPLES + 1).toArrow()
+    local = some.combine_chunks().to_batches() if len(some) <= LOCAL_EXAMPLES else None
+    del some
+    share = np.clip(share, 1e-3, 1 - 1e-3)
+    prior = float(np.log(share / (1 - share)))
+    binned, model = Boosted(prior), Boosted(prior)
+    bins = _bins(local[0]) if local else None
+    known = np.full(len(bins), prior) if local else None
+
+    def summed(tree: list[tuple], open_: list[int]) -> pa.Table:
+        if local:
+            return pa.Table.from_batches(list(_sums(binned, tree, open_, known)(iter(local))))
+        parts = examples.mapInArrow(_sums(binned, tree, open_), "slot long, g long, h long, n long")
+        return parts.groupBy("slot").agg(*(F.sum(c).alias(c) for c in "ghn")).toArrow()
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-score))
-        gradient, weight = y - p, p * (1 - p) + 1e-6
-        tree: list[tuple[int, float, int, int, float]] = []
-
-        def grow(rows: np.ndarray, level: int) -> int:
-            at = len(tree)
-            g, h = gradient[rows].sum(), weight[rows].sum()
-            tree.append((-1, 0.0, 0, 0, float(rate * g / (h + 1))))
-            if level == depth or len(rows) < 2 * least:
-                return at
-            best = (1e-4, -1, 0.0)
-            for f, options in enumerate(cuts):
-                if not len(options):
+        tree: list[tuple[int, float, int, int, float]] = [(-1, 0.0, 0, 0, 0.0)]
+        open_ = [0]
+        for _ in range(depth):
+            found = summed(tree, open_)
+            sums = np.zeros((3, len(open_) * len(FEATURES) * CUTS))
+            for total, column in zip(sums, "ghn", strict=True):
+                total[found["slot"].to_numpy()] = found[column].to_numpy()
+            sums = sums.reshape(3, len(open_), len(FEATURES), CUTS)
+            sums[:2] /= UNIT
+            grown = []
+            for k, at in enumerate(open_):
+                g, h, n = sums[:, k, 0].sum(axis=1)
+                tree[at] = (-1, 0.0, 0, 0, float(rate * g / (h + 1)))
+                if n < 2 * least:
                     continue
-                bucket = np.searchsorted(options, x[rows, f])
-                gs = np.cumsum(np.bincount(bucket, gradient[rows], len(options) + 1))[:-1]
-                hs = np.cumsum(np.bincount(bucket, weight[rows], len(options) + 1))[:-1]
-                ns = np.cumsum(np.bincount(bucket, minlength=len(options) + 1))[:-1]
+                gs, hs, ns = np.cumsum(sums[:, k], axis=2)
                 gain = gs ** 2 / (hs + 1) + (g - gs) ** 2 / (h - hs + 1) - g ** 2 / (h + 1)
-                gain[(ns < least) | (len(rows) - ns < least)] = -1
-                k = int(np.argmax(gain))
-                if gain[k] > best[0]:
-                    best = (float(gain[k]), f, float(options[k]))
-            if best[1] >= 0:
-                low = x[rows, best[1]] <= best[2]
-                left, right = grow(rows[low], level + 1), grow(rows[~low], level + 1)
-                tree[at] = (best[1], best[2], left, right, 0.0)
-            return at
-
-        grow(np.arange(len(x)), 0)
-        model.trees.append(tree)
-        step = Boosted(0.0, [tree]).scores(x)
-        score += step
-    return model
-
-
-def calibrate(scores: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """Lowest threshold above which the share of positives is at least ``precision`` (infinite if none)."""
-    order = np.argsort(-scores, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    last = np.flatnonzero(right >= precision)
-    return float(scores[order][last[-1]]) if len(last) else np.inf
+                gain[(ns < least) | (n - ns < least)] = -1
+                f, cut = np.unravel_index(int(np.argmax(gain)), gain.shape)
+                if gain[f, cut] > 1e-4:
+                    sides = ((gs[f, cut], hs[f, cut]), (g - gs[f, cut], h - hs[f, cut]))
+                    tree[at] = (int(f), float(cut), len(tree), len(tree) + 1, 0.0)
+                    grown.extend((len(tree), len(tree) + 1))
+                    tree.extend((-1, 0.0, 0, 0, float(rate * a / (b + 1))) for a, b in sides)
+            open_ = grown
+            if not open_:
+                break
+        binned.trees.append(tree)
+        if local:
+            known += np.array([node[4] for node in tree])[_leaves(bins, tree)]
+        model.trees.append([(f, float(cuts[f][int(cut)]) if f >= 0 else 0.0, *rest) for f, cut, *rest in tree])
+    return binned, model
+
+
+def calibrate(scored: DataFrame, precision: float) -> dict[int, float]:
+    """Per kind of ``scored`` (kind, score, y, n), the lowest score from which on the share of positives is ``precision``.
+
+    A kind with too few examples to calibrate on takes the threshold of all kinds together (infinite if none).
+    """
+    both = scored.withColumn("kind", F.explode(F.array("kind", F.lit(-1)))).withColumn("good", F.col("n") * F.col("y"))
+    ties = both.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    best_first = W.partitionBy("kind").orderBy(F.desc("score"))
+    share = F.sum("good").over(best_first) / F.sum("n").over(best_first)
+    rows = ties.withColumn("share", share).groupBy("kind").agg(
+        F.min(F.when(F.col("share") >= precision, F.col("score"))).alias("least"), F.sum("good").alias("good")).collect()
+    least = {row["kind"]: np.inf if row["least"] is None else float(row["least"]) for row in rows}
+    enough = {row["kind"] for row in rows if row["good"] >= LEAST_POSITIVES}
+    return {code: least[code if code in enough else -1] for code in range(len(KINDS))}
 
 
 class Covered:
@@ -295,7 +356,7 @@ def examples(text: str) -> list[tuple[list[float], int]]:
     return out
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         rows, labels, halves = [], [], []
         for text, half in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True):
@@ -308,29 +369,50 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["x", "y", "half"])
 
 
-def fit(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, precision: float = PRECISION, most: int = 50_000) -> Boosted:
-    """Fit on about ``sample_documents`` documents and at most ``most`` of their proposals, all chosen by hash."""
-    total = documents.count()
-    if not total:
-        return Boosted()
-    share = min(1.0, sample_documents / total)
-    draw = F.xxhash64(F.lit("pii"), "doc_id")
-    drawn = documents.where(F.shiftrightunsigned(draw, 33) < int(share * (1 << 31)))
+def _binned(cuts: list[np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
+            # a value is at most cut k where its bin is at most k
+            bins = np.stack([np.searchsorted(options, x[:, f]) for f, options in enumerate(cuts)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row.tobytes() for row in bins], pa.binary()), pa.array(x[:, FEATURES.index("kind")].astype(np.int32)),
+                 *(batch.column(c) for c in ("y", "half", "n"))], names=["bins", "kind", "y", "half", "n"])
+
+    return run
+
+
+def _scored(model: Boosted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("kind"), pa.array(model.scores(_bins(batch))), batch.column("y"), batch.column("n")],
+                names=["kind", "score", "y", "n"])
+
+    return run
+
+
+def fit(documents: DataFrame, precision: float = PRECISION) -> Boosted:
+    """Fit on the proposals of all ``documents`` (doc_id, text)."""
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
-    rows = drawn.select("text", half).mapInArrow(_sampled, "x array<double>, y int, half int")
-    rows = rows.orderBy(F.xxhash64("x"), "x", "y", "half").limit(most).toPandas()
-    if not len(rows):
-        return Boosted()
-    x, y, half = np.array(rows["x"].tolist()), rows["y"].to_numpy(), rows["half"].to_numpy()
-    trained, held = half == 0, half == 1
-    if not (0 < y[trained].sum() < trained.sum()) or not held.any():
+    made = documents.select("text", half).mapInArrow(_examples, "x array<double>, y int, half int")
+    counted = staged(made.groupBy("x", "y", "half").agg(F.count("*").alias("n")), "pii-examples")
+    totals = {(r["half"], r["y"]): r["n"] for r in counted.groupBy("half", "y").agg(F.sum("n").alias("n")).collect()}
+    wrong, right = totals.get((0, 0), 0), totals.get((0, 1), 0)
+    if not (wrong and right and (totals.get((1, 0)) or totals.get((1, 1)))):
         return Boosted()
-    model = fit_trees(x[trained], y[trained].astype(float))
-    scores, y, kind = model.scores(x[held]), y[held], x[held, FEATURES.index("kind")]
-    for code, name in enumerate(KINDS):
-        # a kind with too few examples to calibrate on takes the threshold of all kinds together
-        own = kind == code if y[kind == code].sum() >= LEAST_POSITIVES else np.ones(len(y), bool)
-        model.thresholds[name] = max(calibrate(scores[own], y[own], precision), 0.0)
+    # exact quantiles: a feature has as many values as a span of bounded length can give it
+    shares = np.linspace(0, 1, CUTS + 1)[1:-1].tolist()
+    quantiles = counted.where("half = 0").agg(
+        *(F.percentile(F.col("x")[f], shares, F.col("n")).alias(f"q{f}") for f in range(len(FEATURES)))).first()
+    cuts = [np.unique(values) for values in quantiles]
+    binned = staged(
+        counted.mapInArrow(_binned(cuts), "bins binary, kind int, y int, half int, n long")
+        .groupBy("bins", "kind", "y", "half").agg(F.sum("n").alias("n")), "pii-bins")
+    inner, model = fit_trees(binned.where("half = 0").select("bins", "y", "n"), cuts, right / (right + wrong))
+    held = binned.where("half = 1").select("bins", "kind", "y", "n")
+    found = calibrate(held.mapInArrow(_scored(inner), "kind int, score double, y int, n long"), precision)
+    model.thresholds = {KINDS[code]: max(threshold, 0.0) for code, threshold in found.items()}
     return model
 
 

@@ -1,5 +1,6 @@
 """Base spans against plain patterns; added spans and masking."""
 
+import math
 import random
 import re
 import time
@@ -148,3 +149,19 @@ def test_odd_rows(spark):
     assert {r.text for r in out.where("doc_id = 0").collect()} == {None}
     assert personal_data.spans(empty_frame(spark)).collect() == []
     assert personal_data.redact(empty_frame(spark)).collect() == []
+
+
+def test_all_documents_are_learned_from(spark, monkeypatch):
+    """Every example of every document counts, as often as it occurs, however the rows are dealt."""
+    draw = random.Random(4)
+    rows = [(i, draw.choice(["call +12 345 678 9012", "at 12345678", "no 1234-5678-9012", "ip 10.0.0.1"]) + " x" * draw.randint(0, 3)) for i in range(24_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    half = {r.doc_id: r.h for r in frame.selectExpr("doc_id", "pmod(xxhash64('half', doc_id), 2) AS h").collect()}
+    known = {text: [y for _, y in personal_data.examples(text)] for _, text in rows}
+    labels = [y for i, text in rows if half[i] == 0 for y in known[text]]
+    share = sum(labels) / len(labels)
+    one, other = personal_data.fit(frame.repartition(3)), personal_data.fit(frame.repartition(7))
+    assert abs(one.prior - math.log(share / (1 - share))) < 1e-12
+    assert one == other
+    monkeypatch.setattr(personal_data, "LOCAL_EXAMPLES", 0)
+    assert personal_data.fit(frame) == one
