@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coocatlas.functions.text import normalize_title
+from coocatlas.operators.ids import per_key
 from coocatlas.schema import ALBUM, ARTIST, ENTITIES, LABEL, TRACK, Entity
 
 # The columns of the serving tables, in their order, and those that must not be blank.
@@ -61,19 +62,19 @@ def parent_ref(table: DataFrame, parent: Entity, *extra: str) -> DataFrame:
 
 
 def build_labels(lookup: DataFrame, geo: DataFrame) -> DataFrame:
-    placed = _wide(lookup.join(geo, LABEL.key))
+    placed = _wide(lookup.join(per_key(geo), LABEL.key))
     return placed.withColumn(LABEL.canonical_key, F.col(LABEL.key)).select(*LABEL_COLUMNS)
 
 
 def build_artists(lookup: DataFrame, geo: DataFrame) -> DataFrame:
-    placed = _wide(lookup.join(geo, ARTIST.key))
+    placed = _wide(lookup.join(per_key(geo), ARTIST.key))
     return placed.withColumn(ARTIST.canonical_key, F.col(ARTIST.key)).select(*ARTIST_COLUMNS)
 
 
 def build_albums(lookup: DataFrame, geo: DataFrame, artists: DataFrame, labels: DataFrame) -> DataFrame:
     """Placed albums with their artist and label; a missing parent leaves nulls for the column check."""
     return (
-        _wide(lookup.join(geo, ALBUM.key))
+        _wide(lookup.join(per_key(geo), ALBUM.key))
         .join(parent_ref(artists, ARTIST), ARTIST.key, "left")
         .join(parent_ref(labels, LABEL), LABEL.key, "left")
         .withColumn("album_name_norm", normalize_title(F.col("album_name")))
@@ -86,7 +87,7 @@ def build_tracks(
     lookup: DataFrame, geo: DataFrame, artists: DataFrame, albums: DataFrame, labels: DataFrame
 ) -> DataFrame:
     return (
-        _wide(lookup.join(geo, TRACK.key))
+        _wide(lookup.join(per_key(geo), TRACK.key))
         .join(parent_ref(artists, ARTIST), ARTIST.key, "left")
         .join(parent_ref(albums, ALBUM, "album_name_norm"), ALBUM.key, "left")
         .join(parent_ref(labels, LABEL), LABEL.key, "left")
@@ -107,7 +108,7 @@ def _elect(df: DataFrame, key: str, canonical: str, group: dict[str, Column]) ->
     # null keys form a group too
     renamed = elected.toDF(*(f"{name}_of" for name in group), canonical)
     same = [F.col(name).eqNullSafe(F.col(f"{name}_of")) for name in group]
-    return keyed.join(renamed, same).drop(*group, *(f"{name}_of" for name in group))
+    return keyed.join(per_key(renamed), same).drop(*group, *(f"{name}_of" for name in group))
 
 
 def _title(column: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coocatlas import schema
 from coocatlas.functions.numeric import logcount
+from coocatlas.operators.ids import per_key
 from coocatlas.operators.quality import conform
 from coocatlas.operators.vocab import primary_artists, primary_genres
 
@@ -20,7 +21,7 @@ ALBUM_COLUMNS = (
 
 def valid_tracks(vocab: DataFrame, checkpoint: DataFrame) -> DataFrame:
     """Labelled vocabulary rows that have a vector."""
-    return vocab.where(F.col("label_rowid").isNotNull()).join(checkpoint.select("track_rowid"), "track_rowid", "left_semi")
+    return vocab.where(F.col("label_rowid").isNotNull()).join(per_key(checkpoint.select("track_rowid")), "track_rowid", "left_semi")
 
 
 def valid_group_tracks(valid: DataFrame, group: str, min_tracks: int) -> DataFrame:
@@ -51,14 +52,14 @@ def group_popularity(valid: DataFrame, group: str, min_tracks: int, distinct: di
 
 
 def track_vectors(valid: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    return checkpoint.join(valid.select("track_rowid"), "track_rowid", "left_semi").select(
+    return checkpoint.join(per_key(valid.select("track_rowid")), "track_rowid", "left_semi").select(
         "track_rowid", F.col("embedding").cast("array<float>").alias("embedding")
     )
 
 
 def pool_vectors(valid: DataFrame, checkpoint: DataFrame, group: str, min_tracks: int) -> DataFrame:
     """Mean vector per group; partial means combine before the shuffle."""
-    member = valid.select("track_rowid", group).join(checkpoint, "track_rowid")
+    member = valid.select("track_rowid", group).join(per_key(checkpoint), "track_rowid")
     pooled = member.groupBy(group).agg(
         Summarizer.mean(array_to_vector(F.col("embedding"))).alias("v"), F.count("*").alias("n")
     )
@@ -90,7 +91,7 @@ def track_metadata(
         F.col("external_id_isrc").alias("id_isrc"), "album_rowid",
     )
     return (
-        primary.join(track, "track_rowid")
+        primary.join(per_key(track), "track_rowid")
         .join(album, "album_rowid")
         .join(artists.select("artist_rowid", F.col("name").alias("artist_name")), "artist_rowid")
         .join(primary_genres(artist_genres), "artist_rowid", "left")
@@ -109,28 +110,28 @@ def first_known(column: str, order: str = "track_rowid") -> Column:
 
 def track_lookup(valid: DataFrame, metadata: DataFrame) -> DataFrame:
     popular = valid.select("track_rowid", "label_rowid", logcount(F.col("playlist_count")).alias("logcount"))
-    return conform(metadata.join(popular, "track_rowid"), schema.TRACK_LOOKUP)
+    return conform(metadata.join(per_key(popular), "track_rowid"), schema.TRACK_LOOKUP)
 
 
 def artist_lookup(valid: DataFrame, metadata: DataFrame, min_tracks: int) -> DataFrame:
     stats = group_popularity(valid, "artist_rowid", min_tracks, {"nalbum": "album_rowid"})
     names = metadata.groupBy("artist_rowid").agg(first_known("artist_name"), first_known("artist_genre"))
-    return conform(stats.join(names, "artist_rowid"), schema.ARTIST_LOOKUP)
+    return conform(stats.join(per_key(names), "artist_rowid"), schema.ARTIST_LOOKUP)
 
 
 def album_lookup(vocab: DataFrame, valid: DataFrame, metadata: DataFrame, min_tracks: int) -> DataFrame:
     stats = group_popularity(valid, "album_rowid", min_tracks)
-    labelled = metadata.join(vocab.select("track_rowid", "label_rowid"), "track_rowid", "left")
+    labelled = metadata.join(per_key(vocab.select("track_rowid", "label_rowid")), "track_rowid", "left")
     facts = labelled.groupBy("album_rowid").agg(*[first_known(c) for c in ALBUM_COLUMNS])
-    return conform(stats.join(facts, "album_rowid"), schema.ALBUM_LOOKUP)
+    return conform(stats.join(per_key(facts), "album_rowid"), schema.ALBUM_LOOKUP)
 
 
 def label_lookup(vocab: DataFrame, valid: DataFrame, metadata: DataFrame, min_tracks: int) -> DataFrame:
     stats = group_popularity(valid, "label_rowid", min_tracks, {"nalbum": "album_rowid", "nartist": "artist_rowid"})
     names = (
         vocab.select("track_rowid", "label_rowid")
-        .join(metadata.select("track_rowid", "label"), "track_rowid")
+        .join(per_key(metadata.select("track_rowid", "label")), "track_rowid")
         .groupBy("label_rowid")
         .agg(first_known("label"))
     )
-    return conform(stats.join(names, "label_rowid"), schema.LABEL_LOOKUP)
+    return conform(stats.join(per_key(names), "label_rowid"), schema.LABEL_LOOKUP)

@@ -14,6 +14,15 @@ from coocatlas.sources.staging import checkpoint
 MERGED_LIMIT = 10_000
 
 
+def per_key(df: DataFrame) -> DataFrame:
+    """A table with one row per key, marked for a join with another such table: they are merged.
+
+    Both grow with the keys, so neither is sent whole through the driver to all tasks. Spark
+    would send it up to a size that it takes from the compressed files, of which there are many.
+    """
+    return df.hint("merge")
+
+
 def dense_index(df: DataFrame, *order: Column | str, name: str = "idx", start: int = 0) -> DataFrame:
     """Number rows start, start+1, ... in the given order, which must have no ties.
 

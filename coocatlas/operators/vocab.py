@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coocatlas import schema
-from coocatlas.operators.ids import dense_index, dictionary
+from coocatlas.operators.ids import dense_index, dictionary, per_key
 from coocatlas.operators.quality import conform
 
 EXPORT_FILTERS = "is_episode=0, is_local=0, track_rowid IS NOT NULL"
@@ -81,10 +81,11 @@ def primary_genres(artist_genres: DataFrame) -> DataFrame:
 
 def vocab_metadata(vocab: DataFrame, tracks: DataFrame, albums: DataFrame, track_artists: DataFrame) -> DataFrame:
     """Vocabulary with album, label text, external id and primary artist; inner joins throughout."""
+    ids = tracks.select("track_rowid", "album_rowid", F.col("external_id_isrc").alias("id_isrc"))
     return (
-        vocab.join(tracks.select("track_rowid", "album_rowid", F.col("external_id_isrc").alias("id_isrc")), "track_rowid")
+        vocab.join(per_key(ids), "track_rowid")
         .join(albums.select("album_rowid", "label"), "album_rowid")
-        .join(primary_artists(track_artists), "track_rowid")
+        .join(per_key(primary_artists(track_artists)), "track_rowid")
     )
 
 
@@ -96,7 +97,7 @@ def enrich_vocab(vocab: DataFrame, tracks: DataFrame, albums: DataFrame, track_a
     """
     joined = vocab_metadata(vocab, tracks, albums, track_artists)
     # the labels in use need no artists, which would put the whole link table in front of the dictionary
-    used = tracks.join(vocab.select("track_rowid"), "track_rowid", "left_semi").select("album_rowid")
+    used = tracks.join(per_key(vocab.select("track_rowid")), "track_rowid", "left_semi").select("album_rowid").distinct()
     labels = dictionary(albums.join(used, "album_rowid", "left_semi"), "label", "label_rowid")
     return conform(joined.join(labels, "label", "left"), schema.ENRICHED_VOCAB)
 

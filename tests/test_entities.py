@@ -87,3 +87,16 @@ def test_lookups(spark, vocab, valid):
         (11, "Album", 1, 111, "Label", "Artist One", "album", "1959", "year", pop, 9)
     ]
     assert rows(entities.label_lookup(vocab, valid, meta, 2)) == [(111, "Label", pop, 2, 1, 1)]
+
+
+def test_tables_with_a_row_per_track_are_merged(spark, vocab, valid, trained, tmp_path):
+    """Both sides grow with the tracks, so neither is sent whole to the driver, however small its files."""
+    def written(name, frame):
+        frame.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    vocab, valid, trained = written("vocab", vocab), written("valid", valid), written("trained", trained)
+    made = [entities.valid_tracks(vocab, trained), entities.track_vectors(valid, trained), entities.pool_vectors(valid, trained, "artist_rowid", 1)]
+    for frame in made:
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
